@@ -149,7 +149,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = scratch.keep(full.groupBy("class").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
     banded = classes.select("rep", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    family = connected_components(banded.join(buckets, "key").where("rep <> head").select("rep", "head"), scratch, "rep", "head")
+    family = connected_components(banded.join(buckets.hint("merge"), "key").where("rep <> head").select("rep", "head"), scratch, "rep", "head")
 
     member = family.join(classes.select(F.col("rep").alias("node"), "n"), "node").select("node", F.col("component").alias("fam"), "n")
     member = scratch.keep(member, "members")
@@ -158,7 +158,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     placed = placed.select(F.col("node").alias("id"), "fam", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "block")
     placed = placed.select("id", "fam", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
     # a class keeps the text of its smallest id; a repeated id keeps one of its texts
-    wanted = docs.join(placed, "id").select("fam", "bi", "bj", "id", "text")
+    # the same join at every size: what is placed grows with the corpus
+    wanted = docs.join(placed.hint("merge"), "id").select("fam", "bi", "bj", "id", "text")
     sets = wanted.mapInArrow(_with_sets, "fam long, bi int, bj int, id long, hashes binary")
     groups = sets.repartition("fam", "bi", "bj").sortWithinPartitions("fam", "bi", "bj", "id")
     links = groups.mapInPandas(_verified(over, of), "src long, dst long")
