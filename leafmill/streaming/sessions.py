@@ -60,11 +60,12 @@ def rate_admission(requests: DataFrame, limit: int = LIMIT, window_s: int = WIND
     return per.select("client", F.explode(F.aggregate("r", start, step, lambda a: a["out"])).alias("x")).select("client", "x.id", "x.ts", "x.admitted", "x.remaining")
 
 
-def rate_admission_stream(requests: DataFrame, limit: int = LIMIT, window_s: int = WINDOW_S) -> DataFrame:
-    """The same over a stream (client, ts, id): state is at most limit stamps for each client, and goes when they are old.
+def rate_admission_stream(requests: DataFrame, limit: int = LIMIT, window_s: int = WINDOW_S, late: str = "10 minutes") -> DataFrame:
+    """The same over a stream (client, ts, id): state is at most limit stamps for each client, and goes when the watermark has passed them.
 
     Rows of a micro-batch are taken in order of time; one that comes after later ones were
-    judged is judged against the stamps admitted by then.
+    judged is judged against the stamps admitted by then, and one behind the watermark is
+    dropped.
     """
 
     def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -82,11 +83,12 @@ def rate_admission_stream(requests: DataFrame, limit: int = LIMIT, window_s: int
                 held.append(t)
             out.append((key[0], i, ts, ok, limit - len(held)))
         state.update((held,))
-        state.setTimeoutDuration(2 * window_s * 1000)
+        newest = max(held, default=0) // 1000
+        state.setTimeoutTimestamp(max(newest + 2 * window_s * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["client", "id", "ts", "admitted", "remaining"])
 
     kind = requests.schema["client"].dataType.simpleString()
-    return requests.groupBy("client").applyInPandasWithState(judge, f"client {kind}, id long, ts timestamp, admitted boolean, remaining long", "held array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return requests.withWatermark("ts", late).groupBy("client").applyInPandasWithState(judge, f"client {kind}, id long, ts timestamp, admitted boolean, remaining long", "held array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def rate_trailing(requests: DataFrame, window_s: int = WINDOW_S) -> DataFrame:
