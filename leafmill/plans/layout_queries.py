@@ -11,6 +11,12 @@ from leafmill.sources import exports as X
 from leafmill.sources import scans as C
 
 
+@query()
+def scan_files(spark, d):
+    """The table files of the folder: SQL on the tables can't see them."""
+    return C.scan_files(spark, d, "*.parquet", at_least=2).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.col("length").alias("bytes"))
+
+
 @query(r"SELECT doc_id, CAST(i AS INTEGER) AS line_no, line FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents)")
 def scan_text(spark, d):
     return C.scan_text(table(spark, d, "documents"))
