@@ -60,8 +60,8 @@ def _unwanted(name: str, attributes: str) -> bool:
     return any(MARKED.search(" ".join(x for x in found if x)) for found in ATTRIBUTE.findall(attributes)) or bool(HIDDEN.search(attributes))
 
 
-def pieces(page: str):
-    """Blocks of a page in order: (tags before it, words of text, in an article?, in links?), without unwanted elements."""
+def pieces(page: str, whole: bool = False):
+    """Blocks of a page in order: (tags before it, words of text, in an article?, share of text in links); without unwanted elements, unless the whole page is asked for."""
     skipped: list[str] = []  # open elements inside an unwanted one
     tags: list[str] = []
     text: list[str] = []
@@ -101,7 +101,7 @@ def pieces(page: str):
             text.append(" ")
         tags.append(name)
         if kind == "open":
-            if _unwanted(name, attributes) and name not in VOID:
+            if not whole and _unwanted(name, attributes) and name not in VOID:
                 yield from block()
                 skipped = [name]
             elif name in ARTICLE:
@@ -119,7 +119,7 @@ def tallies(page: str) -> Counter:
     """How often words and tags occur in and out of a page's marked article; nothing for a page without one."""
     found: Counter = Counter()
     marked = False
-    for tags, words, inside, linked in pieces(page):
+    for tags, words, inside, linked in pieces(page, whole=True):
         marked |= inside
         found["in" if inside else "out", "words-linked" if linked > 0.5 else "words"] += len(words)
         for t in tags:
@@ -150,7 +150,7 @@ def learn_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     weights = {}
     for name, (inside, outside) in seen.items():
         odds = math.log(inside / outside)
-        weights[name] = min(2.0, max(0.25, odds)) if name.startswith("words") else max(-4.0, min(-0.01, odds))
+        weights[name] = min(2.0, max(0.25, odds)) if name.startswith("words") else max(-1.0, min(-0.01, odds))
     weights.setdefault("words", 1.0)
     weights["words-linked"] = min(weights.get("words-linked", 0.25), 0.25)
     return weights
