@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.wordhash import NON_ALNUM, ranges, words
+from leafmill.llm.worker import release, text_of
 
 WINDOW = 13
 #: Bytes of benchmark text whose windows one broadcast may hold; more are scanned for in blocks.
@@ -69,7 +70,7 @@ def _hits(texts, held: WindowSet, bits: dict):
 def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
     """Where windows of benchmark items occur in documents.
 
-    Returns a row per row of docs: row (struct of doc_id and the carried columns), text (null kept), n_words, spans (array of {start,
+    Returns a row per row of docs: row (struct of doc_id, text and the carried columns), n_words, spans (array of {start,
     end} in words, merged, end exclusive) and items (sorted array of item ids as text).
 
     The windows of the items are a broadcast hash set of at most block_bytes of text; a
@@ -82,8 +83,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     bench = items.select(F.col(item_id).cast("string").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text")).where("item is not null").distinct()
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
-    base = docs.select(F.struct(F.col(id_col).alias("doc_id"), *[F.col(c).alias(c) for c in carry if c != "doc_id"]).alias("row"), F.col(text_col).alias("text"))
-    fields = "row {}, text string, n_words long, spans array<struct<start:int,end:int>>, items array<string>".format(base.schema["row"].dataType.simpleString())
+    base = docs.select(F.struct(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(c) for c in carry if c not in ("doc_id", "text")]).alias("row"))
+    fields = "row {}, n_words long, spans array<struct<start:int,end:int>>, items array<string>".format(base.schema["row"].dataType.simpleString())
     out = base
     for block in range(blocks):
         mine = bench.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block) if blocks > 1 else bench
@@ -99,17 +100,18 @@ def _scan(shared):
     """Adds what one broadcast finds to what earlier ones have found."""
 
     def run(batches):
+        release()
         held = shared.value
         bits = {n: np.unpackbits(b).astype(bool) for n, (b, _) in held.by_length.items()}
         for batch in batches:
             again = "spans" in batch.schema.names
             olds = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True) if again else iter(lambda: ((), ()), None)
             n_words, spans, names = [], [], []
-            for (_, _, n, merged, found), (old, was) in zip(_hits(batch.column("text"), held, bits), olds, strict=False):
+            for (_, _, n, merged, found), (old, was) in zip(_hits(text_of(batch), held, bits), olds, strict=False):
                 n_words.append(n)
                 spans.append([{"start": a, "end": b} for a, b in _merged([*merged, *((x["start"], x["end"]) for x in old)])])
                 names.append(sorted({*found, *was}))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(SPAN)), pa.array(names, pa.list_(pa.string()))], names=["row", "text", "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(SPAN)), pa.array(names, pa.list_(pa.string()))], names=["row", "n_words", "spans", "items"])
 
     return run
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from leafmill.llm.components import connected_components
 from leafmill.llm.scratch import Scratch
 from leafmill.llm.wordhash import SPACES, mix, ranges, words
+from leafmill.llm.worker import release
 
 SHINGLE = 5
 #: Minima in a band, bands. At a similarity of 0.85 a pair misses all bands with probability 3e-6.
@@ -55,6 +56,7 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches):
+    release()
     for batch in batches:
         n, digests, keys = [], [], []
         for s in shingle_sets(batch.column("text")):

@@ -19,17 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.llm.worker import hold
+
 SPACE = "▁"
 #: Chunks that a worker keeps encoded; when they are more, those not met since go.
-KEPT_CHUNKS = 300_000
+KEPT_CHUNKS = 150_000
 #: Chunks longer than this are relaxed one by one.
 LONG = 400
 MEMO_BITS = 21
 NEVER = 1 << 30
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*")
 
-_held: dict = {}
-
 
 class Pieces:
     """The vocabulary of a model: pieces, merge ranks, and how each piece is merged from two others."""
@@ -336,7 +336,7 @@ class Encoder:
         return [b"".join(map(get, parts)) for parts in cut]
 
 
-def _groups(texts: list[str], limit: int = 1 << 22):
+def _groups(texts: list[str], limit: int = 1 << 21):
     at = size = 0
     for i, t in enumerate(texts):
         if size and size + len(t) > limit:
@@ -347,13 +347,6 @@ def _groups(texts: list[str], limit: int = 1 << 22):
         yield at, len(texts)
 
 
-def _encoder(key: str, shared) -> Encoder:
-    if key not in _held:
-        _held.clear()
-        _held[key] = Encoder(shared.value)
-    return _held[key]
-
-
 def encode_texts(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (array of int) and decodes (whether the ids give the text back), one row per row of df.
 
@@ -367,7 +360,7 @@ def encode_texts(df: DataFrame, model: str, id_col: str = "doc_id", text_col: st
     shared = spark.sparkContext.broadcast(pieces)
 
     def run(batches):
-        encoder = _encoder(model, shared)
+        encoder = hold(("pieces", model), lambda: Encoder(shared.value))
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in _groups(texts):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.scratch import Scratch
 from leafmill.llm.wordhash import SPACES, Words, ranges, words
+from leafmill.llm.worker import release, text_of
 
 WINDOW, GRAM = 50, 8
 
@@ -46,6 +47,7 @@ def _anchored(part: Words, window: int, gram: int) -> tuple[np.ndarray, ...]:
 
 def _runs(window: int, gram: int):
     def scan(batches):
+        release()
         for batch in batches:
             ids = batch.column("id")
             for part in words(batch.column("text"), SPACES, False):
@@ -82,7 +84,7 @@ def _cut(window: int):
 
     def scan(batches):
         for batch in batches:
-            runs, single, texts = batch.column("whole").to_pylist(), batch.column("starts").to_pylist(), batch.column("text")
+            runs, single, texts = batch.column("whole").to_pylist(), batch.column("starts").to_pylist(), text_of(batch)
             n_words, removed, digests, kept, spans = [], [], [], [], []
             for part in words(texts, SPACES, False):
                 doc, a, b, _ = _anchored(part, window, GRAM)
@@ -110,7 +112,7 @@ def _cut(window: int):
                     n_words.append(hi - lo)
                     removed.append(sum(y - x for x, y in gone))
                     digests.append(hashlib.sha256(left).hexdigest())
-                    kept.append(left.decode() if gone else texts[i].as_py())
+                    kept.append(left.decode() if gone else None)
                     spans.append([{"start": x, "end": y} for x, y in gone])
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["id", "row", "n_words", "n_removed", "kept_sha256", "kept_text", "removed"])
 
@@ -149,8 +151,10 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     smallest = windows.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h", "lo")
     starts = windows.join(smallest, "h").where("id > lo").groupBy("id").agg(F.collect_set("at").alias("starts"))
     fates = per_doc.select("id", "whole").join(starts, "id", "full_outer")
-    carried = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*carry).alias("row")).where("id is not null") if carry else docs.withColumn("row", F.lit(True))
-    ready = carried.join(fates, "id", "left").select("id", "row", "text", "whole", "starts")
+    row = F.struct(F.col(text_col).alias("text"), *[F.col(c).alias(c) for c in carry if c != "text"])
+    carried = df.select(F.col(id_col).cast("long").alias("id"), row.alias("row")).where("id is not null")
+    ready = carried.join(fates, "id", "left").select("id", "row", "whole", "starts")
     fields = "id long, row {}, n_words long, n_removed long, kept_sha256 string, kept_text string, removed array<struct<start:int,end:int>>"
     out = ready.mapInArrow(_cut(window), fields.format(ready.schema["row"].dataType.simpleString())).withColumnRenamed("id", "doc_id")
+    out = out.withColumn("kept_text", F.coalesce("kept_text", "row.text", F.lit("")))
     return out if carry else out.drop("row")

@@ -11,13 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.scratch import Scratch
+from leafmill.llm.worker import hold
 
 CACHE_SCHEMA = "content binary, tokenizer string, n_tokens long"
 #: Entries of a worker's table of encoded pieces; it starts anew when it is full.
 PIECES = 300_000
 
-_held: dict = {}
-
 
 def tokenizer_version(path: str) -> str:
     """Digest of a tokenizer's file: a changed tokenizer never meets counts of another one."""
@@ -79,10 +78,7 @@ def _packed(batches):
 
 def _counted(version: str, shared):
     def run(batches):
-        if version not in _held:
-            _held.clear()
-            _held[version] = Counter(shared.value)
-        counter, unpack = _held[version], zstandard.ZstdDecompressor().decompress
+        counter, unpack = hold(("tokens", version), lambda: Counter(shared.value)), zstandard.ZstdDecompressor().decompress
         for batch in batches:
             packed = batch.column("packed").to_pylist()
             counts: list[int] = []

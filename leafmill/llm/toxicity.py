@@ -17,6 +17,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from leafmill.llm.scratch import Scratch
 from leafmill.llm.wordhash import BASE, NON_ALNUM, Words, mix, powers, text_buffers
 from leafmill.llm.wordhash import pieces as runs
+from leafmill.llm.worker import release, text_of
 
 #: Labelled rows the trees are fitted on at most, and entries of the learned lexicon at most.
 TRAINING_ROWS, LEXICON = 20_000, 4_000
@@ -145,8 +146,9 @@ def feature_rows(column, lexicon: dict) -> np.ndarray:
 
 def _featured(shared):
     def run(batches):
+        release()
         for batch in batches:
-            rows = feature_rows(batch.column("text"), shared.value)
+            rows = feature_rows(text_of(batch), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(rows[:, i]) for i in range(len(FEATURES)))], names=["row", *FEATURES])
 
     return run
@@ -160,7 +162,8 @@ class ToxicityModel:
 
     def score(self, df: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         """row (a struct of the carried columns) and score (0 to 1) of every row of df; null and empty texts have the score of a text without features."""
-        rows = df.select(F.struct(*carry).alias("row"), F.col(text_col).alias("text"))
+        text = [] if "text" == text_col and "text" in carry else [F.col(text_col).alias("text")]  # carried once
+        rows = df.select(F.struct(*carry).alias("row"), *text)
         shared = df.sparkSession.sparkContext.broadcast(self.lexicon)
         fields = StructType([rows.schema["row"], *(StructField(f, DoubleType()) for f in FEATURES)])
         features = rows.mapInArrow(_featured(shared), fields)

@@ -96,6 +96,6 @@ def test_contamination_equals_brute_force(spark, block):
     assert got == brute.contamination(docs, items)
     found = decontaminate.find_contamination(df, bench, block_bytes=block).where("size(spans) > 0").limit(5).collect()
     for r in found:
-        left = decontaminate.without_spans([r.text], [[s.asDict() for s in r.spans]])[0]
+        left = decontaminate.without_spans([r.row.text], [[s.asDict() for s in r.spans]])[0]
         assert len(brute.alnum(left)) == r.n_words - sum(s.end - s.start for s in r.spans)
     assert decontaminate.contamination_report(df, bench.limit(0)).where("n_hit > 0").count() == 0
