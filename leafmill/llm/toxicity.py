@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from leafmill.llm.worker import release, text_of
 TRAINING_ROWS, LEXICON = 20_000, 4_000
 #: Texts with a label from which the lexicon is learned at least this often before it counts.
 LEAST_TOXIC = 3
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8, 9)
 NEAR = 6
 #: Second person in the languages of the corpus (fixed values).
 SECOND_PERSON = ("you", "your", "yours", "yourself", "u", "ur", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "sie", "ihnen", "tu", "te", "toi", "ton", "ta", "tes", "vous", "votre", "vos", "tú", "ti", "usted", "ustedes", "vosotros", "tus", "su", "vuestro")
@@ -46,14 +47,17 @@ def _hash_word(word: bytes) -> int:
 _YOU = np.sort(np.array([_hash_word(w.encode()) for w in SECOND_PERSON], np.uint64))
 
 
-def _stems(part: Words, length: int) -> np.ndarray:
-    """Hash of each word's first bytes, marked with their number; 0 for words that are no longer."""
+def _stems(part: Words, lengths) -> Iterator[tuple[int, np.ndarray]]:
+    """For each length, the hash of each word's first bytes, marked with their number; 0 for words that are no longer."""
     up, down = powers(len(part.data) + 1)
     sums = np.zeros(len(part.data) + 1, np.uint64)
     np.cumsum((part.data.astype(np.uint64) + np.uint64(1)) * up[: len(part.data)], out=sums[1:])
-    to = np.minimum(part.starts + length, len(part.data))
-    h = mix((sums[to] - sums[part.starts]) * down[part.starts]) ^ np.uint64(length)
-    return np.where(part.ends - part.starts > length, h, np.uint64(0))
+    size, begin, scale = part.ends - part.starts, sums[part.starts], down[part.starts]
+    for length in lengths:
+        h = np.zeros(len(size), np.uint64)
+        at = np.flatnonzero(size > length)
+        h[at] = mix((sums[part.starts[at] + length] - begin[at]) * scale[at]) ^ np.uint64(length)
+        yield length, h
 
 
 def _found(values: np.ndarray, keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -72,8 +76,7 @@ def _terms(batches):
         for a, b in runs(offsets):
             part = Words(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], a, NON_ALNUM, True)
             owner = part.owners().astype(np.uint64)
-            for length in (0, *STEMS):
-                h = _stems(part, length) if length else part.hashes
+            for length, h in ((0, part.hashes), *_stems(part, STEMS)):
                 keep = h != 0
                 pair = np.unique(np.stack([owner[keep], h[keep]], 1), axis=0) if keep.any() else np.zeros((0, 2), np.uint64)
                 bad = toxic[pair[:, 0].astype(np.int64) + a]
@@ -114,8 +117,8 @@ def feature_rows(column, lexicon: dict) -> np.ndarray:
         each = np.maximum(n, 1)
         lex = _found(part.hashes, *lexicon.get(0, none))
         stem = np.zeros(len(part.hashes))
-        for length in STEMS:
-            stem = np.maximum(stem, _found(_stems(part, length), *lexicon.get(length, none))) if length in lexicon else stem
+        for length, h in _stems(part, [n for n in STEMS if n in lexicon]):
+            stem = np.maximum(stem, _found(h, *lexicon[length]))
         you = _found(part.hashes, _YOU, np.ones(len(_YOU)))
         disguised = Words(_LEET[body], places, a, _KEPT, True)
         shown = np.zeros(len(body) + 1)
