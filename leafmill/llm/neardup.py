@@ -21,6 +21,8 @@ SHINGLE = 5
 ROWS, BANDS = 8, 40
 #: Shingles of a verification block; a larger family is compared block against block.
 BLOCK_SHINGLES = 200_000
+#: Documents of a verification block: its table of common shingles is square.
+BLOCK_DOCS = 1_000
 
 _rng = np.random.default_rng(20_240_607)
 _A = _rng.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -129,7 +131,7 @@ def _verified(over: int, of: int):
     return run
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", over: int = 100, of: int = 85, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", over: int = 100, of: int = 85, block_shingles: int = BLOCK_SHINGLES, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """Groups of near-duplicates: doc_id, n_shingles, component_id, kept, one row per row of df.
 
     Documents are linked when over * |A and B| >= of * |A or B| for their shingle sets (100
@@ -155,7 +157,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     member = family.join(classes.select(F.col("rep").alias("node"), "n"), "node").select("node", F.col("component").alias("fam"), "n")
     member = scratch.keep(member, "members")
-    blocks = member.groupBy("fam").agg(F.ceil(F.sum("n") / F.lit(block_shingles)).cast("int").alias("blocks"))
+    blocks = member.groupBy("fam").agg(F.ceil(F.greatest(F.sum("n") / F.lit(block_shingles), F.count(F.lit(1)) / F.lit(block_docs))).cast("int").alias("blocks"))
     placed = member.join(blocks, "fam").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = placed.select(F.col("node").alias("id"), "fam", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "block")
     placed = placed.select("id", "fam", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))

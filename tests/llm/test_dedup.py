@@ -46,11 +46,11 @@ def corpus(seed=3):
     return rows
 
 
-@pytest.mark.parametrize("block", [neardup.BLOCK_SHINGLES, 700])
-def test_near_duplicates_equal_brute_force(spark, block):
+@pytest.mark.parametrize("block,many", [(neardup.BLOCK_SHINGLES, neardup.BLOCK_DOCS), (700, 1000), (10**6, 9)])
+def test_near_duplicates_equal_brute_force(spark, block, many):
     rows = corpus()
     df = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "doc_id long, text string, id string, class int").repartition(5)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, block_shingles=block).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, block_shingles=block, block_docs=many).collect()}
     assert got == brute.near_duplicates(rows)
 
 
