@@ -14,6 +14,8 @@ from leafmill.llm.substrings import dedup_substrings
 from leafmill.llm.toxicity import fit_toxicity
 
 THRESHOLD = 0.7
+#: Near-duplicates have a similarity of 80 / 100 or more; a pair at just that misses all 50 bands of 7 minima with probability 8e-6.
+OVER, OF, ROWS, BANDS = 100, 80, 7, 50
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +26,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of the smallest id stays; rows without an id can't be judged and stay."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    kept = near_duplicates(docs, over=OVER, of=OF, rows=ROWS, bands=BANDS).where("kept").select(F.col("doc_id").alias("__id")).distinct()
     chosen = docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
     return chosen.unionByName(docs.where("doc_id is null"))
 

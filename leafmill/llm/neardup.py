@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -24,10 +25,14 @@ BLOCK_SHINGLES = 200_000
 #: Documents of a verification block: its table of common shingles is square.
 BLOCK_DOCS = 1_000
 
-_rng = np.random.default_rng(20_240_607)
-_A = _rng.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-_B = _rng.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint64).astype(np.uint32)
-_BAND_POWERS = np.array([pow(0x9E3779B97F4A7C55, i + 1, 1 << 64) for i in range(ROWS)], np.uint64)
+
+@cache
+def _hashes(rows: int, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Factors and addends of rows * bands universal hashes, and the factors that make a band's minima one key."""
+    rng = np.random.default_rng(20_240_607)
+    a = rng.integers(0, 1 << 32, rows * bands, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+    b = rng.integers(0, 1 << 32, rows * bands, dtype=np.uint64).astype(np.uint32)
+    return a, b, np.array([pow(0x9E3779B97F4A7C55, i + 1, 1 << 64) for i in range(rows)], np.uint64)
 
 
 def shingle_sets(texts) -> Iterator[np.ndarray]:
@@ -45,27 +50,31 @@ def shingle_sets(texts) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band of the minima of ROWS * BANDS universal hashes."""
-    low = np.full(ROWS * BANDS, 0xFFFFFFFF, np.uint32)
+def band_keys(shingles: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> np.ndarray:
+    """One 64-bit key per band of the minima of rows * bands universal hashes."""
+    a, b, powers = _hashes(rows, bands)
+    low = np.full(rows * bands, 0xFFFFFFFF, np.uint32)
     x = (shingles >> np.uint64(32)).astype(np.uint32)[:, None]
     for at in range(0, len(x), 1024):
-        h = x[at : at + 1024] * _A
-        h += _B
+        h = x[at : at + 1024] * a
+        h += b
         np.minimum(low, h.min(axis=0), out=low)
-    bands = low.reshape(BANDS, ROWS).astype(np.uint64)
-    return mix((bands + np.uint64(1)) @ _BAND_POWERS + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    minima = low.reshape(bands, rows).astype(np.uint64)
+    return mix((minima + np.uint64(1)) @ powers + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _signed(batches):
-    release()
-    for batch in batches:
-        n, digests, keys = [], [], []
-        for s in shingle_sets(batch.column("text")):
-            n.append(len(s))
-            digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            keys.append(band_keys(s).view(np.int64) if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n_shingles", "class", "bands"])
+def _signed(rows: int, bands: int):
+    def run(batches):
+        release()
+        for batch in batches:
+            n, digests, keys = [], [], []
+            for s in shingle_sets(batch.column("text")):
+                n.append(len(s))
+                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                keys.append(band_keys(s, rows, bands).view(np.int64) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n_shingles", "class", "bands"])
+
+    return run
 
 
 def _with_sets(batches):
@@ -131,12 +140,12 @@ def _verified(over: int, of: int):
     return run
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", over: int = 100, of: int = 85, block_shingles: int = BLOCK_SHINGLES, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", over: int = 100, of: int = 85, block_shingles: int = BLOCK_SHINGLES, block_docs: int = BLOCK_DOCS, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """Groups of near-duplicates: doc_id, n_shingles, component_id, kept, one row per row of df.
 
     Documents are linked when over * |A and B| >= of * |A or B| for their shingle sets (100
     and 85: a Jaccard similarity of 0.85). Equal sets are one class, of which only the
-    smallest id goes on. Classes that share the minima of a band are joined to families by
+    smallest id goes on. Classes that share the rows minima of one of the bands are joined to families by
     large-star and small-star; in each family every pair is verified on its full sets, the
     large families block against block, and each block pair sends on only a forest of the
     links it found. Components of these links are the result. component_id is the smallest
@@ -148,7 +157,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     scratch = Scratch(df.sparkSession, "neardup")
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    signed = scratch.keep(docs.mapInArrow(_signed, "id long, n_shingles long, class binary, bands array<long>"), "signed")
+    signed = scratch.keep(docs.mapInArrow(_signed(rows, bands), "id long, n_shingles long, class binary, bands array<long>"), "signed")
     full = signed.where("class is not null")
     classes = scratch.keep(full.groupBy("class").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
     banded = classes.select("rep", F.explode("bands").alias("key"))

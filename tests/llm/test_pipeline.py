@@ -43,3 +43,13 @@ def test_run_equals_plain_version(spark, tmp_path):
     assert len(kept) < len(docs) - 60
     assert sorted(r.doc_id for r in out if r.doc_id is not None) == sorted(i for i in kept if i is not None) and sum(r.doc_id is None for r in out) == 1
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "substring_dedup", "decontamination", "encoding"]
+
+
+def test_near_dedup_links_at_four_fifths(spark):
+    """Pairs at a similarity of 0.82 and of exactly 0.8 are linked, one at 0.79 is not."""
+    docs = []
+    for k, left in ((0, 82), (10, 80), (20, 79)):
+        w = [f"v{k}x{i}" for i in range(104)]
+        docs += [(k, " ".join(w)), (k + 1, " ".join(w[: left + 4]))]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == [0, 10, 20, 21]
