@@ -76,17 +76,21 @@ def search_text(spans: DataFrame, query: str, ignore_case: bool = False) -> Data
 def search_context(pages: DataFrame, queries: DataFrame, context: int = 50) -> DataFrame:
     """Hits of each query (query_id, query) in page texts, overlaps included, with what stands around.
 
-    The queries are a small given list (its size is checked); each page is matched with the
-    queries that it holds only.
+    Any number of queries: they stay a table. A term is joined with the pages that hold its
+    first 8 characters (4, 2 or 1 of shorter terms), without their texts; the pages found
+    are then read again and verified. Equal terms are searched for once. Rows that repeat
+    give repeated hits.
     """
-    terms = queries.where("query <> ''").select("query_id", "query").limit(10_001).collect()
-    if len(terms) > 10_000:
-        raise ValueError("more than 10000 queries: search for them in blocks")
-    if not terms:
-        return pages.limit(0).select("doc_id", "page_no", F.lit(0).alias("query_id"), F.lit(0).alias("at"), *[F.lit("").alias(c) for c in ("before", "match", "after")])
-    held = F.array(*[F.struct(F.lit(t.query_id).alias("query_id"), F.lit(t.query).alias("query")) for t in terms])
-    hit = pages.select("doc_id", "page_no", "text", F.explode(F.filter(held, lambda t: F.col("text").contains(t["query"]))).alias("q"))
-    hit = hit.select("doc_id", "page_no", "text", "q.query_id", "q.query", F.explode(places(F.col("text"), F.col("q.query"))).alias("at"))
+    asked = queries.where("query <> ''").select("query_id", "query")
+    size = F.when(F.length("query") >= 8, 8).when(F.length("query") >= 4, 4).when(F.length("query") >= 2, 2).otherwise(1)
+    terms = asked.select("query").distinct().withColumn("gram", F.col("query").substr(F.lit(1), size))
+    sizes = [r.n for r in asked.select(size.alias("n")).distinct().collect()] or [1]  # at most four
+    key = ["doc_id", "page_no", "text_hash"]
+    read = pages.select("doc_id", "page_no", "text", F.xxhash64("text").alias("text_hash"))
+    grams = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sorted(sizes)])))
+    found = read.select(*key, F.explode(grams).alias("gram")).join(terms, "gram").select(*[F.col(c).alias(f"on_{c}") for c in key], "query").distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"on_{c}")) for c in key]
+    hit = read.join(found, same).select("doc_id", "page_no", "text", "query", F.explode(places(F.col("text"), F.col("query"))).alias("at")).join(asked, "query")
     n = F.length("query")
     before = F.substring(F.col("text"), F.greatest(F.col("at") - context, F.lit(0)) + 1, F.least(F.col("at"), F.lit(context)))
     after = F.substring(F.col("text"), F.col("at") + n + 1, F.lit(context))

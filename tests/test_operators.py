@@ -129,6 +129,18 @@ def test_text_search(spark):
     assert sorted((r.page_no, r.n_hits) for r in count.collect()) == [(0, 4), (1, 1)]
 
 
+def test_search_context_of_many_queries(spark):
+    """More queries than fit one literal, of all lengths, against a plain search; rows that repeat count each time."""
+    texts = ["ab😀cd abcdefghij x", "the the theory of 123", "n7 n8 n10400", None, ""]
+    rows = [(i, 0, t) for i, t in enumerate(texts)] + [(1, 0, texts[1]), (None, 3, "no id: abcdefghij")]
+    asked = [(i, f"n{i}") for i in range(10_500)] + list(enumerate(["😀", "😀c", "the", "the", "abcdefghi", "abcdefghij x", "e t", "b", "12", None, ""], 20_000))
+    df, q = spark.createDataFrame(rows, "doc_id long, page_no int, text string"), spark.createDataFrame(asked, "query_id long, query string")
+    want = [(d, k, i, at, t[max(at - 4, 0) : at], w, t[at + len(w) : at + len(w) + 4]) for d, k, t in rows if t for i, w in asked if w for at in range(len(t)) if t.startswith(w, at)]
+    got = [tuple(r) for r in T.search_context(df, q, 4).collect()]
+    assert len(want) > 20 and sorted(got, key=str) == sorted(want, key=str)
+    assert T.search_context(df, q.limit(0)).count() == 0
+
+
 def test_fonts(spark):
     points = spark.createDataFrame([(1, 1, 0, 55.0, 100.0), (2, 1, 0, 5.0, 5.0)], "point_id long, doc_id long, page_no int, x double, y double")
     assert {r.point_id: r["size"] for r in T.font_at_points(spans(spark), points).collect()} == {1: 24.0, 2: None}
