@@ -112,6 +112,12 @@ def object_tree(spark, d):
     return O.object_tree(conversation_pages(spark, d), html_spans(table(spark, d, "pages")), images(spark, d), annotations(spark, d), 4)
 
 
+@query(f"""WITH {PG}, {SP}, {IM}, {AN}, b AS (SELECT doc_id, page_no, count(DISTINCT block) AS n FROM sp GROUP BY 1, 2), i AS (SELECT doc_id, page_no, count(*) AS n FROM im GROUP BY 1, 2), a AS (SELECT doc_id, page_no, count(*) AS n FROM an GROUP BY 1, 2)
+SELECT pg.doc_id, pg.page_no, CAST(coalesce(b.n, 0) AS BIGINT) AS n_blocks, CAST(coalesce(i.n, 0) AS BIGINT) AS n_images, CAST(coalesce(a.n, 0) AS BIGINT) AS n_annotations FROM pg LEFT JOIN b USING (doc_id, page_no) LEFT JOIN i USING (doc_id, page_no) LEFT JOIN a USING (doc_id, page_no)""")
+def object_tree_whole(spark, d):
+    return O.object_tree(conversation_pages(spark, d), html_spans(table(spark, d, "pages")), images(spark, d), annotations(spark, d))
+
+
 @query(f"WITH {PG} SELECT doc_id, CAST(count(*) AS BIGINT) AS n_pages, min(width) AS min_width, max(width) AS max_width, min(height + page_no) AS min_height, max(height + page_no) AS max_height FROM pg GROUP BY 1")
 def page_profile(spark, d):
     pages = conversation_pages(spark, d)

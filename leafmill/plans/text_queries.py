@@ -19,6 +19,11 @@ def extract_text(spark, d):
     return T.extract_text(_spans(spark, d), 1)
 
 
+@query(f"WITH {SP} SELECT doc_id, string_agg(text || ' ' || chr(10), '' ORDER BY page_no, block) AS text FROM sp GROUP BY 1")
+def extract_text_whole(spark, d):
+    return T.extract_text(_spans(spark, d))
+
+
 @query(f"WITH {SP} SELECT doc_id, page_no, block, line, span, text, font, size, flags & 16 > 0 AS is_bold, flags & 64 > 0 AS is_italic, flags & 1 > 0 AS is_serif, flags & 8 > 0 AS is_mono FROM sp")
 def text_properties(spark, d):
     return T.text_properties(_spans(spark, d))

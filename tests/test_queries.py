@@ -33,3 +33,17 @@ def test_plans_stay_in_the_engine(spark):
     for name in ("paginate_text", "html_spans", "font_usage", "object_tree", "search_context"):
         plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
+
+
+def test_whole_documents_and_their_limits(spark, tmp_path):
+    """60 blocks are two pages, six turns are six: a query of whole documents has all of them, a limited one the first."""
+    html = "".join(f"<p>block {i}</p>" for i in range(60))
+    spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(1, i, "user", "t") for i in range(6)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    for name in ("part", "events"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    run = lambda name: catalog.queries()[name](spark, str(tmp_path)).collect()
+    assert [r.text for r in run("extract_text_whole")] == ["".join(f"block {i} \n" for i in range(60))]
+    assert [r.text for r in run("extract_text")] == ["".join(f"block {i} \n" for i in range(54))]
+    assert sorted((r.page_no, r.n_blocks) for r in run("object_tree_whole")) == [(0, 54), (1, 6), (2, 0), (3, 0), (4, 0), (5, 0)]
+    assert sorted(r.page_no for r in run("object_tree")) == [0, 1, 2, 3]
