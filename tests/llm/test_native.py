@@ -1,7 +1,9 @@
 import hashlib
+import random
 import re
 
 import pytest
+import xxhash
 
 from leafmill.llm import fingerprints, licenses
 
@@ -53,43 +55,98 @@ def test_license_places_are_words(spark):
     assert (d.start, d.end, d.label) == (3, 5, "mit")
 
 
-@pytest.mark.parametrize("ids", [[5, 3, 9], [7], [1, 4097, 8200, -3, 4096], list(range(0, 40000, 977))])
-def test_edited_text_and_next_document(spark, ids):
-    texts = {i: f"é{i} " + f"word{i} and more of {i * 7} " * (1 + abs(i) % 9) for i in ids}
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+MASK = (1 << 64) - 1
+S = r"[^ \t\n\x0b\f\r]"
+
+
+def plain_fingerprint(text):
+    """Hash and place of each selected k-gram, by going through all windows."""
+    units = [m[1] for m in re.finditer(rf"(?=((?<!{S}){S}{{1,16}}(?!{S})|{S}{{1,8}}))(?:(?<!{S}){S}{{1,16}}(?!{S})|{S})", text or "")]
+    u = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in units]
+    grams = []
+    for i in range(max(len(u) - fingerprints.K + 1, min(len(u), 1))):
+        h = 0
+        for x in u[i : i + fingerprints.K]:
+            h = ((h << 1 | h >> 63) ^ x) & MASK
+        grams.append(h - (1 << 64) if h >> 63 else h)
+    picked = []
+    for i in range(max(len(grams) - fingerprints.WINDOW + 1, min(len(grams), 1))):
+        span = grams[i : i + fingerprints.WINDOW]
+        at = max(k for k, h in enumerate(span) if h == min(span)) + i
+        if at not in picked:
+            picked.append(at)
+    return [(grams[k], k) for k in picked]
+
+
+def jaccard(a, b):
+    a, b = {h for h, _ in a}, {h for h, _ in b}
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def as_text(fingerprint):
+    return " ".join(dict.fromkeys(f"{h & MASK:x}" for h, _ in fingerprint))
+
+
+def prose(seed, n):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abcdeß日") for _ in range(rng.choice((1, 3, 5, 8, 16, 17, 30)))) for _ in range(n))
+
+
+@pytest.mark.parametrize("block", [1 << 20, 3000, 1])
+@pytest.mark.parametrize("ids", [[5, 3, 9], [7], [1, 4097, 8200, -3, 4096], list(range(0, 40000, 977)), [17**k for k in range(14)] + [-(5**20)]])
+def test_fingerprints_of_edited_texts_equal_brute_force(spark, ids, block):
+    texts = {i: prose(i, 1 + abs(i) % 60) for i in ids}
+    df = spark.createDataFrame([(i, t, "clash", 1, 2) for i, t in texts.items()], "doc_id long, text string, id string, __b int, __o int").repartition(3)
     order = sorted(ids, reverse=True)
     after = {i: order[(k + 1) % len(order)] for k, i in enumerate(order)}
-    rows = {r.doc_id: r for r in fingerprints.edited_fingerprints(df).collect()}
+    rows = {r.doc_id: r for r in fingerprints.edited_fingerprints(df, block_bytes=block).collect()}
     assert sorted(rows) == sorted(ids)
     for i, t in texts.items():
         cut = len(t) // 3
         edited = t[: len(t) - cut] + texts[after[i]][:cut]
-        assert rows[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and rows[i].n_chars == len(t)
-        assert 0 <= rows[i].near_edited <= 1
+        own, other, following = map(plain_fingerprint, (t, edited, texts[after[i]]))
+        r = rows[i]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (as_text(own), as_text(other))
+        assert r.near_edited == pytest.approx(jaccard(own, other)) and r.near_next == pytest.approx(jaccard(own, following))
+
+
+def test_fingerprints_and_places_equal_brute_force(spark):
+    texts = [None, "", " \n\t", "x", "a b", "a b c", "z " * 300, "日本語" * 200, "ab" * 3000, *(prose(k, n) for k, n in enumerate((1, 2, 9, 10, 11, 12, 60, 400)))]
+    got = fingerprints.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.id: [(x.hash, x.place) for x in r.fingerprint] for r in got} == {i: plain_fingerprint(t) for i, t in enumerate(texts)}
+    assert [k for _, k in plain_fingerprint("z " * 300)] == list(range(fingerprints.WINDOW - 1, 300 - fingerprints.K + 1))
+
+
+def test_likeness_is_the_same_at_every_length(spark):
+    """Near copies of 399, 400 and 401 characters are alike, also where a character is put into text without spaces."""
+    for text in (prose(1, 200).replace("日", "f"), "".join(chr(0x4E00 + 37 * k % 900) for k in range(900))):
+        rows = [(2 * k, text[:n]) for k, n in enumerate((401, 400, 399))] + [(-1, text[:200] + "#" + text[200:401])]
+        got = {r.doc_id: r.near_next for r in fingerprints.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert min(got[4], got[2], got[0]) > 0.8
+
+
+def test_fingerprints_of_repeated_and_missing_ids(spark):
+    rows = [(4, "one two three four"), (4, "other words here now"), (4, "one two three four"), (None, "no id at all"), (None, None), (9, "the first of them")]
+    got = fingerprints.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["4", "4", "4", "9", "None", "None"]
+    same = [r for r in got if r.doc_id == 4 and r.n_chars == 18]
+    assert len({r.fingerprint for r in same}) == 1 and sorted(r.near_next for r in same) == [0.0, 1.0]
+    assert spark.createDataFrame([], "doc_id long, text string").transform(fingerprints.edited_fingerprints).count() == 0
 
 
-def test_fingerprint_edge_cases(spark):
-    long = "the same long text " * 500 + "ending " * 30
-    rows = [(1, None), (2, ""), (3, "x"), (4, long), (5, long), (6, " \n\t"), (7, "ab" * 4000), (8, "abcdefghij")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in fingerprints.edited_fingerprints(df).collect()}
-    assert got[4].fingerprint == got[5].fingerprint != "" and got[1].fingerprint == got[2].fingerprint == ""
-    assert got[3].fingerprint and got[8].fingerprint and got[5].near_next == 1.0
-    assert spark.createDataFrame([], "doc_id long, text string").transform(fingerprints.edited_fingerprints).count() == 0
+def test_fingerprint_of_a_very_long_text(spark):
+    text = " ".join(f"w{k * k % 7919}" for k in range(400_000))
+    df = spark.createDataFrame([(1, text), (2, text + " end")], "doc_id long, text string")
+    assert all(r.near_next > 0.99 for r in fingerprints.edited_fingerprints(df).collect())
 
 
 def test_winnowing_guarantee(spark):
-    """Texts that share enough units in a row share a selected hash; places name the k-gram; the rightmost smallest is taken."""
+    """Texts that share enough units in a row share a selected hash."""
     shared = " ".join(f"common{i}" for i in range(fingerprints.WINDOW + fingerprints.K - 1))
     rows = [(k, " ".join(f"own{k}x{i}" for i in range(60)) + " " + shared + " " + " ".join(f"tail{k}y{i}" for i in range(40 + k))) for k in range(6)]
-    got = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    for a in got:
-        for b in got:
-            assert set(a.fingerprint) & set(b.fingerprint)
-        assert {p.hash for p in a.fingerprint_places} == set(a.fingerprint)
-    same = fingerprints.fingerprints(spark.createDataFrame([(1, "z " * 300)], "doc_id long, text string")).first()
-    n = 300
-    assert sorted(p.place for p in same.fingerprint_places) == list(range(fingerprints.WINDOW - 1, n - fingerprints.K + 1))
+    got = [{x.hash for x in r.fingerprint} for r in fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert all(a & b for a in got for b in got)
 
 
 def test_native_plans_run_no_python(spark):
