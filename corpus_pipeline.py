@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.decontaminate import find_contamination
+from leafmill.llm.decontaminate import decontaminate
+from leafmill.llm.joins import with_likely
 from leafmill.llm.neardup import near_duplicates
 from leafmill.llm.queries import tokenizer_file
 from leafmill.llm.scratch import Scratch
@@ -19,35 +20,43 @@ OVER, OF, ROWS, BANDS = 100, 80, 7, 50
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold stay as they are."""
+    """Documents that score below the threshold stay as they are; null and empty texts have the score of a text without features."""
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return model.score(docs, carry=tuple(docs.columns)).where(F.col("score") < THRESHOLD).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id stays; rows without an id can't be judged and stay."""
-    kept = near_duplicates(docs, over=OVER, of=OF, rows=ROWS, bands=BANDS).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    chosen = docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    return chosen.unionByName(docs.where("doc_id is null"))
+    """Of each group of near-duplicates the document of the smallest id stays.
+
+    Rows that repeat an id are one document: if it stays, all its different rows do, and
+    equal ones once. Rows without an id can't be judged and stay. Null and empty texts are
+    near nothing. Only rows that may go, or whose id repeats, are shuffled.
+    """
+    scratch = Scratch(spark, "near_dedup")
+    near = near_duplicates(docs, over=OVER, of=OF, rows=ROWS, bands=BANDS)
+    fate = near.groupBy(F.col("doc_id").alias("__id")).agg(F.max("kept").alias("__kept"), F.count(F.lit(1)).alias("__n")).where("not __kept or __n > 1")
+    fate = scratch.keep(fate.select("__id", "__kept"), "fates")
+    marked = with_likely(docs.withColumn("__id", F.col("doc_id").cast("long")), fate, ["__id"], "__likely")
+    judged = marked.where("__likely").join(fate, "__id", "left").where(F.coalesce("__kept", F.lit(True)))
+    once = judged.withColumn("__row", F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])), 256)).dropDuplicates(["__id", "__row"])
+    return marked.where("not __likely").unionByName(once, allowMissingColumns=True).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words inside repeated windows go; a document that loses none stays as it is, one that loses all stays with an empty text."""
     cut = dedup_substrings(docs, carry=tuple(docs.columns))
     changed = {"text": F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("row.text")), "n_chars": F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("row.n_chars"))}
-    out = cut.select(*[changed.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
+    out = cut.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
     return out.unionByName(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more is benchmark text go."""
-    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=tuple(docs.columns))
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    return found.where(~((hit > 0) & (20 * hit >= F.col("n_words")))).select(*[F.col(f"row.{c}") for c in docs.columns])
+    """Documents of which a twentieth or more is benchmark text go; null and empty texts have none and stay."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text that is left."""
+    """Ids of every text that is left; null and empty ones have none."""
     return encode_texts(docs, tokenizer_file("piece_bpe_32k.model"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.components import connected_components
+from leafmill.llm.joins import join_by_key, with_likely
 from leafmill.llm.scratch import Scratch
 from leafmill.llm.wordhash import SPACES, mix, ranges, words
 from leafmill.llm.worker import release
@@ -152,14 +153,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     id reachable; kept marks it.
 
     Null and empty texts, and texts without words, have no shingles and are linked with
-    nothing. Ids are integers; rows that repeat an id get one component. Null ids are
-    dropped. An empty table gives no rows.
+    nothing; texts of any length are read whole. Ids are integers. Rows that repeat an id
+    are one document of several texts: they get one component, to which each of the texts
+    links. Null ids are dropped. An empty table gives no rows. Other columns of df, whatever
+    their names, are not read.
     """
     scratch = Scratch(df.sparkSession, "neardup")
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    signed = scratch.keep(docs.mapInArrow(_signed(rows, bands), "id long, n_shingles long, class binary, bands array<long>"), "signed")
+    signed, total = scratch.keep_counted(docs.mapInArrow(_signed(rows, bands), "id long, n_shingles long, class binary, bands array<long>"), "signed")
     full = signed.where("class is not null")
-    classes = scratch.keep(full.groupBy("class").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
+    classes = scratch.keep(full.groupBy("class").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
     banded = classes.select("rep", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     family = connected_components(banded.join(buckets.hint("merge"), "key").where("rep <> head").select("rep", "head"), scratch, "rep", "head")
@@ -170,14 +173,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     placed = member.join(blocks, "fam").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = placed.select(F.col("node").alias("id"), "fam", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "block")
     placed = placed.select("id", "fam", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-    # a class keeps the text of its smallest id; a repeated id keeps one of its texts
-    # the same join at every size: what is placed grows with the corpus
-    wanted = docs.join(placed.hint("merge"), "id").select("fam", "bi", "bj", "id", "text")
+    # a class keeps the text of its smallest id; an id of several texts brings them all, each a set of the same node
+    likely = with_likely(docs, member.select(F.col("node").alias("id")), ["id"], "likely").where("likely")
+    wanted = likely.join(placed.hint("merge"), "id").select("fam", "bi", "bj", "id", "text")
     sets = wanted.mapInArrow(_with_sets, "fam long, bi int, bj int, id long, hashes binary")
     groups = sets.repartition("fam", "bi", "bj").sortWithinPartitions("fam", "bi", "bj", "id")
     links = groups.mapInPandas(_verified(over, of), "src long, dst long")
-    joined = connected_components(links, scratch)
 
-    label = classes.select("class", "rep").join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("class", F.coalesce("component", "rep").alias("c"))
-    out = signed.select("id", "n_shingles", "class").join(label, "class", "left")
-    return out.select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("c", "id").alias("component_id")).withColumn("kept", F.expr("doc_id = component_id"))
+    # an id of several texts links the classes of all of them
+    several = scratch.keep(signed.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("class").alias("c")).where("lo <> hi or c between 1 and n - 1").select("id", "n"), "several")
+    own = join_by_key(full.select("id", "class"), several, ["id"], total).distinct().join(classes.select("class", "rep"), "class").where("id <> rep")
+    joined = scratch.keep(connected_components(links.unionByName(own.select(F.col("id").alias("src"), F.col("rep").alias("dst"))), scratch), "joined")
+
+    label = classes.select("class", "rep", F.col("copies").alias("n")).join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("class", F.coalesce("component", "rep").alias("c"), "n")
+    out = join_by_key(full.select("id", "n_shingles", "class"), scratch.keep(label, "labels"), ["class"], total).select("id", "n_shingles", "c")
+    bare = signed.where("class is null").join(joined.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left").select("id", "n_shingles", F.coalesce("c", "id").alias("c"))
+    out = out.unionByName(bare)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("c").alias("component_id")).withColumn("kept", F.expr("doc_id = component_id"))

@@ -19,11 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.llm.schemas import schema
 from leafmill.llm.worker import hold
 
 SPACE = "▁"
-#: Chunks that a worker keeps encoded; when they are more, those not met since go.
-KEPT_CHUNKS = 150_000
+#: Bytes of chunks, with what Python adds to each, that a worker keeps encoded; when they are more, those not met since go.
+KEPT_BYTES, EACH = 48 << 20, 160
+#: Chunks of more characters are encoded anew each time.
+KEPT_CHARS = 1000
 #: Chunks longer than this are relaxed one by one.
 LONG = 400
 MEMO_BITS = 21
@@ -38,6 +41,7 @@ class Pieces:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=body)
+        _check(body)
         n = sp.get_piece_size()
         self.texts = [sp.id_to_piece(i) for i in range(n)]
         self.unknown = sp.unk_id()
@@ -69,8 +73,8 @@ class Pieces:
                 if len(t) > 1:
                     a, b = self._last
                     self.left[i], self.right[i] = self.ids[a], self.ids[b]
-        usable = [(t, i) for t, i in usable if len(t) <= 16]
-        self.letters = np.zeros((len(usable), 16), np.uint32)
+        self.width = -(-max((len(t) for t, _ in usable), default=1) // 8) * 8  # characters of the longest piece, in eights
+        self.letters = np.zeros((len(usable), self.width), np.uint32)
         for r, (t, _) in enumerate(usable):
             self.letters[r, : len(t)] = [ord(c) for c in t]
         self.lengths = np.array([len(t) for t, _ in usable], np.int32)
@@ -136,6 +140,39 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
+def _fields(message: bytes):
+    """(field number, value) of a message in the wire format of protocol buffers."""
+
+    def number(at: int) -> tuple[int, int]:
+        value = shift = 0
+        while True:
+            value |= (message[at] & 127) << shift
+            shift += 7
+            at += 1
+            if message[at - 1] < 128:
+                return value, at
+
+    at = 0
+    while at < len(message):
+        tag, at = number(at)
+        if tag & 7 == 0:
+            value, at = number(at)
+        else:
+            size, at = number(at) if tag & 7 == 2 else ({1: 8, 5: 4}[tag & 7], at)
+            value, at = message[at : at + size], at + size
+        yield tag >> 3, value
+
+
+def _check(body: bytes) -> None:
+    """Raises for a model that these ids would be wrong for: one that is not of merges, or that changes the text first."""
+    model = dict(_fields(body))  # 2: trainer, 3: normaliser (numbers of the published format)
+    trainer, rule = dict(_fields(model.get(2, b""))), dict(_fields(model.get(3, b"")))
+    if trainer.get(3, 1) != 2:
+        raise ValueError("a model of merges (BPE) is needed")
+    if rule.get(2) or rule.get(4, 1) != 0 or rule.get(3, 1) != 1 or rule.get(5, 1) != 1:
+        raise ValueError("a model that leaves its text as it is, but for the space put before it, is needed")
+
+
 class Encoder:
     """Encodes texts with one vocabulary; keeps chunks, and pairs of pieces that may stand side by side."""
 
@@ -143,6 +180,7 @@ class Encoder:
         self.v = pieces
         self.chunks: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.size = 0
         self.memo_keys = np.full(1 << MEMO_BITS, -1, np.int64)
         self.memo = np.zeros(1 << MEMO_BITS, dtype=bool)
 
@@ -195,10 +233,11 @@ class Encoder:
         wide = len(alphabet) > 255
         bits, per = (16, 4) if wide else (8, 8)
         code = np.searchsorted(alphabet, text).astype(np.uint64)
-        padded = np.concatenate((code, np.zeros(16, np.uint64)))
+        width = self.v.width
+        padded = np.concatenate((code, np.zeros(width, np.uint64)))
         n = len(text)
         keys = []
-        for k in range(0, 16, per):
+        for k in range(0, width, per):
             key = np.zeros(n, np.uint64)
             for j in range(per):
                 key |= padded[k + j : k + j + n] << np.uint64(bits * (per - 1 - j))
@@ -212,8 +251,8 @@ class Encoder:
             return none, none, none
         length, ids = self.v.lengths[rows], self.v.usable_ids[rows]
         codes = np.where(self.v.letters[rows] == 0, 0, np.searchsorted(alphabet, self.v.letters[rows])).astype(np.uint64)
-        lows = [np.bitwise_or.reduce([codes[:, k + j] << np.uint64(bits * (per - 1 - j)) for j in range(per)]) for k in range(0, 16, per)]
-        spare = [np.uint64(bits) * np.clip(per - (length - k), 0, per - 1).astype(np.uint64) for k in range(0, 16, per)]
+        lows = [np.bitwise_or.reduce([codes[:, k + j] << np.uint64(bits * (per - 1 - j)) for j in range(per)]) for k in range(0, width, per)]
+        spare = [np.uint64(bits) * np.clip(per - (length - k), 0, per - 1).astype(np.uint64) for k in range(0, width, per)]
         highs = [low + ((np.uint64(1) << free) - np.uint64(1)) for low, free in zip(lows, spare, strict=True)]
         lo, hi = np.searchsorted(keys[0], lows[0]), np.searchsorted(keys[0], highs[0], "right")
         for r in np.flatnonzero((length > per) & (hi > lo)).tolist():
@@ -323,9 +362,12 @@ class Encoder:
             else:
                 cut.append(t.split(" "))
         new = set().union(*cut).difference(self.chunks)
-        if len(self.chunks) + len(new) > KEPT_CHUNKS:  # what is still in use moves on, the rest goes
+        size = sum(map(_bytes, new))
+        if self.size + size > KEPT_BYTES:  # what is still in use moves on, the rest goes
             self.old, self.chunks = self.chunks, {}
             new = set().union(*cut)
+            self.size, size = 0, sum(map(_bytes, new))
+        self.size += size
         if self.old:
             known = new & self.old.keys()
             for c in known:
@@ -333,7 +375,16 @@ class Encoder:
             new -= known
         self.encode_chunks(list(new))
         get = self.chunks.__getitem__
-        return [b"".join(map(get, parts)) for parts in cut]
+        out = [b"".join(map(get, parts)) for parts in cut]
+        for c in [c for c in new if len(c) > KEPT_CHARS]:
+            del self.chunks[c]
+            self.size -= _bytes(c)
+        return out
+
+
+def _bytes(chunk: str) -> int:
+    """Memory of a chunk and its ids at most, nearly."""
+    return 8 * len(chunk) + EACH
 
 
 def _groups(texts: list[str], limit: int = 1 << 21):
@@ -350,9 +401,11 @@ def _groups(texts: list[str], limit: int = 1 << 21):
 def encode_texts(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (array of int) and decodes (whether the ids give the text back), one row per row of df.
 
-    model is the path of a SentencePiece BPE model whose text is not normalised; the ids
-    are those of its library. Null and empty texts have no ids. Characters that are no piece
-    become their bytes. Texts of any length are encoded whole.
+    model is the path of a SentencePiece BPE model whose text is not normalised (any other
+    raises ValueError); the ids are those of its library. Null and empty texts have no ids.
+    Characters that are no piece become their bytes. Texts of any length are encoded whole.
+    Repeated rows give repeated rows, an empty table gives none. Other columns of df,
+    whatever their names, are not read.
     """
     spark = df.sparkSession
     with open(model, "rb") as f:
@@ -372,7 +425,7 @@ def encode_texts(df: DataFrame, model: str, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(ends).astype(np.int64)), ids, pa.array(same)], names=["doc_id", "n_tokens", "ids", "decodes"])
 
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids array<int>, decodes boolean")
+    return rows.mapInArrow(run, schema(rows.schema["doc_id"], "n_tokens long, ids array<int>, decodes boolean"))
 
 
 def decode_ids(df: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -386,4 +439,4 @@ def decode_ids(df: DataFrame, model: str, id_col: str = "doc_id", ids_col: str =
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([pieces.decode(x or []) for x in batch.column("ids").to_pylist()], pa.string())], names=["doc_id", "text"])
 
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
+    return rows.mapInArrow(run, schema(rows.schema["doc_id"], "text string"))

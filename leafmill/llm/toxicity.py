@@ -164,9 +164,14 @@ class ToxicityModel:
         self.lexicon, self.trees, self.isotonic, self.prior = lexicon, trees, isotonic, prior
 
     def score(self, df: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-        """row (a struct of the carried columns) and score (0 to 1) of every row of df; null and empty texts have the score of a text without features."""
+        """row (a struct of the carried columns) and score (0 to 1) of every row of df.
+
+        Null and empty texts have the score of a text without features. Texts of any length
+        are read whole; repeated rows get one score each; carried columns may have any name;
+        an empty table gives no rows.
+        """
         text = [] if "text" == text_col and "text" in carry else [F.col(text_col).alias("text")]  # carried once
-        rows = df.select(F.struct(*carry).alias("row"), *text)
+        rows = df.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in carry]).alias("row"), *text)
         shared = df.sparkSession.sparkContext.broadcast(self.lexicon)
         fields = StructType([rows.schema["row"], *(StructField(f, DoubleType()) for f in FEATURES)])
         features = rows.mapInArrow(_featured(shared), fields)

@@ -59,6 +59,11 @@ def ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
+def second(values: np.ndarray) -> np.ndarray:
+    """Other digits for the same words: with them and the first ones, ranges() tells runs of words apart by 128 bits."""
+    return mix(values ^ MIX_B) | np.uint64(1)
+
+
 class Words:
     """The words of the documents first..last of a column.
 

@@ -6,7 +6,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from leafmill.llm import decontaminate, neardup, substrings, wordhash
+from pyspark.sql import functions as F
+
+from leafmill.llm import decontaminate, joins, neardup, substrings, wordhash
 from leafmill.llm.components import connected_components
 from leafmill.llm.scratch import Scratch
 from tests.llm import brute
@@ -99,3 +101,53 @@ def test_contamination_equals_brute_force(spark, block):
         left = decontaminate.without_spans([r.row.text], [[s.asDict() for s in r.spans]])[0]
         assert len(brute.alnum(left)) == r.n_words - sum(s.end - s.start for s in r.spans)
     assert decontaminate.contamination_report(df, bench.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_rows_that_share_an_id(spark):
+    """An id of several texts is one document: one component, to which all its texts link; each text is cut by itself."""
+    passage = [f"p{i}" for i in range(60)]
+    a, b, c = "a b c d e f g h", "o p q r s t u", "k l m n"
+    df = spark.createDataFrame([(3, a), (5, a), (5, b), (6, b), (8, c), (8, None), (9, c), (2, None), (2, "")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect())
+    assert got == [(2, 0, 2, True)] * 2 + [(3, 4, 3, True), (5, 3, 3, False), (5, 4, 3, False), (6, 3, 3, False), (8, 0, 8, True), (8, 1, 8, True), (9, 1, 8, False)]
+    rows = [(1, " ".join(passage)), (2, " ".join(["long"] * 5 + passage + ["end"])), (2, "short text"), (2, " ".join(f"own{i}" for i in range(80))), (4, " ".join(passage)), (4, " ".join(passage))]
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text.count(" ")) for r in substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 60, 0, 59), (2, 2, 0, 1), (2, 66, 60, 5), (2, 80, 0, 79), (4, 60, 60, 0), (4, 60, 60, 0)]
+
+
+def test_joins_by_hot_keys_lose_nothing(spark):
+    rows = spark.range(3000).select("id", F.when(F.col("id") < 1000, F.lit(0)).otherwise(F.col("id") % 700).alias("k"), F.lit(7).alias("clash"))
+    found = rows.groupBy("k").agg(F.max("id").alias("top"), F.count("*").alias("n")).where("k % 3 = 0")
+    plain = rows.join(found.drop("n"), "k", "left")
+    for hot in (1, 10, 10**6):
+        got = joins.join_by_key(rows, found, ["k"], 3000, "left", hot=hot)
+        assert sorted(map(tuple, got.select("id", "k", "clash", "top").collect())) == sorted(map(tuple, plain.select("id", "k", "clash", "top").collect()))
+        assert joins.join_by_key(rows, found, ["k"], 3000, hot=hot).count() == plain.where("top is not null").count()
+
+
+def test_flags_of_wanted_keys_miss_none(spark):
+    df = spark.range(20_000).select(F.when(F.col("id") % 100 > 0, F.col("id")).alias("a"), (F.col("id") * 7).alias("b"))
+    wanted = df.where("a % 11 = 3").select("a", "b")
+    for bits in (1 << 29, 1 << 15):
+        got = joins.with_likely(df, wanted, ["a", "b"], "flag", bits)
+        assert got.columns == ["a", "b", "flag"] and got.count() == 20_000
+        assert got.where("a % 11 = 3 and not flag").count() == 0 and got.where("flag and a is null").count() == 0
+        if bits > 1 << 20:
+            assert got.where("flag and a % 11 <> 3").count() < 2000
+    assert joins.with_likely(df, wanted.limit(0), ["a", "b"], "flag").where("flag").count() == 0
+
+
+def test_long_items_and_items_in_common(spark):
+    """Segments of long items keep every window; a window of many items counts for all of them."""
+    words = [f"b{i}" for i in range(90_000)]
+    items = [(1, " ".join(words)), (2, " ".join(words[-13:])), *[(100 + i, "yes") for i in range(50)]]
+    at = 41_000
+    docs = [(1, " ".join(words[at : at + 13]).upper()), (2, "yes, yes " * 500), (3, " ".join(words[-13:])), (4, None), (5, " ".join(words[at : at + 12]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.contamination_report(df, bench).collect()}
+    assert got == {1: (13, 13, 1), 2: (1000, 1000, 50), 3: (13, 13, 2), 4: (0, 0, 0), 5: (12, 0, 0)}
+    assert decontaminate.contamination_report(df, bench, block_bytes=100_000).exceptAll(decontaminate.contamination_report(df, bench)).count() == 0
+    assert decontaminate.contamination_report(df.limit(0), bench).count() == 0
+    left = {r.doc_id: r.text for r in decontaminate.decontaminate(spark.createDataFrame([(1, "keep this: yes. And that"), (2, None)], "doc_id long, text string"), bench, "spans").collect()}
+    assert left == {1: "keep this: . And that", 2: None}

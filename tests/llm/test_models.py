@@ -1,9 +1,13 @@
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from leafmill.llm import htmltext, lm, sentencepieces, tokencounts, toxicity
 from leafmill.llm.queries import tokenizer_file
@@ -115,12 +119,24 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r.score for r in only} == {0.0} and toxicity.score_toxicity(d.limit(0), n).count() == 0
 
 
-WEIGHTS = {"words": 1.0, "words-linked": 0.25, "p": -0.01, "h1": -0.01, "b": -0.01, "br": -0.01, "article": -0.01, "div": -0.5, "li": -1.0, "ul": -1.0, "a": -1.0, "html": -0.5, "body": -0.5}
+WEIGHTS = htmltext.weights_of(Counter())
 PAGES = [
     ('<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">x</a></li></ul></nav><!-- ad --><div class="ad">buy</div><article><h1>Head &amp; line</h1><p><b>One\n two.<br><p>Three &lt;b&gt;</p></article><footer>&copy; site</footer></body></html>', "Head & line\n\nOne two.\n\nThree <b>"),
     ("<body><div id='cookie-notice'>we use cookies</div><form><p>sign up</p></form><div><p>first words of it all</p><p>second part of this</p></div><div class='comments'><p>reader says</p></div><aside>more</aside>", "first words of it all\n\nsecond part of this"),
     ("<article><h1>A</h1><p>text</p><section class='reader-comments'><p>me too</p></section><p>end &#233;&nbsp;x</p></article>", "A\n\ntext\n\nend é x"),
     ("", ""), (None, ""), ("<p>", ""), ("no markup at all", "no markup at all"), ("<article><p>cut off &amp", "cut off &"), ("<script>never closed <p>x</p>", ""), ("<article><p>" + "long " * 50000 + "</p></article>", ("long " * 50000).strip()),
+    # unclosed elements, stray quotes, headers of articles, names that only look like those of side elements
+    ("<body><nav><ul><li><a href=/a>menu</a></ul><div><p>the text of the page stays</p><p>and so does this</p></div>", "the text of the page stays\n\nand so does this"),
+    ("<body><nav class=menu><a href=/a>menu</a><article><p>the article is whole</p></article>", "the article is whole"),
+    ("<p title=it's>first words here</p><p data-x=\"a>b\" class=don't>second words</p>", "first words here\n\nsecond words"),
+    ("<article><header><h1>Head line</h1><p>by someone</p></header><p>text of it</p></article>", "Head line\n\nby someone\n\ntext of it"),
+    ('<article><h1 class="article-header">Head</h1><h2 class="section-header">Part</h2><p class="search-engine">engines</p><div class="social-policy with-sidebar comments-open"><p>policy</p></div></article>', "Head\n\nPart\n\nengines\n\npolicy"),
+    ("<article><p>a</p><div><div><div><div><p>b</p></div></div></div></div></article>", "a\n\nb"),
+    ("<article><p>a b c</p><p class='notice'>cookies<p>d<p>e</article>", "a b c\n\nd\n\ne"),
+    ("<main><p>one</p><div class='advert-top'>buy<div>now</div></div><p>two</p><article class='comment'><p>no</p></article></main>", "one\n\ntwo"),
+    ("<article><p>one</p><div class='comment-section'>" + "<p>reader words</p>" * 300 + "</div><p>two</p></article><p>after</p>", "one\n\ntwo"),
+    ("<article><p>see <a href=x>all of the long report here</a></p><p><a href=y>the next part</a></p><ul><li>x<li>y</ul><table><tr><td>1<td>2</table></article>", "see all of the long report here\n\nthe next part\n\nx\n\ny\n\n1\n\n2"),
+    ("<article><p>x &amp;lt; y</p><p>a<b>b</b>c d<br>e <math>m</math></p><textarea>no</textarea></article>", "x &lt; y\n\nabc d e m"),
 ]
 
 
@@ -129,11 +145,79 @@ def test_main_text(page, text):
     assert htmltext.main_text(page, WEIGHTS) == text
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(-6, 0), st.integers(-8, 8), st.just(True)), max_size=12))
+def test_best_run_equals_brute_force(scores):
+    def total(a, b):
+        return sum(c + w for c, w, _ in scores[a:b]) - scores[a][0]
+
+    a, b = htmltext.best_run(scores)
+    best = max((total(i, j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=0)
+    assert (total(a, b) if b > a else 0) == max(best, 0)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<nav>", "</nav>", "<p>", "</p>", "<div class='ad'>", "</div>", "<article>", "</article>", "<li>", "<ul>", "</ul>", "word ", "&amp;", "<a href='", "'>", "</a>", "<br/>", "<", "<table><td>", "</tr>", "<!--", "-->"]), max_size=30))
+def test_main_text_of_broken_pages(parts):
+    page = "".join(parts)
+    found = htmltext.blocks(page)
+    assert all(b.words for b in found) and htmltext.main_text(page, WEIGHTS).count("word") <= page.count("word")
+
+
 def test_main_text_learns_weights(spark):
-    rows = [(i, f"http://x/{i}", p) for i, (p, _) in enumerate(PAGES)] + [(50 + i, "u", f"<body><ul><li><a>menu {i}</a></li><li><a>item</a></li></ul><article><h1>Title {i}</h1><p>some words of page {i}</p></article>") for i in range(30)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rows = [(i, f"http://x/{i}", p, 1) for i, (p, _) in enumerate(PAGES)] + [(50 + i, "u", f"<body><ul><li><a>menu {i}</a></li><li><a>item</a></li></ul><article><h1>Title {i}</h1><p class='alert'>{'in words ' * 30}</p><p>some words of page {i}</p></article>", 2) for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, `keys` long")
     weights = htmltext.learn_weights(df)
-    assert weights["words"] > 0 and weights["li"] < weights["p"] < 0
+    assert weights["words"] > 0 > weights["words-linked"] and weights["tag li"] < weights["tag p"] < 0
+    assert weights["side .alert"] > -1 and weights["side .ad"] < -5
     got = {r.page_id: r for r in htmltext.extract_main_text(df).collect()}
-    assert got[0].text == PAGES[0][1] and got[0].n_chars == len(PAGES[0][1]) and got[4].text == "" and got[55].text == "Title 5\n\nsome words of page 5"
+    assert got[0].text == PAGES[0][1] and got[0].n_chars == len(PAGES[0][1]) and got[4].text == "" and got[55].text.startswith("Title 5\n\nin words") and got[55].text.endswith("some words of page 5")
     assert htmltext.extract_main_text(df.limit(0)).count() == 0
+    copies = df.where("page_id = 50").crossJoin(spark.range(300).select(F.col("id").alias("copy"))).drop("copy")
+    assert htmltext.learn_weights(copies.unionByName(df)) == weights
+
+
+def test_models_that_ids_would_be_wrong_for_are_refused():
+    with open(tokenizer_file("piece_bpe_32k.model"), "rb") as f:
+        body = f.read()
+    sentencepieces._check(body)
+    part = lambda number, inner: bytes([number << 3 | 2, len(inner)]) + inner
+    for trainer, rule in ((b"\x18\x01", b""), (b"\x18\x02", part(2, b"map")), (b"\x18\x02", b"\x20\x01")):
+        with pytest.raises(ValueError):
+            sentencepieces._check(part(2, trainer) + part(3, rule))
+
+
+def test_kept_chunks_and_pieces_are_bounded(spark, monkeypatch):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("etaoinéß日本") for _ in range(n))
+    texts = [" ".join(word(rng.choice((3, 9, 2000))) for _ in range(rng.randint(1, 6))) for _ in range(120)]
+    monkeypatch.setattr(sentencepieces, "KEPT_BYTES", 40_000)
+    monkeypatch.setattr(tokencounts, "KEPT_BYTES", 20_000)
+    with open(tokenizer_file("piece_bpe_32k.model"), "rb") as f:
+        encoder = sentencepieces.Encoder(sentencepieces.Pieces(f.read()))
+    lib = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
+    for at in range(0, 120, 10):
+        assert [np.frombuffer(x, np.int32).tolist() for x in encoder.encode(texts[at : at + 10])] == lib.encode(texts[at : at + 10])
+        assert sum(map(sentencepieces._bytes, encoder.chunks)) == encoder.size < 60_000
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        with open(tokenizer_file(name), encoding="utf-8") as f:
+            counter = tokencounts.Counter(f.read())
+        other = Tokenizer.from_file(tokenizer_file(name))
+        for at in range(0, 120, 10):
+            assert counter.count(texts[at : at + 10]) == [len(other.encode(t, add_special_tokens=False).ids) for t in texts[at : at + 10]]
+            assert sum(map(tokencounts._bytes, counter.pieces)) == counter.size < 60_000
+
+
+def test_encoders_of_odd_tables(spark):
+    """Empty tables, repeated rows, names that clash and a very long text without spaces."""
+    model, path = tokenizer_file("piece_bpe_32k.model"), tokenizer_file("byte_bpe_50k.json")
+    rows = [(1, "same", 5, "a"), (1, "same", 5, "a"), (None, None, 6, "b"), (2, "ab9" * 30_000, 7, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids long, `n tokens` string")
+    for out in (sentencepieces.encode_texts(df, model), tokencounts.count_tokens(df, path)):
+        got = out.collect()
+        assert len(got) == 4 and sum(r.n_tokens == 0 for r in got) == 1 and len({r.n_tokens for r in got if r.doc_id == 1}) == 1
+    assert sentencepieces.encode_texts(df.limit(0), model).count() == tokencounts.count_tokens(df.limit(0), path).count() == 0
+    assert sentencepieces.decode_ids(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>"), model).first().text == ""

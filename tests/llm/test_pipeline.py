@@ -34,7 +34,7 @@ def test_run_equals_plain_version(spark, tmp_path):
     scores = {r.doc_id: r.predicted for r in toxicity.score_toxicity(table, spark.read.parquet(str(tmp_path / "labels.parquet"))).collect()}
     kept = [(i, t) for i, t in docs if not scores[i]]
     assert 0 < sum(scores.values()) < len(docs) / 2
-    near = brute.near_duplicates([x for x in kept if x[0] is not None])
+    near = brute.near_duplicates([x for x in kept if x[0] is not None], corpus_pipeline.OVER, corpus_pipeline.OF)
     kept = [(i, t) for i, t in kept if i is None or near[i][1] == i]
     cut = brute.substrings([x for x in kept if x[0] is not None])
     kept = [(i, t if i is None else cut[i][3]) for i, t in kept]
@@ -53,3 +53,28 @@ def test_near_dedup_links_at_four_fifths(spark):
         docs += [(k, " ".join(w)), (k + 1, " ".join(w[: left + 4]))]
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == [0, 10, 20, 21]
+
+
+def test_stages_with_odd_rows_and_names(spark):
+    """Repeated ids, nulls, a very long text and names that need quotes: no stage crashes, and none loses a row it should keep."""
+    long = " ".join(f"l{i}" for i in range(60_000))
+    rows = [(1, "a b c d e f", 1), (2, "a b c d e f", 2), (7, "q r s t u v w", 3), (7, "q r s t u v w", 3), (7, "quite other text", 4), (8, None, 5), (9, "", 6), (None, "no id", 7), (None, "no id", 7), (10, long, 8)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), n, n, "x") for i, t, n in rows], "doc_id long, text string, lang string, source string, n_chars long, `my-col` long, `row.text` long, id string")
+    items = spark.createDataFrame([(1, "nothing of the sort here at all")], "item_id long, text string")
+    from leafmill.llm.decontaminate import decontaminate
+
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert sorted(r["my-col"] for r in kept.collect()) == [1, 3, 4, 5, 6, 7, 7, 8] and kept.columns == docs.columns
+    cut = corpus_pipeline.substring_dedup(spark, docs, "")
+    assert sorted(map(str, cut.collect())) == sorted(map(str, docs.collect()))
+    for remove in ("documents", "spans"):
+        assert sorted(map(str, decontaminate(docs, items, remove).collect())) == sorted(map(str, docs.collect()))
+    assert sorted(r.n_tokens > 0 for r in corpus_pipeline.encoding(spark, docs, "").collect()).count(False) == 2
+    none = docs.limit(0)
+    assert all(f.count() == 0 for f in (corpus_pipeline.near_dedup(spark, none, ""), corpus_pipeline.substring_dedup(spark, none, ""), decontaminate(none, items), corpus_pipeline.encoding(spark, none, "")))
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    for name, ddl in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], ddl).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
