@@ -374,17 +374,24 @@ def spaced_words(text: Column) -> Column:
     return F.regexp_replace(F.concat(F.lit("  "), body, F.lit("  ")), r"^ +| +$", " ")
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _running(values: Column, join) -> Column:
     """Running join (sum, maximum) of an array, by doubling: each round joins what is 1, 2, 4, .. places apart."""
-    n = F.size(values)
-    rounds = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.greatest(n, F.lit(1)))).cast("int"), F.lit(0)))
 
-    def step(acc: Column, k: Column) -> Column:
-        apart = F.pow(F.lit(2), k).cast("int")
-        later = F.concat(F.array_repeat(F.lit(None).cast("int"), F.least(apart, n)), F.slice(acc, F.lit(1), F.greatest(n - apart, F.lit(0))))
-        return F.zip_with(acc, later, lambda x, y: F.when(y.isNull(), x).otherwise(join(x, y)))
+    def all_rounds(v: Column) -> Column:
+        def step(acc: Column, k: Column) -> Column:
+            apart = F.least(F.pow(F.lit(2), k).cast("int"), F.size(acc))
+            later = F.concat(F.array_repeat(F.lit(None).cast("int"), apart), F.slice(acc, F.lit(1), F.size(acc) - apart))
+            return F.zip_with(acc, later, lambda x, y: F.when(y.isNull(), x).otherwise(join(x, y)))
+
+        rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(v), F.lit(1)))).cast("int"))
+        return F.aggregate(rounds, v, step)
 
-    return F.aggregate(rounds, values, step)
+    return _let(values, all_rounds)
 
 
 def _spans(gaps: Column, sizes: Column) -> Column:
@@ -395,9 +402,12 @@ def _spans(gaps: Column, sizes: Column) -> Column:
 
 def _hits(text: Column, pattern: Column, size) -> Column:
     """{start, end} of each place of a pattern, in what size() counts."""
-    hits = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
-    return _spans(F.transform(gaps, size), F.transform(hits, size))
+
+    def placed(hits: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
+        return _let(F.transform(hits, size), lambda sizes: _spans(F.transform(gaps, size), sizes))
+
+    return _let(F.regexp_extract_all(text, pattern, F.lit(0)), placed)
 
 
 def _n_words(x: Column) -> Column:
@@ -445,15 +455,15 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def reach(p: int) -> Column:
         return _running(F.transform(every, lambda x: F.when(-x["p"] >= p, -x["e"]).otherwise(F.lit(-1))), lambda x, y: F.greatest(x, y))
 
-    for p in range(1, 6):
-        out = out.withColumn(f"__far{p}", reach(p))
+    def outer(reaches: Column) -> Column:
+        def kept(x: Column, i: Column) -> Column:
+            return (i == 0) | (F.get(F.get(reaches, -x["p"] - 1), i - 1) < -x["e"])
 
-    def kept(x: Column, i: Column) -> Column:
-        before = F.element_at(F.array(*[F.get(F.col(f"__far{p}"), i - 1) for p in range(1, 6)]), -x["p"])
-        return (i == 0) | (before < -x["e"])
+        return F.transform(F.filter(every, kept), lambda x: F.struct(x["l"].alias("label"), (-x["p"]).alias("priority"), x["w"].alias("weight"), x["s"].alias("start"), (-x["e"]).alias("end")))
 
-    picked = F.transform(F.filter(every, kept), lambda x: F.struct(x["l"].alias("label"), (-x["p"]).alias("priority"), x["w"].alias("weight"), x["s"].alias("start"), (-x["e"]).alias("end")))
-    out = out.withColumn("detections", F.coalesce(picked, none)).drop("__rules", "__all", *[f"__far{p}" for p in range(1, 6)])
+    # bound once, outside of the filter: a column would be put in its place and computed for every detection
+    picked = _let(F.array(*[reach(p) for p in range(1, 6)]), outer)
+    out = out.withColumn("detections", F.coalesce(picked, none)).drop("__rules", "__all")
 
     base = F.col("__base")
     first = F.array_min(F.transform(base, lambda x: x["start"]))
