@@ -80,18 +80,41 @@ def test_language_model(spark):
 
 
 def test_language_model_probabilities_sum_to_one():
-    """Over all words of the classes, and what the rare class leaves, with trained weights."""
+    """Over all leaves, and over the words of a shared leaf, with trained weights."""
     rng = np.random.default_rng(0)
-    counts = np.sort(rng.integers(1, 500, 1500))[::-1]
-    model = lm.Model(counts, int(counts.sum()), len(counts))
-    model.classes += rng.normal(0, 1, model.classes.shape).astype(np.float32)
-    model.members += rng.normal(0, 1, model.members.shape).astype(np.float32)
-    most = lm.CLASSES * lm.MEMBERS
-    feats = tuple(np.full(most + 1, x, np.uint64) for x in (5, 77, 901))
-    p = np.exp(model.step(np.append(np.arange(most), -1), feats))
-    assert p.sum() == pytest.approx(1, abs=1e-4)
-    rare = ((counts[most:] + 0.5).sum() + 0.5) / 10**model.rare_base
-    assert rare == pytest.approx(1)
+    counts = np.sort(rng.integers(1, 500, 40_000))[::-1]
+    words = rng.integers(0, 1 << 63, 40_000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    mass = np.zeros(lm.WIDTH**3)
+    leaf = lm.leaves(np.arange(40_000), words)
+    np.add.at(mass, leaf, counts + 0.5)
+    mass[lm.OWN :] += 0.5
+    model = lm.Model(mass, 1 << 12)
+    for w in model.weights:
+        w += rng.normal(0, 1, w.shape).astype(np.float32)
+    every = np.arange(lm.WIDTH**3)
+    p = np.exp(model.step(every, tuple(np.full(len(every), x, np.uint64) for x in (5, 77, 901))))
+    assert p.sum() == pytest.approx(1, abs=1e-4) and (p > 0).all()
+    word = p[leaf] * np.where(leaf >= lm.OWN, (counts + 0.5) / mass[leaf], 1)
+    unknown = (p[lm.OWN :] * 0.5 / mass[lm.OWN :]).sum()
+    assert word.sum() + unknown == pytest.approx(1, abs=1e-4)
+    assert (np.unique(leaf[: lm.OWN]) == np.arange(lm.OWN)).all()
+
+
+def test_language_model_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    """The same texts in 1 and in 7 partitions, in other orders and batches, with several shards, have the same scores."""
+    rng = random.Random(5)
+    docs = [(i, " ".join(f"w{int(rng.random() ** 3 * 300)}" for _ in range(rng.randint(1, 300)))) for i in range(400)] + [(7, None), (7, "w1"), (None, "w1 w2"), (8, "long " * 100_000)]
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 16)
+    df = spark.createDataFrame([(i, t, "clash", 1) for i, t in docs], "doc_id long, text string, keys string, h int")
+    got = []
+    for parts, size in ((1, 10_000), (7, 50)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got.append(sorted(((str(r.doc_id), r.n_tokens, r.base_score, r.score) for r in lm.score_texts(df.repartition(parts), head_words=100).collect())))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got[0]) == len(docs)
+    for a, b in zip(*got, strict=True):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-6)
+    assert lm.score_texts(df.limit(0)).count() == 0
 
 
 def test_toxicity_on_held_out_rows(spark):
