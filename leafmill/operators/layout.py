@@ -11,21 +11,70 @@ from leafmill.functions.scalars import cell_text
 WIDTH, LINES, MARGIN, STEP, SIZE = 80, 54, 50, 14, 11
 PAGE_W, PAGE_H = 595.0, 842.0
 
-#: Pieces of markup: a tag and the text up to the next one.
-PIECE = r"<(h[1-6]|p|pre|code|li|b)(?:\s[^>]*)?>([^<]*)"
+#: Tags that part a text: those that style what follows, and every closing one.
+PARTING = r"(?i)<(/[^>]*|(?:h[1-6]|p|pre|code|li|ul|ol|b)(?:\s[^>]*)?)>"
+#: What is no text.
+UNSEEN = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->"
+
+#: Where a line may be broken: blanks, dashes between words, words up to their end or to a hyphen between letters.
+CHUNK = r"(?sU)[\t\n\x0B\f\r ]+|(?<=[\w!\"'&.,?])-{2,}(?=\w)|[^\t\n\x0B\f\r ]+?(?:-(?:(?<=[\w&&[^\d]]{2}-)|(?<=[\w&&[^\d]]-[\w&&[^\d]]-))(?=[\w&&[^\d]]-?[\w&&[^\d]])|(?=[\t\n\x0B\f\r ]|\z)|(?<=[\w!\"'&.,?])(?=-{2,}\w))"
+
+
+def _filled(state: Column, chunk: Column, width: int) -> Column:
+    """A line that takes what fits of a chunk over the width; the rest goes on, line by line, each cut after its last hyphen if it has one."""
+
+    def cut(acc: Column, _: Column) -> Column:
+        left = F.lit(width) - F.length(acc["cur"])
+        fits = F.substring(acc["rest"], F.lit(1), left)
+        hyphen = F.length(F.regexp_extract(fits, r"(?s)^(.*[^-].*-|[^-].*-).", 1)) if width > 1 else F.lit(0)
+        end = F.when(hyphen > 0, hyphen).otherwise(left)
+        full = F.concat(acc["cur"], F.substring(acc["rest"], F.lit(1), end))
+        over = F.struct(F.concat(acc["done"], F.array(full)).alias("done"), F.lit("").alias("cur"), F.substring(acc["rest"], end + 1, F.length(acc["rest"])).alias("rest"))
+        last = F.struct(acc["done"].alias("done"), F.concat(acc["cur"], acc["rest"]).alias("cur"), F.lit("").alias("rest"))
+        return F.when(F.length(acc["rest"]) > left, over).otherwise(last)
+
+    start = F.struct(state["done"].alias("done"), state["cur"].alias("cur"), chunk.alias("rest"))
+    return F.aggregate(F.sequence(F.lit(0), F.length(chunk)), start, cut, lambda acc: F.struct(acc["done"].alias("done"), acc["cur"].alias("cur")))
+
+
+def _broken(line: Column, width: int) -> Column:
+    """Wrap of a line with tabs, runs of blanks, hyphens or words over the width: tabs are expanded to eights, blanks between words stay, those at a break go."""
+    tabs = F.split(line, "\t", -1)
+    n = F.size(tabs)
+    spread = F.aggregate(F.slice(tabs, F.lit(1), n - 1), F.lit(""), lambda a, x: F.concat(a, x, F.repeat(F.lit(" "), F.lit(8) - F.pmod(F.length(a) + F.length(x), F.lit(8)))), lambda a: F.concat(a, F.element_at(tabs, -1)))
+    chunks = F.regexp_extract_all(F.translate(spread, "\x0b\x0c\r", "   "), F.lit(CHUNK), F.lit(0))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
+
+    def ended(acc: Column) -> Column:
+        cur = F.rtrim(acc["cur"])
+        return F.when(cur == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(cur)))
+
+    def step(acc: Column, c: Column) -> Column:
+        blank = F.trim(c) == ""
+        fits = F.length(acc["cur"]) + F.length(c) <= width
+        new = F.when(blank, F.lit("")).otherwise(c)
+        return (
+            F.when(blank & (acc["cur"] == "") & (F.size(acc["done"]) > 0), acc)
+            .when(fits, F.struct(acc["done"].alias("done"), F.concat(acc["cur"], c).alias("cur")))
+            .when(~blank & (F.length(c) > width), _filled(acc, c, width))
+            .otherwise(F.struct(ended(acc).alias("done"), new.alias("cur")))
+        )
+
+    return F.aggregate(chunks, start, step, ended)
 
 
 def wrap_line(line: Column, width: int = WIDTH) -> Column:
-    """Greedy word wrap of one line to an array of lines; a word over the width is cut, a blank line gives none."""
-    words = F.filter(F.split(line, r"\s+"), lambda w: w != "")
-    words = F.flatten(F.transform(words, lambda w: F.when(F.length(w) > width, F.regexp_extract_all(w, F.lit(f"(?s).{{1,{width}}}"), F.lit(0))).otherwise(F.array(w))))
+    """Greedy word wrap of one line to an array of lines, by the rules of Python's textwrap; a blank line gives none."""
+    words = F.filter(F.split(line, " "), lambda w: w != "")
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
 
     def step(acc: Column, w: Column) -> Column:
         fits = F.length(acc["cur"]) + 1 + F.length(w) <= width
         return F.when(acc["cur"] == "", F.struct(acc["done"].alias("done"), w.alias("cur"))).when(fits, F.struct(acc["done"].alias("done"), F.concat(acc["cur"], F.lit(" "), w).alias("cur"))).otherwise(F.struct(F.concat(acc["done"], F.array(acc["cur"])).alias("done"), w.alias("cur")))
 
-    return F.aggregate(words, start, step, lambda acc: F.when(acc["cur"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["cur"]))))
+    plain = F.aggregate(words, start, step, lambda acc: F.when(acc["cur"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["cur"]))))
+    odd = F.rlike(line, F.lit(rf"[-\t\x0B\f\r]|  |^ |[^ ]{{{width + 1}}}"))
+    return F.when(odd, _broken(line, width)).otherwise(plain)
 
 
 def wrapped(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -67,11 +116,19 @@ def unescape(text: Column) -> Column:
 
 
 def scan_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """doc_id, i, tag, text: tagged pieces of markup in order, character marks resolved."""
-    p = F.lit(PIECE)
-    html = F.coalesce(F.col(html_col), F.lit(""))
-    z = F.arrays_zip(F.regexp_extract_all(html, p, F.lit(1)).alias("tag"), F.regexp_extract_all(html, p, F.lit(2)).alias("text"))
-    return pages.select(F.col(id_col).alias("doc_id"), F.posexplode(z).alias("i", "z")).select("doc_id", "i", "z.tag", F.trim(unescape(F.col("z.text"))).alias("text"))
+    """doc_id, i, tag, text: the pieces of markup that are not blank, in order, with the tag they stand under.
+
+    A piece is what stands between two of the tags that part a text. Its tag is the one
+    before it; after a closing tag, a list's start, or nothing, it is p. Other tags are no
+    text (a br is a space); scripts, styles and comments are left out, &lt; &gt; &amp;
+    resolved.
+    """
+    html = F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), UNSEEN, "")
+    tags = F.transform(F.regexp_extract_all(html, F.lit(PARTING), F.lit(1)), lambda t: F.lower(F.regexp_extract(t, "^[A-Za-z0-9]*", 0)))
+    tags = F.concat(F.array(F.lit("p")), F.transform(tags, lambda t: F.when(t.isin("", "ul", "ol"), F.lit("p")).otherwise(t)))
+    seen = lambda x: F.trim(unescape(F.regexp_replace(F.regexp_replace(x, r"(?i)<br\s*/?>", " "), "<[^>]*>", "")))
+    pieces = F.zip_with(tags, F.split(html, PARTING, -1), lambda t, x: F.struct(t.alias("tag"), seen(x).alias("text")))
+    return pages.select(F.col(id_col).alias("doc_id"), F.posexplode(F.filter(pieces, lambda x: x["text"] != "")).alias("i", "z")).select("doc_id", "i", "z.tag", "z.text")
 
 
 def scan_markdown(docs: DataFrame) -> DataFrame:
@@ -88,7 +145,7 @@ def scan_markdown(docs: DataFrame) -> DataFrame:
 
 
 def styled_spans(pieces: DataFrame, lines_per_page: int = LINES) -> DataFrame:
-    """Spans of tagged pieces: font, size and flags by tag, a line each; blank pieces take a line but no span."""
+    """Spans of tagged pieces: font, size and flags by tag, a line each."""
     tag = F.col("tag")
     head, mono = tag.isin("h1", "h2", "h3", "h4", "h5", "h6"), tag.isin("code", "pre")
     size = F.when(tag == "h1", 18.0).when(tag == "h2", 14.0).when(tag == "h3", 12.0).when(mono, 9.0).otherwise(11.0)

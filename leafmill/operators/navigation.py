@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from leafmill.operators.pages import errors, page_counts
 
-HREF = r"<a\s[^>]*href=\"([^\"]*)\""
+HREF = r"(?i)<a\s(?:[^>]*\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
 
 
 def toc_entries(toc: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def link_type(link: DataFrame | None = None) -> Column:
 
 def page_links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Links of each page of markup, in order: external ones are uris, #name ones named, file: ones files, others internal."""
-    out = pages.select(F.col(id_col).alias("doc_id"), F.posexplode(F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(HREF), F.lit(1))).alias("idx", "target"))
+    out = pages.select(F.col(id_col).alias("doc_id"), F.posexplode(F.transform(F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(HREF), F.lit(1)), lambda x: F.regexp_replace(x, "^[\"']|[\"']$", ""))).alias("idx", "target"))
     t = F.col("target")
     kind = F.when(t.rlike("^(https?:|mailto:)"), F.lit("uri")).when(t.startswith("#"), F.lit("named")).when(t.startswith("file:"), F.lit("file")).when(t != "", F.lit("internal")).otherwise(F.lit("unknown"))
     return out.withColumn("type", kind)

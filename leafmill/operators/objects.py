@@ -7,19 +7,21 @@ from pyspark.sql import functions as F
 
 from leafmill.operators.pages import errors
 
-CANVAS = "array<struct<type:string,left:double,top:double,width:double,height:double,radius:double,scaleX:double,scaleY:double,text:string,fontSize:double,fill:string,stroke:string,strokeWidth:double,src:string,path:array<array<string>>>>"
+CANVAS = "array<struct<type:string,left:double,top:double,width:double,height:double,text:string,fontSize:double,fill:string,stroke:string,strokeWidth:double,src:string,path:array<array<string>>>>"
 #: What each kind of canvas object becomes (fixed values).
 KINDS = {"path": "ink", "line": "line", "rect": "square", "circle": "circle", "textbox": "freetext", "image": "stamp"}
 TEXT_KINDS = ("text", "i-text", "textbox")
 BORDERS = ("S", "D", "B", "I", "U")
-COLOUR_SPACES = ("None", "Gray", "RGB", "CMYK")
+#: Names of colour spaces by code (fixed values).
+COLOUR_SPACES = ("DeviceGray", "DeviceRGB", "DeviceCMYK", "Indexed")
 
 
 def canvas_annotations(canvas: DataFrame, zoom: float = 1.0) -> DataFrame:
     """Typed annotations of canvas payloads (doc_id, page_no, payload: JSON array or object with objects).
 
-    Bad JSON gives no rows; objects that lack what their kind needs, and blank texts, are
-    left out. Sizes are divided by zoom, in paths every number by its place: even ones are x.
+    Bad JSON gives no rows; objects that lack what their kind needs (left and top, with width
+    and height for rectangles, lines and circles, a source for images), and blank texts, are
+    left out; texts are 100 by 50 and images 100 by 100 if they don't say. Sizes are divided by zoom, in paths every number by its place: even ones are x.
     """
     body = F.when(F.ltrim("payload").startswith("["), F.col("payload")).otherwise(F.get_json_object("payload", "$.objects"))
     rows = canvas.select("doc_id", "page_no", F.posexplode(F.from_json(body, CANVAS)).alias("idx", "o"))
@@ -29,17 +31,18 @@ def canvas_annotations(canvas: DataFrame, zoom: float = 1.0) -> DataFrame:
     o = lambda c: F.col(f"o.{c}")
     box = o("left").isNotNull() & o("top").isNotNull()
     sized = box & o("width").isNotNull() & o("height").isNotNull()
-    valid = F.when(F.col("kind") == "path", F.size(o("path")) > 0).when(F.col("kind").isin("rect", "line", "image"), sized).when(F.col("kind") == "circle", box & o("radius").isNotNull()).when(F.col("kind") == "textbox", box & (F.trim(F.coalesce(o("text"), F.lit(""))) != "")).otherwise(F.lit(False))
+    some = lambda c: F.trim(F.coalesce(o(c), F.lit(""))) != ""
+    valid = F.when(F.col("kind") == "path", F.size(o("path")) > 0).when(F.col("kind").isin("rect", "line", "circle"), sized).when(F.col("kind") == "image", box & some("src")).when(F.col("kind") == "textbox", box & some("text")).otherwise(F.lit(False))
     z = 1.0 / zoom
-    w = F.when(F.col("kind") == "circle", 2 * o("radius")).otherwise(F.coalesce(o("width"), F.lit(100.0))) * F.coalesce(o("scaleX"), F.lit(1.0))
-    h = F.when(F.col("kind") == "circle", 2 * o("radius")).otherwise(F.coalesce(o("height"), F.lit(20.0))) * F.coalesce(o("scaleY"), F.lit(1.0))
+    w = F.coalesce(o("width"), F.lit(100.0))
+    h = F.coalesce(o("height"), F.when(F.col("kind") == "image", 100.0).otherwise(50.0))
     table = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
     points = F.flatten(F.transform(o("path"), lambda seg: F.transform(F.slice(seg, F.lit(2), F.greatest(F.size(seg) - 1, F.lit(0))), lambda x: x.try_cast("double") * z)))
     return rows.where(valid).select(
         "doc_id", "page_no", "idx", F.element_at(table, F.col("kind")).alias("type"),
         (o("left") * z).alias("x0"), (o("top") * z).alias("y0"), ((o("left") + w) * z).alias("x1"), ((o("top") + h) * z).alias("y1"),
         F.when(F.col("kind") == "textbox", o("text")).alias("contents"), F.coalesce(o("strokeWidth"), F.lit(1.0)).alias("border_width"),
-        F.coalesce(o("stroke"), o("fill"), F.lit("#000000")).alias("stroke"), F.when(F.col("kind") == "path", points).alias("points"),
+        F.coalesce(F.when(F.col("kind") == "textbox", o("fill")).otherwise(o("stroke")), F.lit("#000000")).alias("stroke"), F.when(F.col("kind") == "path", points).alias("points"),
     )
 
 

@@ -6,13 +6,12 @@ DataFrame of errors: op, doc_id, item, message.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafmill.functions.scalars import number_label
+from leafmill.operators.folds import fold_by_key
 
 #: Page sizes by name (fixed values).
 SIZES = {"A4": (595.0, 842.0), "Letter": (612.0, 792.0), "Legal": (612.0, 1008.0), "A3": (842.0, 1191.0), "A5": (420.0, 595.0), "Tabloid": (792.0, 1224.0)}
@@ -163,14 +162,20 @@ def page_templates(pages: DataFrame, header: str = "", footer: str = "", numbers
     return pages.withColumn("header", filled(header)).withColumn("footer", filled(footer))
 
 
-def corpus_numbers(pages: DataFrame) -> DataFrame:
-    """Number of each page in the whole corpus, from 1: a prefix sum of page counts by blocks of ids, no window over all rows."""
-    counts = page_counts(pages).withColumn("__b", F.shiftright("doc_id", 10))
-    blocks = counts.groupBy("__b").agg(F.sum("n_pages").alias("__n")).withColumn("__p", F.shiftright("__b", 10))
-    tops = blocks.groupBy("__p").agg(F.sum("__n").alias("__n")).withColumn("__t", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    before = lambda part, order, n: F.coalesce(F.sum(n).over(W.partitionBy(part).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.join(tops, "__p").withColumn("__t", F.col("__t") + before("__p", "__b", "__n")).select("__b", "__t")
-    at = counts.join(blocks, "__b").withColumn("__at", F.col("__t") + before("__b", "doc_id", "n_pages")).select("doc_id", "__at")
+def corpus_numbers(pages: DataFrame, parts: int = 256) -> DataFrame:
+    """Number of each page in the whole corpus, from 1: a prefix sum of page counts by parts of the ids.
+
+    The parts are cut at approximate quantiles of the ids, dense or sparse, so each has a like
+    share of the documents; only their sums, a row for each, meet in one task.
+    """
+    counts = page_counts(pages)
+    cuts = counts.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.001)
+    bounds = F.array(*[F.lit(int(c)) for c in sorted(set(cuts))]).cast("array<bigint>")
+    counts = counts.withColumn("__p", F.size(F.filter(bounds, lambda c: c <= F.col("doc_id"))))
+    sums = counts.groupBy("__p").agg(F.sum("n_pages").alias("__n"))
+    so_far = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    tops = sums.select("__p", so_far("__n", W.orderBy("__p")).alias("__t"))
+    at = counts.join(tops, "__p").select("doc_id", (F.col("__t") + so_far("n_pages", W.partitionBy("__p").orderBy("doc_id"))).alias("__at"))
     return pages.join(at, "doc_id").withColumn("corpus_no", (F.col("__at") + F.col("page_no") + 1).cast("long")).drop("__at")
 
 
@@ -178,41 +183,45 @@ def replay_page_ops(counts: DataFrame, log: DataFrame) -> DataFrame:
     """Page ids of each document after its operations in order, each on what the last one left.
 
     counts: doc_id, n_pages. log: doc_id, seq, kind (delete, duplicate, to_front), arg; arg is
-    taken modulo the pages there are, and the last page is never deleted.
+    taken modulo the pages there are, and the last page is never deleted. Only the page list
+    is kept while the log goes by. Documents without operations have no row.
     """
-    ops = log.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "arg"))).alias("ops"))
 
-    def step(ids: Column, op: Column) -> Column:
-        n = F.size(ids)
-        k = F.pmod(op["arg"], n).cast("int")
-        head, tail = F.slice(ids, F.lit(1), k), F.slice(ids, k + 2, F.greatest(n - k - 1, F.lit(0)))
-        one = F.slice(ids, k + 1, F.lit(1))
-        return F.when((op["kind"] == "delete") & (n > 1), F.concat(head, tail)).when(op["kind"] == "duplicate", F.concat(head, one, one, tail)).when(op["kind"] == "to_front", F.concat(one, head, tail)).otherwise(ids)
+    def step(state: list, op) -> None:
+        ids = state[1]
+        k = op.arg % len(ids)
+        if op.kind == "delete" and len(ids) > 1:
+            del ids[k]
+        elif op.kind == "duplicate":
+            ids.insert(k, ids[k])
+        elif op.kind == "to_front":
+            ids.insert(0, ids.pop(k))
 
-    start = F.transform(F.sequence(F.lit(0), F.col("n_pages").cast("int") - 1), lambda x: x.cast("int"))
-    return counts.join(ops, "doc_id").select("doc_id", F.aggregate("ops", start, step).alias("pages"))
+    kind = log.schema["doc_id"].dataType.simpleString()
+    rows = log.join(counts, "doc_id").select("doc_id", "seq", "kind", F.col("arg").cast("long").alias("arg"), F.col("n_pages").cast("long").alias("n_pages")).where("n_pages > 0")
+    return fold_by_key(rows, ["doc_id"], ["seq", "kind", "arg"], lambda op: [op.doc_id, list(range(op.n_pages))], step, tuple, f"doc_id {kind}, pages array<int>")
 
 
 def replay_history(log: DataFrame, keep: int = 50) -> DataFrame:
     """Undo history of each session: log has session, seq, kind (edit, undo, redo) and state.
 
     An edit drops what could be redone and appends its state; undo and redo move inside the
-    bounds; the newest keep states stay. Returns session, n_states, cursor, current.
+    bounds; the newest keep states stay, and only they are kept while the log goes by.
+    Returns session, n_states, cursor, current.
     """
-    ops = log.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "state"))).alias("ops"))
-    start = F.struct(F.array().cast("array<bigint>").alias("states"), F.lit(-1).alias("at"))
-
-    def step(acc: Column, op: Column) -> Column:
-        grown = F.concat(F.slice(acc["states"], F.lit(1), acc["at"] + 1), F.array(op["state"]))
-        cut = F.slice(grown, F.greatest(F.size(grown) - keep + 1, F.lit(1)), F.lit(keep))
-        edit = F.struct(cut.alias("states"), (F.size(cut) - 1).alias("at"))
-        undo = F.struct(acc["states"].alias("states"), F.greatest(acc["at"] - 1, F.least(F.lit(0), F.size(acc["states"]) - 1)).alias("at"))
-        redo = F.struct(acc["states"].alias("states"), F.least(acc["at"] + 1, F.size(acc["states"]) - 1).alias("at"))
-        return F.when(op["kind"] == "edit", edit).when(op["kind"] == "undo", undo).when(op["kind"] == "redo", redo).otherwise(acc)
-
-    end = ops.select("session", F.aggregate("ops", start, step).alias("h"))
-    return end.select("session", F.size("h.states").cast("long").alias("n_states"), F.col("h.at").cast("long").alias("cursor"), F.get("h.states", F.col("h.at")).alias("current"))
-
 
-def concat_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    def step(h: list, op) -> None:
+        _, states, at = h
+        if op.kind == "edit":
+            states[at + 1 :] = [op.state]
+            del states[:-keep]
+            h[2] = len(states) - 1
+        elif op.kind in ("undo", "redo"):
+            h[2] = max(at - 1, min(0, len(states) - 1)) if op.kind == "undo" else min(at + 1, len(states) - 1)
+
+    def end(h: list) -> tuple:
+        return h[0], len(h[1]), h[2], h[1][h[2]] if h[1] else None
+
+    session, state = (log.schema[c].dataType.simpleString() for c in ("session", "state"))
+    rows = log.select("session", "seq", "kind", "state")
+    return fold_by_key(rows, ["session"], ["seq", "kind"], lambda op: [op.session, [], -1], step, end, f"session {session}, n_states long, cursor long, current {state}")

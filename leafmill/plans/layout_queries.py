@@ -114,9 +114,11 @@ def export_chapters(spark, d):
     return X.export_chapters(conversation_pages(spark, d))
 
 
-@query(f"""WITH {TT} SELECT doc_id, page_no, "row", CAST(col AS INTEGER) AS col, cell, 'Table_' || dense_rank() OVER (PARTITION BY doc_id ORDER BY page_no) AS sheet FROM tc""")
+@query(f"""WITH {TT} SELECT doc_id, page_no, "row", CAST(col AS INTEGER) AS col, cell, 'Table_' || dense_rank() OVER (PARTITION BY doc_id ORDER BY page_no) AS sheet FROM tc
+UNION ALL SELECT DISTINCT user_id, 0, 0, 0, 'No tables or text found in PDF', 'Table_1' FROM events WHERE user_id NOT IN (SELECT doc_id FROM tc)""")
 def export_tables(spark, d):
-    return X.export_tables(L.text_table(conversation_pages(spark, d)))
+    """Users without a conversation count as documents without a table."""
+    return X.export_tables(L.text_table(conversation_pages(spark, d)), table(spark, d, "events").select(F.col("user_id").alias("doc_id")))
 
 
 @query("""SELECT coalesce(a.name, b.name) AS name, floor(a.bytes * 10.0::DOUBLE / 1024 + 0.5) / 10 AS input_kb, floor(b.bytes * 10.0::DOUBLE / 1024 + 0.5) / 10 AS output_kb
@@ -140,11 +142,11 @@ ROMAN_SQL = "CASE WHEN n > 0 THEN repeat('M', n // 1000) || ['', 'C', 'CC', 'CCC
 
 
 @query(f"""SELECT field_id, {ROMAN_SQL} AS roman, chr(CAST(65 + (n - 1 + 26 * 1000) % 26 AS INTEGER)) AS letter, CASE WHEN n % 2 = 0 THEN round(CAST('0x' || hex2 AS INTEGER) / 255.0::DOUBLE, 6) END AS red,
- CASE WHEN length(value) > 8 THEN substring(value, 1, 8) || '...' ELSE value END AS cell, CASE WHEN n % 5 <> 0 THEN 's_' || name || '.pdf' END AS file, CASE WHEN n % 3 <> 0 THEN CAST(n AS DOUBLE) END AS rect_x0, CAST(CASE WHEN n >= 18 THEN 1 WHEN n >= 14 THEN 2 WHEN n >= 12 THEN 3 END AS INTEGER) AS level
+ CASE WHEN length(value) > 8 THEN substring(value, 1, 8) || '...' ELSE value END AS cell, CASE n % 5 WHEN 0 THEN NULL WHEN 1 THEN 's_' || name || '.pdf' WHEN 2 THEN 's_' || name || '.pdf' WHEN 3 THEN 's_' || name || '.x.pdf' ELSE 's_' || name || '.pdf' END AS file, CASE n % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 0.5 ELSE 0 END::DOUBLE AS named_red, CASE WHEN n % 3 <> 0 THEN CAST(n AS DOUBLE) END AS rect_x0, CAST(CASE WHEN n >= 18 THEN 1 WHEN n >= 14 THEN 2 WHEN n >= 12 THEN 3 END AS INTEGER) AS level
 FROM (SELECT *, field_id % 1200 AS n, printf('%02x', CAST(field_id % 256 AS INTEGER)) AS hex2 FROM ff)""".replace("SELECT field_id, CASE", f"WITH {FF} SELECT field_id, CASE", 1))
 def scalar_functions(spark, d):
     n = (F.col("field_id") % 1200).cast("int")
     f = form_fields(spark, d).withColumn("n", n).withColumn("hex2", F.lower(F.lpad(F.hex(F.col("field_id") % 256), 2, "0")))
     colour = F.when(F.col("n") % 2 == 0, F.concat(F.lit("#"), "hex2", F.lit("00ff"))).otherwise(F.lit("none"))
     rect = F.concat_ws(",", F.col("n").cast("string"), F.lit("0"), F.when(F.col("n") % 3 != 0, F.col("n") + 1).otherwise(F.col("n")).cast("string"), F.lit("5"))
-    return f.select("field_id", S.to_roman(F.col("n")).alias("roman"), S.to_letter(F.col("n")).alias("letter"), F.round(S.hex_to_rgb(colour)["r"], 6).alias("red"), S.cell_text(F.col("value"), 8).alias("cell"), S.safe_filename(F.when(F.col("n") % 5 == 0, F.lit("../x.pdf")).otherwise(F.concat(F.lit("in/"), "name")), F.lit("s")).alias("file"), S.parse_rect(rect)["x0"].alias("rect_x0"), S.heading_level(F.col("n")).alias("level"))
+    return f.select("field_id", S.to_roman(F.col("n")).alias("roman"), S.to_letter(F.col("n")).alias("letter"), F.round(S.hex_to_rgb(colour)["r"], 6).alias("red"), S.cell_text(F.col("value"), 8).alias("cell"), S.safe_filename(F.when(F.col("n") % 5 == 0, F.lit("../x.pdf")).otherwise(F.concat(F.lit("in/"), "name", F.element_at(F.array(*map(F.lit, ("", ".txt", ".x.doc", ".PDF"))), (F.col("n") % 5).cast("int")))), F.lit("s")).alias("file"), S.hex_to_rgb(F.element_at(F.array(*map(F.lit, ("green", "Orange", "purple", "nonsense"))), (F.col("n") % 4 + 1).cast("int")), named=True)["r"].alias("named_red"), S.parse_rect(rect)["x0"].alias("rect_x0"), S.heading_level(F.col("n")).alias("level"))

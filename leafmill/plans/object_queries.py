@@ -10,13 +10,13 @@ from leafmill.operators.layout import html_spans
 from leafmill.plans.base import AN, CNT, FF, IM, PG, SP, annotations, conversation_pages, form_fields, images, query, table
 
 
-@query("""SELECT user_id AS doc_id, page_no, 0 AS idx, CASE t WHEN 'rect' THEN 'square' WHEN 'circle' THEN 'circle' ELSE 'freetext' END AS type, k / 2.0::DOUBLE AS x0, value / 2 AS y0,
- CASE t WHEN 'circle' THEN (k + 14) / 2.0::DOUBLE WHEN 'rect' THEN (k + 20) / 2.0::DOUBLE ELSE (k + 100) / 2.0::DOUBLE END AS x1, CASE t WHEN 'circle' THEN (value + 14) / 2 WHEN 'rect' THEN (value + 30) / 2 ELSE (value + 20) / 2 END AS y1, CASE WHEN t = 'text' THEN event_type END AS contents
-FROM (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k, CAST(event_id % 5 AS INTEGER) AS page_no, CASE event_id % 4 WHEN 0 THEN 'rect' WHEN 1 THEN 'circle' WHEN 2 THEN 'text' ELSE 'bad' END AS t FROM events) WHERE t <> 'bad'""")
+@query("""SELECT user_id AS doc_id, page_no, 0 AS idx, CASE t WHEN 'rect' THEN 'square' WHEN 'circle' THEN 'circle' WHEN 'image' THEN 'stamp' ELSE 'freetext' END AS type, k / 2.0::DOUBLE AS x0, value / 2 AS y0,
+ CASE t WHEN 'circle' THEN (k + 14) / 2.0::DOUBLE WHEN 'rect' THEN (k + 10) / 2.0::DOUBLE ELSE (k + 100) / 2.0::DOUBLE END AS x1, CASE t WHEN 'circle' THEN (value + 12) / 2 WHEN 'rect' THEN (value + 30) / 2 WHEN 'image' THEN (value + 100) / 2 ELSE (value + 50) / 2 END AS y1, CASE WHEN t = 'text' THEN event_type END AS contents
+FROM (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k, CAST(event_id % 5 AS INTEGER) AS page_no, CASE event_id % 5 WHEN 0 THEN 'rect' WHEN 1 THEN 'circle' WHEN 2 THEN 'text' WHEN 3 THEN 'image' ELSE 'bad' END AS t FROM events) WHERE t <> 'bad'""")
 def canvas_annotations(spark, d):
     i = F.col("event_id")
     place = F.concat(F.lit('"left":'), F.get_json_object("props", "$.k"), F.lit(',"top":'), F.col("value").cast("string"))
-    body = F.when(i % 4 == 0, F.concat(F.lit('[{"type":"rect",'), place, F.lit(',"width":10,"height":30,"scaleX":2},{"type":"rect"}]'))).when(i % 4 == 1, F.concat(F.lit('{"objects":[{"type":"circle",'), place, F.lit(',"radius":7}]}'))).when(i % 4 == 2, F.concat(F.lit('[{"type":"i-text",'), place, F.lit(',"text":"'), F.col("event_type"), F.lit('"},{"type":"text","left":1,"top":1,"text":" "}]'))).otherwise(F.lit("[{not json"))
+    body = F.when(i % 5 == 0, F.concat(F.lit('[{"type":"rect",'), place, F.lit(',"width":10,"height":30},{"type":"rect"}]'))).when(i % 5 == 1, F.concat(F.lit('{"objects":[{"type":"circle",'), place, F.lit(',"width":14,"height":12},{"type":"circle","left":1,"top":2,"radius":7}]}'))).when(i % 5 == 2, F.concat(F.lit('[{"type":"i-text",'), place, F.lit(',"text":"'), F.col("event_type"), F.lit('"},{"type":"text","left":1,"top":1,"text":" "}]'))).when(i % 5 == 3, F.concat(F.lit('[{"type":"image","src":"a.png",'), place, F.lit('},{"type":"image","left":1,"top":2,"width":3,"height":4}]'))).otherwise(F.lit("[{not json"))
     canvas = table(spark, d, "events").select(F.col("user_id").alias("doc_id"), (i % 5).cast("int").alias("page_no"), body.alias("payload"))
     return O.canvas_annotations(canvas, 2.0).select("doc_id", "page_no", "idx", "type", "x0", "y0", "x1", "y1", "contents")
 
@@ -59,7 +59,7 @@ def page_comments(spark, d):
     return O.page_comments(a.select("doc_id", "page_no", "ts", F.col("event_id").alias("id"), F.when(F.col("k") % 4 == 0, F.lit(" ")).otherwise(F.col("contents")).alias("text")))
 
 
-@query(f"WITH {IM} SELECT doc_id, page_no, idx, width, height, bits_per_component, CASE color_space WHEN 0 THEN 'None' WHEN 1 THEN 'Gray' WHEN 2 THEN 'RGB' WHEN 3 THEN 'CMYK' ELSE 'Unknown(' || color_space || ')' END AS color_space_name, coalesce(compression, 'None') AS compression, mask > 0 AS has_mask, size_bytes, CASE WHEN width > 0 AND height > 0 THEN floor(width * 1000.0::DOUBLE / height + 0.5) / 1000 END AS aspect_ratio FROM im")
+@query(f"WITH {IM} SELECT doc_id, page_no, idx, width, height, bits_per_component, CASE color_space WHEN 0 THEN 'DeviceGray' WHEN 1 THEN 'DeviceRGB' WHEN 2 THEN 'DeviceCMYK' WHEN 3 THEN 'Indexed' ELSE 'Unknown(' || color_space || ')' END AS color_space_name, coalesce(compression, 'None') AS compression, mask > 0 AS has_mask, size_bytes, CASE WHEN width > 0 AND height > 0 THEN floor(width * 1000.0::DOUBLE / height + 0.5) / 1000 END AS aspect_ratio FROM im")
 def image_inventory(spark, d):
     return O.image_inventory(images(spark, d))
 

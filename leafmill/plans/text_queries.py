@@ -59,12 +59,13 @@ def document_fonts(spark, d):
     return T.document_fonts(_spans(spark, d)).withColumn("pages", F.array_join(F.transform("pages", lambda x: x.cast("string")), ","))
 
 
-FONT_TABLE = ", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate([(b.lower().replace("-", ""), b) for b in T.BUILT_IN] + list(T.SUBSTITUTES)))
-PART_FONT = "CASE p_partkey % 7 WHEN 0 THEN 'Arial-Bold' WHEN 1 THEN 'Times New Roman ' || p_brand WHEN 2 THEN 'X+Helvetica-Bold' WHEN 3 THEN 'Fira Mono' WHEN 4 THEN p_name || ' Italic' WHEN 5 THEN 'My Bold Oblique' ELSE p_name END"
+PART_FONT = "CASE p_partkey % 11 WHEN 0 THEN 'Arial-Bold' WHEN 1 THEN 'Times New Roman ' || p_brand WHEN 2 THEN 'X+Helvetica-Bold' WHEN 3 THEN 'Fira Mono' WHEN 4 THEN p_name || ' Italic' WHEN 5 THEN 'My Bold Oblique' WHEN 6 THEN 'Palatino Linotype' WHEN 7 THEN 'Bookman-Bold Italic' WHEN 8 THEN 'Bold Serif Italic' WHEN 9 THEN 'Noto Serif' ELSE p_name END"
 
 
-@query(f"""WITH f AS (SELECT p_partkey, {PART_FONT} AS font FROM part), n AS (SELECT *, lower(replace(replace(font, '-', ''), ' ', '')) AS k FROM f), m AS (SELECT p_partkey, arg_min(t.v, t.i) AS v FROM n JOIN (VALUES {FONT_TABLE}) t(i, key, v) ON contains(n.k, t.key) GROUP BY 1)
-SELECT p_partkey, font, coalesce(m.v, CASE WHEN contains(k, 'courier') OR contains(k, 'mono') THEN 'Courier' WHEN contains(k, 'times') OR contains(k, 'serif') THEN 'Times-Roman' WHEN contains(k, 'bold') AND (contains(k, 'italic') OR contains(k, 'oblique')) THEN 'Helvetica-BoldOblique' WHEN contains(k, 'bold') THEN 'Helvetica-Bold' WHEN contains(k, 'italic') OR contains(k, 'oblique') THEN 'Helvetica-Oblique' ELSE 'Helvetica' END) AS match FROM n LEFT JOIN m USING (p_partkey)""")
+@query(f"""WITH f AS (SELECT p_partkey, {PART_FONT} AS font FROM part), n AS (SELECT *, lower(replace(replace(font, '-', ''), ' ', '')) AS k FROM f)
+SELECT p_partkey, font, CASE WHEN k LIKE '%timesroman%' THEN 'Times-Roman' WHEN k LIKE '%timesbold%' THEN 'Times-Bold' WHEN k LIKE '%timesitalic%' THEN 'Times-Italic' WHEN k LIKE '%helvetica%' THEN 'Helvetica' WHEN k LIKE '%courier%' THEN 'Courier' WHEN k LIKE '%symbol%' THEN 'Symbol' WHEN k LIKE '%zapfdingbats%' THEN 'ZapfDingbats'
+ WHEN k LIKE '%times%' THEN 'Times-Roman' WHEN k LIKE '%arial%' THEN 'Helvetica' WHEN k LIKE '%verdana%' THEN 'Helvetica' WHEN k LIKE '%georgia%' OR k LIKE '%palatino%' OR k LIKE '%bookman%' THEN 'Times-Roman'
+ WHEN k LIKE '%bold%' THEN CASE WHEN k LIKE '%italic%' THEN 'Helvetica-BoldOblique' ELSE 'Helvetica-Bold' END WHEN k LIKE '%italic%' OR k LIKE '%oblique%' THEN 'Helvetica-Oblique' WHEN k LIKE '%mono%' THEN 'Courier' WHEN k LIKE '%serif%' THEN 'Times-Roman' ELSE 'Helvetica' END AS match FROM n""")
 def match_font(spark, d):
     return T.match_font(table(spark, d, "part").select("p_partkey", F.expr(PART_FONT).alias("font")))
 
@@ -155,7 +156,8 @@ def bookmarks_by_page(spark, d):
     return N.bookmarks_by_page(_toc(spark, d), spans.select("doc_id", "page_no").distinct(), 0)
 
 
-HREFS = "lk AS (SELECT doc_id, CAST(i AS INTEGER) AS idx, target, CASE WHEN regexp_matches(target, '^(https?:|mailto:)') THEN 'uri' WHEN starts_with(target, '#') THEN 'named' WHEN starts_with(target, 'file:') THEN 'file' WHEN target <> '' THEN 'internal' ELSE 'unknown' END AS type FROM (SELECT page_id AS doc_id, unnest(h) AS target, unnest(range(len(h))) AS i FROM (SELECT page_id, regexp_extract_all(html, '" + N.HREF.replace('\\"', '"') + "', 1) AS h FROM pages)))"
+HREFS = r"""lk AS (SELECT doc_id, CAST(i AS INTEGER) AS idx, target, CASE WHEN target LIKE 'http:%' OR target LIKE 'https:%' OR target LIKE 'mailto:%' THEN 'uri' WHEN starts_with(target, '#') THEN 'named' WHEN starts_with(target, 'file:') THEN 'file' WHEN target <> '' THEN 'internal' ELSE 'unknown' END AS type
+ FROM (SELECT page_id AS doc_id, unnest(h) AS target, unnest(range(len(h))) AS i FROM (SELECT page_id, list_transform(regexp_extract_all(html, '(?i)<a\s(?:[^>]*\s)?href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), lambda t: trim(t, chr(34) || chr(39))) AS h FROM pages)))"""
 
 
 @query(f"WITH {HREFS} SELECT * FROM lk")

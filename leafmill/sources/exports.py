@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafmill.functions.scalars import markdown_mark
@@ -30,18 +31,29 @@ def export_chapters(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "page_no", title.alias("title"), F.concat(F.lit("<h1>"), title, F.lit("</h1>"), body).alias("html"))
 
 
-def export_tables(cells: DataFrame) -> DataFrame:
-    """Cells with the name of their sheet: Table_<n> by page of the document, 31 characters at most; documents without one get a fallback row upstream."""
-    from pyspark.sql import Window as W
+#: What stands in the sheet of a document without tables and text (fixed value).
+NO_TABLE = "No tables or text found in PDF"
 
+
+def export_tables(cells: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Cells with the name of their sheet: Table_<n> by page of the document, 31 characters at most.
+
+    documents (doc_id): those of them without a cell get one sheet of one cell that says so.
+    """
     n = F.dense_rank().over(W.partitionBy("doc_id").orderBy("page_no"))
-    return cells.withColumn("sheet", F.substring(F.concat(F.lit("Table_"), n.cast("string")), 1, 31))
+    out = cells.withColumn("sheet", F.substring(F.concat(F.lit("Table_"), n.cast("string")), 1, 31))
+    if documents is None:
+        return out
+    bare = documents.select("doc_id").distinct().join(cells.select("doc_id").distinct(), "doc_id", "left_anti")
+    zero = F.lit(0)
+    return out.unionByName(bare.select("doc_id", zero.alias("page_no"), zero.alias("row"), zero.alias("col"), F.lit(NO_TABLE).alias("cell"), F.lit("Table_1").alias("sheet")))
 
 
 def write_texts(docs: DataFrame, path: str) -> None:
-    """One text file part per task, in a folder for each document."""
-    docs.select("doc_id", "text").write.partitionBy("doc_id").text(path)
+    """Texts as lines of JSON with their ids, in one file for each task: a folder or a file for each document would be too many."""
+    docs.select(F.to_json(F.struct("doc_id", "text")).alias("value")).write.text(path)
 
 
 def write_sheets(cells: DataFrame, path: str) -> None:
+    """Cells in a folder for each number of sheet: as many as the document with most tables has."""
     cells.write.partitionBy("sheet").parquet(path)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
+
+from leafmill.operators.folds import fold_by_key
 
 LIMIT, WINDOW_S = 100, 60
 TTL_HOURS = 24
@@ -27,37 +32,83 @@ def session_upsert(changes: DataFrame) -> DataFrame:
     return last.where("not s.deleted").select("session_id", *[F.col(f"s.{c}").alias(c) for c in rest], "created_at", "last_modified")
 
 
-def upsert_stream(changes: DataFrame, path: str, checkpoint: str):
-    """The same kept by a stream: each micro-batch is merged with the stored states by key, versions apart, so a retried batch changes nothing."""
-    spark = changes.sparkSession
-    key = "session_id"
+#: Micro-batches after which the changes are merged into one table.
+MERGE_EVERY = 20
+
+
+def upsert_stream(changes: DataFrame, path: str, checkpoint: str, merge_every: int = MERGE_EVERY):
+    """The same kept by a stream: each micro-batch adds a table of its newest states; every so many of them become one table, and the merged ones go.
+
+    A retried micro-batch writes its own table anew and changes nothing else. stored_sessions()
+    reads the states; deleted sessions go for good when tables are merged.
+    """
+    Path = changes.sparkSession._jvm.org.apache.hadoop.fs.Path
+    conf = changes.sparkSession._jsc.hadoopConfiguration()
+
+    def newest(df: DataFrame) -> DataFrame:
+        rest = [c for c in changes.columns if c != "session_id"]
+        return df.groupBy("session_id").agg(F.max_by(F.struct(*rest), "ts").alias("s")).select("session_id", "s.*").select(*changes.columns)
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        old = spark.read.schema(batch.schema).parquet(f"{path}/v{epoch - 1}") if epoch else batch.limit(0)
-        both = old.unionByName(batch)
-        newest = both.groupBy(key).agg(F.max_by(F.struct(*[c for c in batch.columns if c != key]), "ts").alias("s"))
-        newest.select(key, "s.*").select(*batch.columns).write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        newest(batch).write.mode("overwrite").parquet(f"{path}/epoch={epoch:010d}")
+        if (epoch + 1) % merge_every == 0:
+            spark = batch.sparkSession
+            tables = [f"{path}/epoch={e:010d}" for e in range(max(0, epoch + 1 - merge_every), epoch + 1)]
+            before = f"{path}/merged={epoch - merge_every:010d}"
+            system = Path(path).getFileSystem(conf)
+            tables += [before] if system.exists(Path(before)) else []
+            newest(spark.read.schema(batch.schema).parquet(*tables)).where("not deleted").write.mode("overwrite").parquet(f"{path}/merged={epoch:010d}")
+            for t in tables:
+                system.delete(Path(t), True)
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
+def stored_sessions(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Latest states that upsert_stream has stored, without deleted ones."""
+    df = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
+    rest = [f.name for f in schema if f.name != "session_id"]
+    return df.groupBy("session_id").agg(F.max_by(F.struct(*rest), "ts").alias("s")).select("session_id", "s.*").where("not deleted")
+
+
 def rate_admission(requests: DataFrame, limit: int = LIMIT, window_s: int = WINDOW_S) -> DataFrame:
     """Admits a request (client, ts, id) unless limit admitted ones lie in the window before it; rejected ones don't count.
 
-    Returns client, id, ts, admitted and remaining. Each client is folded in order of time; the
-    fold keeps the last limit admitted stamps. Stamps of exactly window_s before are out.
+    Returns client, id, ts, admitted and remaining. After a pause as long as the window
+    nothing that came before matters, so a client's requests are cut there, and each part is
+    gone through in order of time by itself, with only the last limit admitted stamps kept.
+    The pauses are found day by day, with the last stamps of earlier days carried over: no
+    client's requests are ever in one window or one task, but for parts without a pause.
+    Stamps of exactly window_s before are out.
     """
-    per = requests.groupBy("client").agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "id", "ts"))).alias("r"))
-    start = F.struct(F.array().cast("array<bigint>").alias("held"), F.array().cast("array<struct<id:bigint,ts:timestamp_ntz,admitted:boolean,remaining:bigint>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        live = F.filter(acc["held"], lambda h: h > x["t"] - window_s * 1_000_000)
-        ok = F.size(live) < limit
-        held = F.when(ok, F.concat(live, F.array(x["t"]))).otherwise(live)
-        row = F.struct(x["id"].cast("long").alias("id"), x["ts"].cast("timestamp_ntz").alias("ts"), ok.alias("admitted"), (F.lit(limit) - F.size(held)).cast("long").alias("remaining"))
-        return F.struct(held.alias("held"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    return per.select("client", F.explode(F.aggregate("r", start, step, lambda a: a["out"])).alias("x")).select("client", "x.id", "x.ts", "x.admitted", "x.remaining")
+    span = window_s * 1_000_000
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = requests.select("client", "id", "ts", t.alias("t"), F.floor(t / 86_400_000_000).alias("day"))
+    in_day, days = W.partitionBy("client", "day").orderBy("t", "id"), W.partitionBy("client").orderBy("day")
+    ends = rows.groupBy("client", "day").agg(F.max("t").alias("end")).select("client", "day", F.lag("end").over(days).alias("before"))
+    gap = F.col("t") - F.coalesce(F.lag("t").over(in_day), F.col("before"))
+    rows = _with(rows, ends, ["client", "day"])
+    rows = rows.withColumn("start", F.when(F.coalesce(gap >= span, F.lit(True)), F.col("t"))).drop("before")
+    firsts = rows.groupBy("client", "day").agg(F.max("start").alias("last")).select("client", "day", F.last("last", True).over(days.rowsBetween(W.unboundedPreceding, -1)).alias("carried"))
+    rows = _with(rows, firsts, ["client", "day"]).withColumn("part", F.coalesce(F.last("start", True).over(in_day), F.col("carried")))
+
+    def step(held: deque, row) -> tuple:
+        while held and held[0] <= row.t - span:
+            held.popleft()
+        ok = len(held) < limit
+        if ok:
+            held.append(row.t)
+        return row.client, row.id, row.ts, ok, limit - len(held)
+
+    kind, stamp = (rows.schema[c].dataType.simpleString() for c in ("client", "ts"))
+    return fold_by_key(rows.select("client", "part", "t", "id", "ts"), ["client", "part"], ["t", "id"], lambda _: deque(), step, None, f"client {kind}, id long, ts {stamp}, admitted boolean, remaining long")
+
+
+def _with(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the columns of a table that has each key once; null keys are equal."""
+    named = table.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in table.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return rows.join(named, same).drop(*[f"__{k}" for k in keys])
 
 
 def rate_admission_stream(requests: DataFrame, limit: int = LIMIT, window_s: int = WINDOW_S, late: str = "10 minutes") -> DataFrame:
@@ -128,17 +179,27 @@ def recent_files(opened: DataFrame, keep: int = 10) -> DataFrame:
     return last.withColumn("rank", n).where(F.col("rank") <= keep)
 
 
-def recent_files_stream(opened: DataFrame, keep: int = 10) -> DataFrame:
-    """The same over a stream, in update mode: each user whose list changed, with names and stamps, newest first."""
+def recent_files_stream(opened: DataFrame, keep: int = 10, late: str = "1 hour", ttl_days: int = 90) -> DataFrame:
+    """The same over a stream, in update mode: each user whose list changed, with names, newest first. A user's list goes ttl_days after the last file."""
 
     def newest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = dict(zip(*state.get, strict=True)) if state.exists else {}
         for b in batches:
-            for name, ts in zip(b["name"], b["ts"], strict=True):
+            last = b.groupby("name")["ts"].max()
+            for name, ts in zip(last.index, last.array, strict=True):
                 held[name] = max(held.get(name, 0), int(ts.value // 1000))
         top = sorted(held.items(), key=lambda x: (-x[1], x[0]))[:keep]
         state.update(([n for n, _ in top], [t for _, t in top]))
+        state.setTimeoutTimestamp(max(top[0][1] // 1000 + ttl_days * 86_400_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"user_id": [key[0]], "names": [[n for n, _ in top]]})
 
     kind = opened.schema["user_id"].dataType.simpleString()
-    return opened.groupBy("user_id").applyInPandasWithState(newest, f"user_id {kind}, names array<string>", "names array<string>, stamps array<long>", "update", GroupStateTimeout.NoTimeout)
+    return opened.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(newest, f"user_id {kind}, names array<string>", "names array<string>, stamps array<long>", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a running or stopped stream has dropped because they came after the watermark, over the progress it remembers."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])

@@ -271,8 +271,12 @@ def test_streamed_upsert_and_recent_files(spark, tmp_path):
     q = Z.upsert_stream(stream, str(tmp_path / "state"), str(tmp_path / "ck")).start()
     q.processAllAvailable()
     q.stop()
-    state = spark.read.parquet(str(tmp_path / "state" / "v2"))
-    assert {r.session_id: r.filename for r in state.where("not deleted").collect()} == want
+    assert {r.session_id: r.filename for r in Z.stored_sessions(spark, str(tmp_path / "state"), df.schema).collect()} == want
+    q = Z.upsert_stream(stream, str(tmp_path / "merged"), str(tmp_path / "ck2"), merge_every=2).start()
+    q.processAllAvailable()
+    q.stop()
+    assert {r.session_id: r.filename for r in Z.stored_sessions(spark, str(tmp_path / "merged"), df.schema).collect()} == want
+    assert sorted(x.name for x in (tmp_path / "merged").iterdir()) == ["epoch=0000000002", "merged=0000000001"]
     opened = df.select(F.lit(1).alias("user_id"), F.col("filename").alias("name"), "ts")
     got = _streamed(spark, opened, "recent", tmp_path, lambda s: Z.recent_files_stream(s, 4), mode="update")
     assert ["f8", "f7", "f6", "f5"] in [r.names for r in got.collect()]
@@ -283,3 +287,113 @@ def test_expiry(spark):
     s = spark.createDataFrame([("a", dt.datetime(2024, 1, 1)), ("b", dt.datetime(2024, 1, 2, 12)), ("c", dt.datetime(2024, 1, 1))], "session_id string, last_modified timestamp_ntz")
     out = Z.expire_sessions(s, F.expr("timestamp_ntz'2024-01-03 00:00:00'"), s.where("session_id = 'c'"))
     assert [r.session_id for r in out.collect()] == ["a"]
+
+
+def test_streamed_expiry(spark, tmp_path):
+    base = dt.datetime(2024, 1, 1)
+    rows = [("a", base), ("b", base + dt.timedelta(hours=1)), ("a", base + dt.timedelta(hours=2)), ("b", base + dt.timedelta(hours=90)), ("c", base + dt.timedelta(hours=91)), ("c", base + dt.timedelta(hours=200))]
+    df = spark.createDataFrame(rows, "session_id string, ts timestamp")
+    got = _streamed(spark, df, "expired", tmp_path, lambda s: Z.expire_stream(s, 24), batches=6)
+    assert sorted((r.session_id, r.started, r.ended, r.n) for r in got.collect()) == [("a", base, base + dt.timedelta(hours=26), 2), ("b", base + dt.timedelta(hours=1), base + dt.timedelta(hours=25), 1), ("b", base + dt.timedelta(hours=90), base + dt.timedelta(hours=114), 1), ("c", base + dt.timedelta(hours=91), base + dt.timedelta(hours=115), 1)]
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    base = dt.datetime(2024, 1, 1)
+    for k, m in enumerate([0, 5, 300, 301, 1, 2, 400]):
+        spark.createDataFrame([(base + dt.timedelta(minutes=m), "/a", 200, 1.0)], "ts timestamp, path string, status int, duration double").coalesce(1).write.parquet(str(tmp_path / "late" / f"b{k}"))
+    stream = spark.readStream.schema("ts timestamp, path string, status int, duration double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).option("latestFirst", False).parquet(str(tmp_path / "late"))
+    q = Z.request_metrics(stream, "1 hour").writeStream.outputMode("append").format("noop").option("checkpointLocation", str(tmp_path / "late-c")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert Z.late_rows(q) == 2
+
+
+def test_recent_files_state_goes(spark, tmp_path):
+    base = dt.datetime(2024, 1, 1)
+    rows = [(1, "x", base), (2, "y", base + dt.timedelta(days=10)), (2, "z", base + dt.timedelta(days=11)), (1, "w", base + dt.timedelta(days=12))]
+    df = spark.createDataFrame(rows, "user_id long, name string, ts timestamp")
+    got = _streamed(spark, df, "going", tmp_path, lambda s: Z.recent_files_stream(s, 4, ttl_days=2), mode="update", batches=4)
+    assert [r.names for r in got.where("user_id = 1").collect()] == [["x"], ["w"]] and ["z", "y"] in [r.names for r in got.collect()]
+
+
+def test_admission_of_one_busy_client(spark):
+    """Pauses, days and a client with most of the requests: the same as going through all of them in order."""
+    import random
+
+    rng = random.Random(2)
+    base = dt.datetime(2024, 1, 1)
+    rows = [(c, base + dt.timedelta(microseconds=rng.randrange(4 * 86_400) * 1_000_000), i) for i, c in enumerate(["busy"] * 3000 + [None] * 200 + ["x", "y"] * 50)]
+    held, want = {}, {}
+    for c, ts, i in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        live = [h for h in held.get(c, []) if h > ts - dt.timedelta(seconds=300)]
+        ok = len(live) < 2
+        held[c] = live + [ts] * ok
+        want[i] = (c, ts, ok, 2 - len(held[c]))
+    df = spark.createDataFrame(rows, "client string, ts timestamp_ntz, id long").repartition(5)
+    got = {r.id: (r.client, r.ts, r.admitted, r.remaining) for r in Z.rate_admission(df, 2, 300).collect()}
+    assert got == want and Z.rate_admission(df.limit(0), 2, 300).count() == 0
+
+
+def test_replays_of_long_logs(spark):
+    log = spark.range(30_000).select(F.lit("s").alias("session"), F.col("id").alias("seq"), F.when(F.col("id") % 7 == 3, "undo").when(F.col("id") % 11 == 5, "redo").otherwise("edit").alias("kind"), F.col("id").alias("state"))
+    states, at = [], -1
+    for r in log.orderBy("seq").collect():
+        if r.kind == "edit":
+            states = (states[: at + 1] + [r.state])[-50:]
+            at = len(states) - 1
+        else:
+            at = max(at - 1, min(0, len(states) - 1)) if r.kind == "undo" else min(at + 1, len(states) - 1)
+    assert tuple(P.replay_history(log.repartition(3)).first()) == ("s", len(states), at, states[at])
+    assert P.replay_history(log.limit(0)).count() == 0
+    ops = spark.createDataFrame([(1, 0, "delete", 5), (1, 1, "duplicate", 1), (1, 2, "to_front", 3), (2, 0, "delete", 0), (2, 1, "other", 0)], "doc_id long, seq long, kind string, arg long")
+    counts = spark.createDataFrame([(1, 4), (2, 1), (3, 9)], "doc_id long, n_pages long")
+    assert {r.doc_id: r.pages for r in P.replay_page_ops(counts, ops).collect()} == {1: [3, 0, 2, 2], 2: [0]}
+
+
+def test_corpus_numbers_of_sparse_ids(spark):
+    ids = sorted({-(3**30), *(7**k for k in range(22)), *range(40)})
+    df = spark.createDataFrame([(i, p) for i in ids for p in range(1 + abs(i) % 3)], "doc_id long, page_no int").repartition(4)
+    got = [r.corpus_no for r in P.corpus_numbers(df, 8).orderBy("doc_id", "page_no").collect()]
+    assert got == list(range(1, len(got) + 1)) and P.corpus_numbers(df.limit(0)).count() == 0
+
+
+def test_wrapping_equals_textwrap(spark):
+    import textwrap
+
+    lines = ["tail " + "w" * 100, "  lead  and   runs " * 9, "a\tb\tc " * 12, "well-known half-open semi-automatic " * 6, "word--dash " * 15, "x" * 79 + " y", "x" * 81, "-" * 100, "a" * 70 + " " + "b-c-d-efgh-ijkl" * 10, "", " \t ", "日本語-漢字 " * 20, "end" + " " * 100 + "x"]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert {r.doc_id: r.lines for r in L.wrapped(df).collect()} == {i: textwrap.wrap(x, 80) for i, x in enumerate(lines)}
+
+
+def test_inline_markup_keeps_its_text(spark):
+    html = "<style>p{}</style><p>one <b>two</b> three</p><H1 class='x'>Head<br/>line &amp; &lt;b></H1><ul><li>a<li><a href=u>link</a> rest</ul>tail<!-- no --><script>x<p>y</script><pre>code</pre>"
+    got = [(r.i, r.tag, r.text) for r in L.scan_html(spark.createDataFrame([(1, html), (2, None), (3, "bare")], "page_id long, html string")).orderBy("doc_id", "i").collect()]
+    assert got == [(0, "p", "one"), (1, "b", "two"), (2, "p", "three"), (3, "h1", "Head line & <b>"), (4, "li", "a"), (5, "li", "link"), (6, "p", "rest"), (7, "p", "tail"), (8, "pre", "code"), (0, "p", "bare")]
+    links = spark.createDataFrame([(1, "<a href=\"x\">1</a><A class=b HREF='https://y'>2</A><a href=#z>3</a><abbr href=no>")], "page_id long, html string")
+    assert [(r.idx, r.target, r.type) for r in N.page_links(links).orderBy("idx").collect()] == [(0, "x", "internal"), (1, "https://y", "uri"), (2, "#z", "named")]
+
+
+def test_fixed_tables(spark):
+    """Fonts, colour spaces, colours, file names and canvas objects as they are prescribed."""
+    fonts = {"Palatino": "Times-Roman", "Bookman Old Style": "Times-Roman", "Times New Roman": "Times-Roman", "Courier New Bold": "Courier", "Calibri": "Helvetica", "Times-BoldItalic": "Times-Bold", "Mono Bold": "Helvetica-Bold", "Serif Oblique": "Helvetica-Oblique", "My Serif": "Times-Roman", "ABC+Courier-Bold": "Courier"}
+    names = spark.createDataFrame([(x,) for x in fonts], "font string")
+    assert {r.font: r.match for r in T.match_font(names).collect()} == fonts
+    images = spark.createDataFrame([(1, 0, k, 10, 5, 8, k, None, 0, 1) for k in range(5)], "doc_id long, page_no int, idx int, width int, height int, bits_per_component int, color_space int, compression string, mask int, size_bytes long")
+    assert [r.color_space_name for r in O.image_inventory(images).orderBy("idx").collect()] == ["DeviceGray", "DeviceRGB", "DeviceCMYK", "Indexed", "Unknown(4)"]
+    colours = spark.createDataFrame([(x,) for x in ("green", "Dark", "orange", "GRAY", "#0f0", "00ff00", "p urple")], "c string")
+    assert [tuple(r.v) for r in colours.select(S.hex_to_rgb(F.col("c"), named=True).alias("v")).collect()] == [(0, 0.5, 0), (0, 0, 0), (1, 0.5, 0), (0.5, 0.5, 0.5), (0, 1, 0), (0, 0, 0), (0.5, 0, 0.5)]
+    files = {"a.txt": "s_a.pdf", "b": "s_b.pdf", "d/e.x.PDF": "s_e.x.pdf", "/abs/f.pdf": "s_f.pdf", "g/../h": None, "./i": None, "~j": None, "": None, "k//l": None, "x" * 300: None}
+    df = spark.createDataFrame([(x,) for x in files], "n string")
+    assert {r.n: r.f for r in df.select("n", S.safe_filename(F.col("n"), F.lit("s")).alias("f")).collect()} == files
+    body = '[{"type":"circle","left":1,"top":2,"width":3,"height":4,"stroke":"#111"},{"type":"circle","left":1,"top":2,"radius":5},{"type":"image","src":"a","left":1,"top":2},{"type":"image","left":1,"top":2,"width":9,"height":9},{"type":"text","text":"t","left":0,"top":0,"fill":"#222"}]'
+    rows = O.canvas_annotations(spark.createDataFrame([(1, 0, body)], "doc_id long, page_no int, payload string")).orderBy("idx").collect()
+    assert [(r.idx, r.type, r.x1, r.y1, r.stroke) for r in rows] == [(0, "circle", 4.0, 6.0, "#111"), (2, "stamp", 101.0, 102.0, "#000000"), (4, "freetext", 100.0, 50.0, "#222")]
+
+
+def test_exports_of_documents_without_tables(spark, tmp_path):
+    cells = spark.createDataFrame([(1, 0, 0, 0, "a"), (1, 3, 0, 0, "b")], "doc_id long, page_no int, row int, col int, cell string")
+    docs = spark.createDataFrame([(1,), (2,), (2,)], "doc_id long")
+    got = sorted((r.doc_id, r.sheet, r.cell) for r in X.export_tables(cells, docs).collect())
+    assert got == [(1, "Table_1", "a"), (1, "Table_2", "b"), (2, "Table_1", "No tables or text found in PDF")]
+    X.write_texts(spark.createDataFrame([(1, "a\nb"), (2, None)], "doc_id long, text string"), str(tmp_path / "t"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "t")).collect()) == ['{"doc_id":1,"text":"a\\nb"}', '{"doc_id":2}']
