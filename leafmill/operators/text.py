@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from leafmill.functions.arrays import let, running
 from leafmill.functions.scalars import decode_flags, heading_level
 
 SPAN_KEY = ("doc_id", "page_no", "block", "line", "span")
@@ -40,16 +41,18 @@ def nested_layout(spans: DataFrame) -> DataFrame:
 
 
 def places(text: Column, query: Column) -> Column:
-    """Starts (from 0) of a literal in a text, overlaps included. Only texts that hold it pay for the walk from hit to hit.
+    """Starts (from 0) of a literal in a text, overlaps included. Only texts that hold it pay for the cuts.
 
-    Each round looks for the next hit after the last one, so the work is a scan of the text,
-    not a test at every character.
+    The text is cut before every hit, so that all parts but the first begin with one.
     """
-    n = F.length(query)
-    parts = F.split(text, F.concat(F.lit("(?="), F.lit(r"\Q"), query, F.lit(r"\E"), F.lit(")")), -1)
-    starts = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, x: F.struct((acc["at"] + F.length(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
-    found = F.filter(starts, lambda p: F.substring(text, p + 1, n) == query)
-    return F.when(text.contains(query), found).otherwise(F.array().cast("array<int>"))
+    before_hit = F.concat(F.lit("(?="), F.lit(r"\Q"), query, F.lit(r"\E"), F.lit(")"))
+    sizes = F.transform(F.split(text, before_hit, -1), lambda x: F.length(x))
+
+    def starts(n: Column) -> Column:
+        ends = running(F.slice(n, F.lit(1), F.size(n) - 1), lambda x, y: x + y)
+        return F.when(text.startswith(query), F.concat(F.array(F.lit(0)), ends)).otherwise(ends)
+
+    return F.when(text.contains(query), let(sizes, starts)).otherwise(F.array().cast("array<int>"))
 
 
 def _query(query: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from leafmill.functions import scalars as S
@@ -29,6 +31,18 @@ def scan_csv(spark, d):
     return C.csv_rows(o.select(F.col("o_orderkey").alias("doc_id"), text.alias("text")))
 
 
+@query("SELECT o_orderkey, o_orderstatus, 'a, \"b\": ' || o_orderpriority AS note FROM orders")
+def scan_csv_files(spark, d):
+    """Orders written as CSV files with a header and quoted cells to the shared folder, and read back."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.concat(F.lit('a, "b": '), "o_orderpriority").alias("note"))
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/csv-{uuid.uuid4().hex}"
+    o.write.option("header", True).option("escape", '"').csv(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return C.scan_csv(spark, path, o.schema)
+
+
 @query("""SELECT event_id AS doc_id, 0 AS row_no, 'k' AS key, json_extract_string(props, '$.k') AS value FROM events
 UNION ALL SELECT event_id, 1, 'k', '' FROM events UNION ALL SELECT event_id, 0, 't', '' FROM events UNION ALL SELECT event_id, 1, 't', event_type FROM events""")
 def scan_json(spark, d):

@@ -29,8 +29,8 @@ def scan_text(source: SparkSession | DataFrame, path: str | None = None) -> Data
 
 
 def scan_csv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """A table with a header row; without a schema, types are inferred in an extra pass."""
-    reader = spark.read.option("header", True)
+    """A table with a header row (quotes inside quoted cells are doubled); without a schema, types are inferred in an extra pass."""
+    reader = spark.read.option("header", True).option("escape", '"')
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 

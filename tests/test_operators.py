@@ -397,3 +397,14 @@ def test_exports_of_documents_without_tables(spark, tmp_path):
     assert got == [(1, "Table_1", "a"), (1, "Table_2", "b"), (2, "Table_1", "No tables or text found in PDF")]
     X.write_texts(spark.createDataFrame([(1, "a\nb"), (2, None)], "doc_id long, text string"), str(tmp_path / "t"))
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "t")).collect()) == ['{"doc_id":1,"text":"a\\nb"}', '{"doc_id":2}']
+
+
+def test_places_of_many_hits(spark):
+    import time
+
+    cases = [("aaaa", "aa", [0, 1, 2]), ("xaxa", "a", [1, 3]), ("", "a", []), ("a.b", ".", [1]), ("é日é日é", "é日é", [0, 2])]
+    df = spark.createDataFrame(cases, "t string, q string, want array<int>")
+    assert all(r.got == r.want for r in df.withColumn("got", T.places(F.col("t"), F.col("q"))).collect())
+    began = time.perf_counter()
+    many = spark.createDataFrame([("ab" * 100_000,)], "t string").select(T.places(F.col("t"), F.lit("ba")).alias("p")).first().p
+    assert many == list(range(1, 199_999, 2)) and time.perf_counter() - began < 60
