@@ -51,8 +51,8 @@ def bookmarks_by_page(toc: DataFrame, pages: DataFrame, page: int) -> DataFrame:
     return toc.where(F.col("page") == page + 1).join(has, "doc_id", "left_semi")
 
 
-def link_type(link: DataFrame | None = None) -> Column:
-    """Type by the first key present."""
+def link_type() -> Column:
+    """Type of a link (uri, dest_page, named_dest, file_path) by the first key present."""
     return F.when(F.col("uri").isNotNull(), F.lit("uri")).when(F.col("dest_page").isNotNull(), F.lit("internal")).when(F.col("named_dest").isNotNull(), F.lit("named")).when(F.col("file_path").isNotNull(), F.lit("file")).otherwise(F.lit("unknown"))
 
 
