@@ -80,24 +80,21 @@ def test_language_model(spark):
 
 
 def test_language_model_probabilities_sum_to_one():
-    """Over all leaves, and over the words of a shared leaf, with trained weights."""
+    """Over all classes, and over the words of all classes, with trained weights."""
     rng = np.random.default_rng(0)
     counts = np.sort(rng.integers(1, 500, 40_000))[::-1]
     words = rng.integers(0, 1 << 63, 40_000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    mass = np.zeros(lm.WIDTH**3)
-    leaf = lm.leaves(np.arange(40_000), words)
-    np.add.at(mass, leaf, counts + 0.5)
-    mass[lm.OWN :] += 0.5
+    mass = np.full(lm.CLASSES, 0.5)
+    cls = lm.classes(np.arange(40_000), words)
+    np.add.at(mass, cls, counts + 0.5)
     model = lm.Model(mass, 1 << 12)
     for w in model.weights:
         w += rng.normal(0, 1, w.shape).astype(np.float32)
-    every = np.arange(lm.WIDTH**3)
+    every = np.arange(lm.CLASSES)
     p = np.exp(model.step(every, tuple(np.full(len(every), x, np.uint64) for x in (5, 77, 901))))
     assert p.sum() == pytest.approx(1, abs=1e-4) and (p > 0).all()
-    word = p[leaf] * np.where(leaf >= lm.OWN, (counts + 0.5) / mass[leaf], 1)
-    unknown = (p[lm.OWN :] * 0.5 / mass[lm.OWN :]).sum()
-    assert word.sum() + unknown == pytest.approx(1, abs=1e-4)
-    assert (np.unique(leaf[: lm.OWN]) == np.arange(lm.OWN)).all()
+    words = (p[cls] * (counts + 0.5) / mass[cls]).sum() + (p * 0.5 / mass).sum()
+    assert words == pytest.approx(1, abs=1e-4)
 
 
 def test_language_model_scores_do_not_depend_on_partitions(spark, monkeypatch):
@@ -244,3 +241,20 @@ def test_encoders_of_odd_tables(spark):
         assert len(got) == 4 and sum(r.n_tokens == 0 for r in got) == 1 and len({r.n_tokens for r in got if r.doc_id == 1}) == 1
     assert sentencepieces.encode_texts(df.limit(0), model).count() == tokencounts.count_tokens(df.limit(0), path).count() == 0
     assert sentencepieces.decode_ids(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>"), model).first().text == ""
+
+
+def test_toxicity_of_odd_rows(spark):
+    """Empty tables, repeated rows, names that clash, labels without documents and a very long text."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(("fine", "words", "only")) for _ in range(20)) + (" you idiot scum" if i % 3 == 0 else ""), i, "x") for i in range(600)]
+    rows += [(9000, "plain " * 200_000, 1, "x"), (9001, "idiot", 1, "x"), (9001, "idiot", 1, "x"), (9002, None, 1, "x"), (9003, "", 1, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, score long, `row` string")
+    n = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(600)] + [(10**6, 1)], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(d, n).collect()
+    by = {r.doc_id: r for r in got}
+    assert len(got) == len(rows) and by[9002].score == by[9003].score < 0.7 and by[9000].predicted == 0
+    assert len({r.score for r in got if r.doc_id == 9001}) == 1
+    assert toxicity.score_toxicity(d.limit(0), n.limit(0)).count() == 0
+    assert {r.score for r in toxicity.score_toxicity(d, n.limit(0)).collect()} == {0.0}
+    model = toxicity.fit_toxicity(d, n)
+    assert model.score(d, carry=tuple(d.columns)).select("row.*").columns == d.columns
