@@ -14,6 +14,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.functions.arrays import let, running
+
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: \p{Alnum} is ASCII here; with A-Z folded these are the contract's words and what parts them.
 WORD = r"[\p{Alnum}\x{80}-\x{10FFFF}]++"
@@ -374,29 +376,9 @@ def spaced_words(text: Column) -> Column:
     return F.regexp_replace(F.concat(F.lit("  "), body, F.lit("  ")), r"^ +| +$", " ")
 
 
-def _let(value: Column, use) -> Column:
-    """use(value), with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def _running(values: Column, join) -> Column:
-    """Running join (sum, maximum) of an array, by doubling: each round joins what is 1, 2, 4, .. places apart."""
-
-    def all_rounds(v: Column) -> Column:
-        def step(acc: Column, k: Column) -> Column:
-            apart = F.least(F.pow(F.lit(2), k).cast("int"), F.size(acc))
-            later = F.concat(F.array_repeat(F.lit(None).cast("int"), apart), F.slice(acc, F.lit(1), F.size(acc) - apart))
-            return F.zip_with(acc, later, lambda x, y: F.when(y.isNull(), x).otherwise(join(x, y)))
-
-        rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(v), F.lit(1)))).cast("int"))
-        return F.aggregate(rounds, v, step)
-
-    return _let(values, all_rounds)
-
-
 def _spans(gaps: Column, sizes: Column) -> Column:
     """{start, end} of places from what stands before each and from their sizes."""
-    ends = _running(F.zip_with(gaps, sizes, lambda g, s: g + s), lambda x, y: x + y)
+    ends = running(F.zip_with(gaps, sizes, lambda g, s: g + s), lambda x, y: x + y)
     return F.zip_with(ends, sizes, lambda e, s: F.struct((e - s).alias("start"), e.alias("end")))
 
 
@@ -405,9 +387,9 @@ def _hits(text: Column, pattern: Column, size) -> Column:
 
     def placed(hits: Column) -> Column:
         gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
-        return _let(F.transform(hits, size), lambda sizes: _spans(F.transform(gaps, size), sizes))
+        return let(F.transform(hits, size), lambda sizes: _spans(F.transform(gaps, size), sizes))
 
-    return _let(F.regexp_extract_all(text, pattern, F.lit(0)), placed)
+    return let(F.regexp_extract_all(text, pattern, F.lit(0)), placed)
 
 
 def _n_words(x: Column) -> Column:
@@ -453,7 +435,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # then a detection is inside an earlier one of at least its priority exactly when one of these ends no sooner
     every, none = F.col("__all"), F.array().cast("array<struct<label:string,priority:int,weight:double,start:int,end:int>>")
     def reach(p: int) -> Column:
-        return _running(F.transform(every, lambda x: F.when(-x["p"] >= p, -x["e"]).otherwise(F.lit(-1))), lambda x, y: F.greatest(x, y))
+        return running(F.transform(every, lambda x: F.when(-x["p"] >= p, -x["e"]).otherwise(F.lit(-1))), lambda x, y: F.greatest(x, y))
 
     def outer(reaches: Column) -> Column:
         def kept(x: Column, i: Column) -> Column:
@@ -462,7 +444,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return F.transform(F.filter(every, kept), lambda x: F.struct(x["l"].alias("label"), (-x["p"]).alias("priority"), x["w"].alias("weight"), x["s"].alias("start"), (-x["e"]).alias("end")))
 
     # bound once, outside of the filter: a column would be put in its place and computed for every detection
-    picked = _let(F.array(*[reach(p) for p in range(1, 6)]), outer)
+    picked = let(F.array(*[reach(p) for p in range(1, 6)]), outer)
     out = out.withColumn("detections", F.coalesce(picked, none)).drop("__rules", "__all")
 
     base = F.col("__base")

@@ -151,3 +151,17 @@ def test_long_items_and_items_in_common(spark):
     assert decontaminate.contamination_report(df.limit(0), bench).count() == 0
     left = {r.doc_id: r.text for r in decontaminate.decontaminate(spark.createDataFrame([(1, "keep this: yes. And that"), (2, None)], "doc_id long, text string"), bench, "spans").collect()}
     assert left == {1: "keep this: . And that", 2: None}
+
+
+def test_dedup_of_odd_tables(spark):
+    """A very long text and its near copy, names that clash, empty documents and items."""
+    long = [f"w{i}" for i in range(150_000)]
+    rows = [(1, " ".join(long), 0, "a"), (2, " ".join([*long[:-50], "end"]), 0, "b"), (3, "x", 0, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fam int, `n.hit` string")
+    assert sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(df).collect()) == [(1, 1), (2, 1), (3, 3)]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.dedup_substrings(df).collect()}
+    assert got == {1: (150_000, 0), 2: (149_951, 149_950), 3: (1, 0)}
+    items = spark.createDataFrame([(7, " ".join(long[100:113]), 1)], "item_id long, text string, doc_id int")
+    assert {r.doc_id: (r.n_hit, r.contaminated) for r in decontaminate.contamination_report(df, items).collect()} == {1: (13, False), 2: (13, False), 3: (0, False)}
+    assert decontaminate.contamination_report(df, items.limit(0)).where("n_hit = 0 and not contaminated").count() == 3
+    assert neardup.near_duplicates(df.limit(0)).count() == decontaminate.contamination_report(df.limit(0), items).count() == 0
