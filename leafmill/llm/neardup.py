@@ -79,6 +79,7 @@ def _signed(rows: int, bands: int):
 
 
 def _with_sets(batches):
+    release()
     for batch in batches:
         sets = [s.tobytes() for s in shingle_sets(batch.column("text"))]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("fam", "bi", "bj", "id")), pa.array(sets, pa.binary())], names=["fam", "bi", "bj", "id", "hashes"])

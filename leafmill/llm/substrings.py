@@ -66,6 +66,7 @@ def _windows(window: int):
     """Hash of each window of the runs listed with a document."""
 
     def scan(batches):
+        release()
         for batch in batches:
             ids, tags, listed = batch.column("id"), batch.column("tag"), batch.column("runs").to_pylist()
             for part in words(batch.column("text"), SPACES, False):
@@ -86,6 +87,7 @@ def _cut(window: int):
     """Counts, digest, text and removed intervals of each document from the runs and windows to remove."""
 
     def scan(batches):
+        release()
         for batch in batches:
             runs, single, texts = batch.column("whole").to_pylist(), batch.column("starts").to_pylist(), text_of(batch)
             n_words, removed, digests, kept, spans = [], [], [], [], []

@@ -19,15 +19,15 @@ def hold(key, make):
 
 
 def release() -> None:
-    """Gives memory of kept states back to the system: workers outlive the operator they first ran."""
+    """Gives memory back to the system, of kept states and of earlier tasks: workers outlive the operator they first ran."""
     if _state:
         _state.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except OSError:
-            pass
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass
 
 
 def text_of(batch: pa.RecordBatch) -> pa.Array:
