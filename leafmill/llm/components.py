@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from leafmill.llm.scratch import Scratch
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
-    """Smallest node reachable from each node that has an edge: columns node, component (both long).
+def connected_components(edges: DataFrame, scratch: Scratch, src: str = "src", dst: str = "dst", max_rounds: int = 60, kind: str = "long") -> DataFrame:
+    """Smallest node reachable from each node that has an edge: columns node, component (both of the kind: long, string or binary).
 
     Each round is two aggregations and two joins over at most the edges there are; a node
     with very many neighbours is only ever a join key, which adaptive execution splits, or
     a minimum, which is combined before the shuffle. Rounds end when the edge set no longer
     changes. Null ends and loops are ignored; no edges give no rows.
     """
-    a, b = F.col(src).cast("long"), F.col(dst).cast("long")
+    a, b = F.col(src).cast(kind), F.col(dst).cast(kind)
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(a.isNotNull() & b.isNotNull() & (a != b)).distinct()
     seen, kept = None, None
     for _ in range(max_rounds):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import decontaminate, fingerprints, htmltext, licenses, lm, neardup, sentencepieces, substrings, tokencounts, toxicity
+from leafmill.llm import decontaminate, fingerprints, htmltext, licenses, lm, neardup, phrases, repair, sentencepieces, substrings, tokencounts, toxicity, urlfilter
 
 
 def tokenizer_file(name: str) -> str:
@@ -59,6 +59,18 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op11_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.filter_urls(_table(spark, sf_dir, "pages"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_conversations(_table(spark, sf_dir, "conversations"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,7 +80,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline  # noqa: F401  part of this subpackage: the queries stand or fall together
 
-    named = (op1_sentencepiece, op2_minhash, op3_substrings, op4_licenses, op5_maxent, op6_toxicity, op7_decontaminate, op8_tokens, op9_html, op10_winnowing, pipeline)
+    named = (op1_sentencepiece, op2_minhash, op3_substrings, op4_licenses, op5_maxent, op6_toxicity, op7_decontaminate, op8_tokens, op9_html, op10_winnowing, op11_urls, op12_repair, op13_phrases, pipeline)
     return {f.__name__: f for f in named}
 
 
@@ -115,5 +127,43 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
+#: Targets of links in html are taken where they are absolute; tests hold relative ones against a plain version.
+OP11 = rf"""
+WITH RECURSIVE u AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+p AS (SELECT page_id, url, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{_UP}', '{_LOW}') AS host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM u),
+rules(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+t AS (SELECT url, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'), '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM u WHERE html ILIKE '%canonical%' OR html ILIKE '%refresh%'),
+l AS (SELECT url AS a, CASE WHEN regexp_matches(tag, '(?i)\srel\s*=\s*["'']?canonical') THEN regexp_extract(tag, '(?i)\shref\s*=\s*["'']?(https?://[^\s"''>]*)', 1)
+                            WHEN regexp_matches(tag, '(?i)\shttp-equiv\s*=\s*["'']?refresh') THEN regexp_extract(tag, '(?i)url\s*=\s*["'']?(https?://[^\s"''>]*)', 1) ELSE '' END AS b FROM t),
+n AS (SELECT url FROM p WHERE contains(url, '://') UNION SELECT b FROM l WHERE b <> '' AND contains(a, '://')),
+s AS (SELECT url, regexp_extract(lower(url), '^\s*([a-z][a-z0-9+.-]*)://', 1) AS scheme, regexp_replace(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{_UP}', '{_LOW}'), '^.*@', '') AS h,
+             regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '(?s)^[^#]*?://[^?#]*(\?[^#]*)', 1) AS q FROM n),
+c AS (SELECT url, scheme || '://' || regexp_replace(CASE scheme WHEN 'http' THEN regexp_replace(h, ':(80)?$', '') WHEN 'https' THEN regexp_replace(h, ':(443)?$', '') ELSE h END, '\.$', '') || CASE WHEN path = '' THEN '/' ELSE path END || q AS addr FROM s),
+e AS (SELECT a, b FROM l WHERE b <> '' AND contains(a, '://') UNION SELECT b, a FROM l WHERE b <> '' AND contains(a, '://') UNION SELECT url, addr FROM c WHERE url <> addr UNION SELECT addr, url FROM c WHERE url <> addr),
+g AS (SELECT DISTINCT a AS url, translate(regexp_extract(a, '(?s)^.*?://([^/?#]*)', 1), '{_UP}', '{_LOW}') AS host, regexp_extract(a, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM e),
+bad(url) AS (SELECT url FROM g JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY url HAVING arg_max(v, length(h) + length(p)) = 'block' UNION SELECT e.b FROM bad JOIN e ON e.a = bad.url),
+m AS (SELECT p0.page_id, p0.url, p0.host, p0.path, rules.h, rules.p, rules.v, length(rules.h) + length(rules.p) AS n FROM (SELECT *, row_number() OVER () AS k FROM p) p0 LEFT JOIN rules ON (p0.host = rules.h OR ends_with(p0.host, '.' || rules.h)) AND starts_with(p0.path, rules.p) QUALIFY row_number() OVER (PARTITION BY k ORDER BY n DESC NULLS LAST) = 1)
+SELECT page_id, host, path, h || p AS rule, coalesce(v, CASE WHEN bad.url IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, v IS NULL AND bad.url IS NOT NULL AS by_alias FROM m LEFT JOIN bad ON bad.url = m.url
+"""
+
+OP13 = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(pieces) AS piece FROM d)),
+g AS (SELECT lang, k, array_to_string(w[i:i+k-1], ' ') AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) ks(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, g, count(*) AS a FROM g GROUP BY 1, 2, 3),
+n AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT lang, k, g, a, string_split(g, ' ') AS w FROM f WHERE k > 1 AND a >= 10),
+cut AS (SELECT lang, g, c.k, c.a, w, cuts.n AS head, array_to_string(w[1:cuts.n], ' ') AS x, array_to_string(w[cuts.n+1:], ' ') AS y FROM c, (VALUES (1), (2)) cuts(n) WHERE cuts.n < c.k),
+sc AS (SELECT cut.lang, cut.g, cut.k, cut.a, cut.w, head, fx.a AS l, fy.a AS r, CAST((CAST(1000000 AS HUGEINT) * cut.a * cut.a) // (CAST(fx.a AS HUGEINT) * fy.a) AS BIGINT) AS score
+  FROM cut JOIN f fx ON fx.lang = cut.lang AND fx.g = cut.x AND fx.k = head JOIN f fy ON fy.lang = cut.lang AND fy.g = cut.y AND fy.k = cut.k - head),
+best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, head) = 1),
+longer AS (SELECT lang, p, max(a) AS a FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS p FROM c WHERE k = 3) GROUP BY 1, 2),
+kept AS (SELECT best.* FROM best LEFT JOIN longer ON longer.lang = best.lang AND longer.p = best.g AND best.k = 2 WHERE longer.a IS NULL OR 100 * longer.a < 50 * best.a),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM kept)
+SELECT r.lang, CAST(rank AS BIGINT) AS rank, g AS phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r.r AS BIGINT) AS r, CAST(n.n AS BIGINT) AS n, score FROM r JOIN n ON n.lang = r.lang WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash": OP2, "op3_substrings": OP3, "op7_decontaminate": OP7}
+    return {"op2_minhash": OP2, "op3_substrings": OP3, "op7_decontaminate": OP7, "op11_urls": OP11, "op13_phrases": OP13}
