@@ -73,16 +73,29 @@ def _signed(rows: int, bands: int):
                 n.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 keys.append(band_keys(s, rows, bands).view(np.int64) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n_shingles", "class", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "h", "n_shingles", "class", "bands"])
 
     return run
 
 
+_PLACE = ("fam", "bi", "bj", "id", "h")
+
+
 def _with_sets(batches):
+    """Shingle sets of rows; of equal rows, which the join has put side by side, one for each place."""
     release()
+    text, places = None, set()
     for batch in batches:
+        keep = []
+        for k, (fam, bi, bj, doc, h) in enumerate(zip(*(batch.column(c).to_pylist() for c in _PLACE), strict=True)):
+            if (doc, h) != text:
+                text, places = (doc, h), set()
+            if (fam, bi, bj) not in places:
+                places.add((fam, bi, bj))
+                keep.append(k)
+        batch = batch.take(pa.array(keep, pa.int64()))
         sets = [s.tobytes() for s in shingle_sets(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("fam", "bi", "bj", "id")), pa.array(sets, pa.binary())], names=["fam", "bi", "bj", "id", "hashes"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _PLACE), pa.array(sets, pa.binary())], names=[*_PLACE, "hashes"])
 
 
 def _forest(ids: np.ndarray, sets: list[np.ndarray], over: int, of: int) -> list[tuple[int, int]]:
@@ -122,18 +135,21 @@ def _forest(ids: np.ndarray, sets: list[np.ndarray], over: int, of: int) -> list
 
 def _verified(over: int, of: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, ids, sets = None, [], []
+        key, ids, sets, text = None, [], [], None
 
         def ended():
             got = _forest(np.array(ids), sets, over, of) if len(ids) > 1 else []
             return pd.DataFrame(got, columns=["src", "dst"])
 
         for batch in batches:
-            for fam, bi, bj, doc, raw in zip(batch["fam"], batch["bi"], batch["bj"], batch["id"], batch["hashes"], strict=True):
+            for fam, bi, bj, doc, h, raw in zip(*(batch[c] for c in _PLACE), batch["hashes"], strict=True):
                 if (fam, bi, bj) != key:
                     if len(ids) > 1:
                         yield ended()
-                    key, ids, sets = (fam, bi, bj), [], []
+                    key, ids, sets, text = (fam, bi, bj), [], [], None
+                if (doc, h) == text:  # an equal row, from another task
+                    continue
+                text = (doc, h)
                 ids.append(doc)
                 sets.append(np.frombuffer(raw, np.uint64))
         if len(ids) > 1:
@@ -160,25 +176,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     their names, are not read.
     """
     scratch = Scratch(df.sparkSession, "neardup")
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    signed, total = scratch.keep_counted(docs.mapInArrow(_signed(rows, bands), "id long, n_shingles long, class binary, bands array<long>"), "signed")
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null").withColumn("h", F.xxhash64("text"))
+    signed, total = scratch.keep_counted(docs.mapInArrow(_signed(rows, bands), "id long, h long, n_shingles long, class binary, bands array<long>"), "signed")
     full = signed.where("class is not null")
-    classes = scratch.keep(full.groupBy("class").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
+    classes = scratch.keep(full.groupBy("class").agg(F.min(F.struct("id", "h")).alias("r"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")).select("class", F.col("r.id").alias("rep"), "r.h", "copies", "n", "bands"), "classes")
     banded = classes.select("rep", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     family = connected_components(banded.join(buckets.hint("merge"), "key").where("rep <> head").select("rep", "head"), scratch, "rep", "head")
 
-    member = family.join(classes.select(F.col("rep").alias("node"), "n"), "node").select("node", F.col("component").alias("fam"), "n")
+    member = family.join(classes.select(F.col("rep").alias("node"), "h", "n"), "node").select("node", "h", F.col("component").alias("fam"), "n")
     member = scratch.keep(member, "members")
     blocks = member.groupBy("fam").agg(F.ceil(F.greatest(F.sum("n") / F.lit(block_shingles), F.count(F.lit(1)) / F.lit(block_docs))).cast("int").alias("blocks"))
-    placed = member.join(blocks, "fam").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.select(F.col("node").alias("id"), "fam", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "block")
-    placed = placed.select("id", "fam", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-    # a class keeps the text of its smallest id; an id of several texts brings them all, each a set of the same node
-    likely = with_likely(docs, member.select(F.col("node").alias("id")), ["id"], "likely").where("likely")
-    wanted = likely.join(placed.hint("merge"), "id").select("fam", "bi", "bj", "id", "text")
-    sets = wanted.mapInArrow(_with_sets, "fam long, bi int, bj int, id long, hashes binary")
-    groups = sets.repartition("fam", "bi", "bj").sortWithinPartitions("fam", "bi", "bj", "id")
+    placed = member.join(blocks, "fam").withColumn("block", F.pmod(F.xxhash64("node", "h"), F.col("blocks")).cast("int"))
+    placed = placed.select(F.col("node").alias("id"), "h", "fam", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "block")
+    placed = placed.select("id", "h", "fam", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
+    # a class is verified by one text: that of its smallest id
+    likely = with_likely(docs, member.select(F.col("node").alias("id"), "h"), ["id", "h"], "likely").where("likely")
+    wanted = likely.join(placed.hint("merge"), ["id", "h"]).select(*_PLACE, "text")
+    sets = wanted.mapInArrow(_with_sets, "fam long, bi int, bj int, id long, h long, hashes binary")
+    groups = sets.repartition("fam", "bi", "bj").sortWithinPartitions(*_PLACE)
     links = groups.mapInPandas(_verified(over, of), "src long, dst long")
 
     # an id of several texts links the classes of all of them

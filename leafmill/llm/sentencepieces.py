@@ -123,7 +123,7 @@ class Pieces:
         return out
 
     def decode(self, ids) -> str:
-        """Text of ids; bytes that make no character become U+FFFD. The space put before a text is taken off."""
+        """Text of ids; bytes that make no character, and ids that are null or outside of the vocabulary, become U+FFFD. The space put before a text is taken off."""
         out = []
         run: list[int] = []
         for i in ids:
@@ -133,7 +133,7 @@ class Pieces:
             if run:
                 out.append(bytes(run).decode("utf-8", "replace"))
                 run = []
-            out.append(self.texts[i])
+            out.append(self.texts[i] if i is not None and 0 <= i < len(self.texts) else "\ufffd")
         if run:
             out.append(bytes(run).decode("utf-8", "replace"))
         text = "".join(out).replace(SPACE, " ")

@@ -188,7 +188,8 @@ def _assembled(df: DataFrame) -> DataFrame:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", rows: int = TRAINING_ROWS) -> ToxicityModel:
     """Fits on labelled texts whose crc32(id as text) mod 3 is not 1.
 
-    A bounded sample of rows of these, by a hash of their ids, is what is fitted on: its
+    A bounded sample of these, by a hash of their ids, is what is fitted on, one text for each
+    id (of rows that repeat an id, the text of the smallest hash): its
     texts by a second hash give the lexicon (half), the trees (three tenths) and the
     calibration (the rest), so none is judged on texts it has read. Null labels are left
     out; an id with several labels counts as toxic if one is. With labels of one kind only,
@@ -198,7 +199,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     marked = labels.where(F.col(label_col).isNotNull() & F.col(label_id).isNotNull() & (F.pmod(crc(label_id), F.lit(3)) != 1)).groupBy(F.col(label_id).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
     chosen = marked.orderBy(F.xxhash64("id"), "id").limit(rows)
     scratch = Scratch(docs.sparkSession, "toxicity")
-    small = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(10)))
+    small = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    small = small.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("toxic").alias("toxic")).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(10)))
     small = scratch.keep(small, "labelled")
     part = small.where("part < 5")
     lexicon = learn_lexicon(part.select("text", "toxic"))
@@ -224,6 +226,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document, by a model fitted on the labels that are not held out."""
+    """doc_id, held_out, score and predicted of every document, by a model fitted on the labels that are not held out.
+
+    Null and empty texts have the score of a text without features; texts of any length are
+    read whole; rows that repeat get a row each; null ids are not held out. Other columns are
+    not read. Empty tables: no documents give no rows, no labels a score of 0 for all.
+    """
     scored = fit_toxicity(docs, labels).score(docs).select("row.doc_id", "score")
     return scored.select("doc_id", F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

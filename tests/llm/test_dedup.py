@@ -165,3 +165,14 @@ def test_dedup_of_odd_tables(spark):
     assert {r.doc_id: (r.n_hit, r.contaminated) for r in decontaminate.contamination_report(df, items).collect()} == {1: (13, False), 2: (13, False), 3: (0, False)}
     assert decontaminate.contamination_report(df, items.limit(0)).where("n_hit = 0 and not contaminated").count() == 3
     assert neardup.near_duplicates(df.limit(0)).count() == decontaminate.contamination_report(df.limit(0), items).count() == 0
+
+
+def test_a_hot_repeated_id_is_brought_once(spark):
+    """30,000 equal rows of one id beside a near copy, with other texts of the same id: one row of each text is verified."""
+    base = [f"w{i}" for i in range(40)]
+    near = " ".join(base + ["end"])
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = spark.range(30_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(" ".join(base)).alias("text"))
+    rows = rows.unionByName(spark.createDataFrame([(3, near), (7, other), (7, other), (9, other), (10, None)], "doc_id long, text string"))
+    got = neardup.near_duplicates(rows).groupBy("doc_id", "component_id").count().collect()
+    assert sorted(tuple(r) for r in got) == [(3, 3, 1), (7, 3, 30_002), (9, 3, 1), (10, 10, 1)]

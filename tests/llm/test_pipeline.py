@@ -78,3 +78,12 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
     for name, ddl in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], ddl).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_leaves_carried_columns_alone(spark):
+    """Columns whose names the code uses itself, or used to, stay as they are."""
+    names = ("__id", "__part", "__bit", "__likely", "likely", "row", "id", "kept", "digest", "h")
+    rows = [(i, t, *(f"{n}{i}" for n in names)) for i, t in [(1, "a b c d e f"), (2, "a b c d e f"), (3, "other words stand here now"), (3, "other words stand here now")]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
