@@ -20,7 +20,11 @@ OVER, OF, ROWS, BANDS = 100, 80, 7, 50
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold stay as they are; null and empty texts have the score of a text without features."""
+    """Documents that score below the threshold stay as they are.
+
+    Null and empty texts have the score of a text without features; texts of any length are
+    read whole; equal rows have one fate; columns keep their names; an empty table stays empty.
+    """
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return model.score(docs, carry=tuple(docs.columns)).where(F.col("score") < THRESHOLD).select("row.*")
 
@@ -34,16 +38,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     scratch = Scratch(spark, "near_dedup")
     near = near_duplicates(docs, over=OVER, of=OF, rows=ROWS, bands=BANDS)
-    fate = near.groupBy(F.col("doc_id").alias("__id")).agg(F.max("kept").alias("__kept"), F.count(F.lit(1)).alias("__n")).where("not __kept or __n > 1")
-    fate = scratch.keep(fate.select("__id", "__kept"), "fates")
-    marked = with_likely(docs.withColumn("__id", F.col("doc_id").cast("long")), fate, ["__id"], "__likely")
-    judged = marked.where("__likely").join(fate, "__id", "left").where(F.coalesce("__kept", F.lit(True)))
-    once = judged.withColumn("__row", F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])), 256)).dropDuplicates(["__id", "__row"])
-    return marked.where("not __likely").unionByName(once, allowMissingColumns=True).select(*[F.col(f"`{c}`") for c in docs.columns])
+    fate = near.groupBy(F.col("doc_id").alias("id")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("not kept or n > 1")
+    fate = scratch.keep(fate.select("id", "kept"), "fates")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))  # no name of docs meets one of these
+    marked = with_likely(rows, fate, ["id"], "likely")
+    judged = marked.where("likely").join(fate, "id", "left").where(F.coalesce("kept", F.lit(True)))
+    once = judged.withColumn("digest", F.sha2(F.to_json("row"), 256)).dropDuplicates(["id", "digest"])
+    return marked.where("not likely").select("row").unionByName(once.select("row")).select("row.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words inside repeated windows go; a document that loses none stays as it is, one that loses all stays with an empty text."""
+    """Words inside repeated windows go; a document that loses none stays as it is, one that loses all stays with an empty text.
+
+    Null and empty texts lose nothing; rows without an id stay as they are; texts of any
+    length are read whole; rows that repeat an id are judged each; an empty table stays empty.
+    """
     cut = dedup_substrings(docs, carry=tuple(docs.columns))
     changed = {"text": F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("row.text")), "n_chars": F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("row.n_chars"))}
     out = cut.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
@@ -51,12 +60,16 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more is benchmark text go; null and empty texts have none and stay."""
+    """Documents of which a twentieth or more is benchmark text go.
+
+    Null and empty texts have none and stay; texts of any length are read whole; rows that
+    repeat have one fate; other columns stay; an empty table, or benchmark, takes nothing out.
+    """
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text that is left; null and empty ones have none."""
+    """Ids of every text that is left; null and empty ones have none. Rows that repeat stay, texts of any length are encoded whole, an empty table gives no rows."""
     return encode_texts(docs, tokenizer_file("piece_bpe_32k.model"))
 
 
@@ -70,6 +83,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; each stage's rows are written and read again."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        kept = scratch.keep(stage(spark, docs, sf_dir), name)
+        if k:
+            scratch.drop(docs)  # nothing reads it any more
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
