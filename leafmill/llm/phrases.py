@@ -21,9 +21,9 @@ SHARD_BYTES = 32 << 20
 #: n-grams of a bucket of quotients: a worker holds one bucket while it merges.
 BUCKET = 1 << 19
 #: Different words, and n-grams, that a worker holds before it sends them on.
-HELD_WORDS, HELD_GRAMS = 400_000, 1_500_000
+HELD_WORDS, HELD_GRAMS = 200_000, 600_000
 #: Text that is cut to words at a time, in bytes; words that are packed at a time.
-SLICE, STRETCH = 2 << 20, 300_000
+SLICE, STRETCH = 1 << 20, 100_000
 #: Words are numbered in parts of about so many.
 PART = 100_000
 
@@ -176,8 +176,16 @@ def _counted(packing: Packing):
         def one():
             held[:] = [packing.summed(*(np.concatenate(x) for x in zip(*held, strict=True)))] if held else []
 
+        def full():
+            """Filters to send on: when merging has left more than half of what may be held."""
+            if sum(len(h[0]) for h in held) > HELD_GRAMS:
+                one()
+                if len(held[0][0]) > HELD_GRAMS // 2:
+                    yield packing.filters(*held.pop())
+
         for batch in batches:
-            for at, kind, lang, text, number in zip(batch.column("shard").to_pylist(), batch.column("kind").to_pylist(), batch.column("lang").to_pylist(), batch.column("text"), batch.column("id").to_pylist(), strict=True):
+            for at, kind, lang, text, number in zip(*(batch.column(c) for c in ("shard", "kind", "lang", "text", "id")), strict=True):
+                at, kind, lang, number = at.as_py(), kind.as_py(), lang.as_py(), number.as_py()
                 if at != shard:
                     ids, shard = {}, at
                 if kind == 0:
@@ -189,11 +197,8 @@ def _counted(packing: Packing):
                     if len(row) > STRETCH:
                         held.append(grams(np.array(row, np.uint64)))
                         row = row[-2:]
+                        yield from full()
                 row += [0, 0]
-                if sum(len(h[0]) for h in held) > HELD_GRAMS:
-                    one()
-                    if len(held[0][0]) > HELD_GRAMS // 2:
-                        yield packing.filters(*held.pop())
         held.append(grams(np.array(row + [0, 0], np.uint64)))
         one()
         if held:
@@ -220,7 +225,8 @@ def _merged(packing: Packing, least: int):
             return pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)) for v in (x, y, z)] + [pa.array(n[often])], names=["x", "y", "z", "a"])
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for k in range(batch.num_rows):
+                row = [c[k].as_py() for c in batch.columns]
                 if row[0] != bucket:
                     if held:
                         yield ended()
@@ -274,7 +280,7 @@ def mine_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     dealt = scratch.keep(dealt.repartition(min(shards, 100_000), "shard"), "dealt")
     pairs = scratch.keep(dealt.mapInArrow(_words_of, "shard long, lang string, word string, n long"), "pairs")
 
-    counted = pairs.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = scratch.keep(pairs.groupBy("lang", "word").agg(F.sum("n").alias("n")), "counted")
     sizes = scratch.keep(counted.groupBy("lang").agg(F.sum("n").alias("n"), F.count_if(F.col("n") >= least).alias("often")), "sizes")
     both = sizes.agg(F.sum("n").alias("n"), F.sum("often").alias("often")).first()
     often, n_words = both.often or 0, both.n or 0
@@ -286,7 +292,7 @@ def mine_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     filters = rows.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(_counted(packing), _FILTER)
     merged = filters.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merged(packing, least), "x long, y long, z long, a long")
     found = scratch.keep(merged, "found")
-    for table in (dealt, pairs):
+    for table in (dealt, pairs, counted):
         scratch.drop(table)
     return _ranked(found, words, sizes, inside, top)
 
