@@ -16,6 +16,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ from leafmill.llm.worker import hold
 
 SPACE = "▁"
 #: Bytes of chunks, with what Python adds to each, that a worker keeps encoded; when they are more, those not met since go.
-KEPT_BYTES, EACH = 48 << 20, 160
+KEPT_BYTES, EACH = 32 << 20, 160
 #: Chunks of more characters are encoded anew each time.
 KEPT_CHARS = 1000
 #: Chunks longer than this are relaxed one by one.
@@ -387,13 +388,14 @@ def _bytes(chunk: str) -> int:
     return 8 * len(chunk) + EACH
 
 
-def _groups(texts: list[str], limit: int = 1 << 21):
+def _groups(texts: pa.Array, limit: int = 1 << 19):
+    """Runs of texts of about limit bytes: the suffix array of a run's new chunks takes some 200 bytes a character."""
     at = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if size and size + n > limit:
             yield at, i
             at, size = i, 0
-        size += len(t)
+        size += n
     if at < len(texts):
         yield at, len(texts)
 
@@ -415,13 +417,13 @@ def encode_texts(df: DataFrame, model: str, id_col: str = "doc_id", text_col: st
     def run(batches):
         encoder = hold(("pieces", model), lambda: Encoder(shared.value))
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in _groups(texts):
-                raw = encoder.encode(texts[a:b])
+            for a, b in _groups(batch.column("text")):
+                texts = batch.column("text").slice(a, b - a).to_pylist()
+                raw = encoder.encode(texts)
                 ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in raw]))).astype(np.int32)
                 flat = np.frombuffer(b"".join(raw), np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-                same = [encoder.v.decode(np.frombuffer(x, np.int32).tolist()) == t for x, t in zip(raw, texts[a:b], strict=True)]
+                same = [encoder.v.decode(np.frombuffer(x, np.int32).tolist()) == t for x, t in zip(raw, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(ends).astype(np.int64)), ids, pa.array(same)], names=["doc_id", "n_tokens", "ids", "decodes"])
 
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
