@@ -179,16 +179,24 @@ def corpus_numbers(pages: DataFrame, parts: int = 256) -> DataFrame:
     return pages.join(at, "doc_id").withColumn("corpus_no", (F.col("__at") + F.col("page_no") + 1).cast("long")).drop("__at")
 
 
-def replay_page_ops(counts: DataFrame, log: DataFrame) -> DataFrame:
-    """Page ids of each document after its operations in order, each on what the last one left.
+PAGE_OPS = ("delete", "duplicate", "to_front")
+
+
+def replay_page_ops(counts: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Page ids of each document after its operations in order, each on what the last one left; and the operations that could not be done.
 
     counts: doc_id, n_pages. log: doc_id, seq, kind (delete, duplicate, to_front), arg; arg is
     taken modulo the pages there are, and the last page is never deleted. Only the page list
-    is kept while the log goes by. Documents without operations have no row.
+    is kept while the log goes by. Documents without operations have no row. Errors (doc_id,
+    seq, kind, error) are an operation of another kind, one without an argument, and one on a
+    document that is not in counts or has no pages; the others are done as if these were not
+    there. A null doc_id is no document.
     """
 
     def step(state: list, op) -> None:
         ids = state[1]
+        if op.kind not in PAGE_OPS or op.arg is None:
+            return
         k = op.arg % len(ids)
         if op.kind == "delete" and len(ids) > 1:
             del ids[k]
@@ -198,30 +206,43 @@ def replay_page_ops(counts: DataFrame, log: DataFrame) -> DataFrame:
             ids.insert(0, ids.pop(k))
 
     kind = log.schema["doc_id"].dataType.simpleString()
-    rows = log.join(counts, "doc_id").select("doc_id", "seq", "kind", F.col("arg").cast("long").alias("arg"), F.col("n_pages").cast("long").alias("n_pages")).where("n_pages > 0")
-    return fold_by_key(rows, ["doc_id"], ["seq", "kind", "arg"], lambda op: [op.doc_id, list(range(op.n_pages))], step, tuple, f"doc_id {kind}, pages array<int>")
+    rows = log.join(counts, "doc_id", "left").select("doc_id", "seq", "kind", F.col("arg").cast("long").alias("arg"), F.coalesce(F.col("n_pages"), F.lit(0)).cast("long").alias("n_pages"))
+    known = F.col("n_pages") > 0
+    reason = F.when(~known, "unknown document").when(F.col("kind").isNull() | ~F.col("kind").isin(*PAGE_OPS), "unknown operation").when(F.col("arg").isNull(), "no argument")
+    errors = rows.withColumn("error", reason).where("error is not null").select("doc_id", "seq", "kind", "error")
+    done = fold_by_key(rows.where(known), ["doc_id"], ["seq", "kind", "arg"], lambda op: [op.doc_id, list(range(op.n_pages))], step, tuple, f"doc_id {kind}, pages array<int>")
+    return done, errors
+
+
+class History:
+    """States of an undo history, at most keep of them, and the place of the current one (-1: none)."""
+
+    def __init__(self, keep: int, states: list | None = None, at: int = -1):
+        self.keep, self.states, self.at = keep, states or [], at
+
+    def do(self, kind: str, state) -> None:
+        """An edit drops what could be redone and appends its state; undo and redo move inside the bounds; other kinds do nothing."""
+        if kind == "edit":
+            self.states[self.at + 1 :] = [state]
+            del self.states[: -self.keep]
+            self.at = len(self.states) - 1
+        elif kind == "undo":
+            self.at = max(self.at - 1, min(0, len(self.states) - 1))
+        elif kind == "redo":
+            self.at = min(self.at + 1, len(self.states) - 1)
+
+    def shown(self) -> tuple:
+        return len(self.states), self.at, self.states[self.at] if self.states else None
 
 
 def replay_history(log: DataFrame, keep: int = 50) -> DataFrame:
     """Undo history of each session: log has session, seq, kind (edit, undo, redo) and state.
 
     An edit drops what could be redone and appends its state; undo and redo move inside the
-    bounds; the newest keep states stay, and only they are kept while the log goes by.
-    Returns session, n_states, cursor, current.
+    bounds; the newest keep states stay, and only they are kept while the log goes by. Rows
+    of other kinds do nothing; a null session is one session. Returns session, n_states,
+    cursor, current. streaming/history.py has the same over a stream.
     """
-
-    def step(h: list, op) -> None:
-        _, states, at = h
-        if op.kind == "edit":
-            states[at + 1 :] = [op.state]
-            del states[:-keep]
-            h[2] = len(states) - 1
-        elif op.kind in ("undo", "redo"):
-            h[2] = max(at - 1, min(0, len(states) - 1)) if op.kind == "undo" else min(at + 1, len(states) - 1)
-
-    def end(h: list) -> tuple:
-        return h[0], len(h[1]), h[2], h[1][h[2]] if h[1] else None
-
     session, state = (log.schema[c].dataType.simpleString() for c in ("session", "state"))
     rows = log.select("session", "seq", "kind", "state")
-    return fold_by_key(rows, ["session"], ["seq", "kind"], lambda op: [op.session, [], -1], step, end, f"session {session}, n_states long, cursor long, current {state}")
+    return fold_by_key(rows, ["session"], ["seq", "kind"], lambda op: (op.session, History(keep)), lambda h, op: h[1].do(op.kind, op.state), lambda h: (h[0], *h[1].shown()), f"session {session}, n_states long, cursor long, current {state}")

@@ -98,7 +98,7 @@ def replay_page_ops(spark, d):
     e = table(spark, d, "events")
     kind = F.when(F.col("event_type") == "view", "delete").when(F.col("event_type") == "click", "duplicate").when(F.col("event_type") == "purchase", "to_front").otherwise("none")
     log = e.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.get_json_object("props", "$.k").cast("int").alias("arg"))
-    return P.replay_page_ops(P.page_counts(conversation_pages(spark, d)), log).select("doc_id", F.array_join(F.transform("pages", lambda x: x.cast("string")), ",").alias("pages"))
+    return P.replay_page_ops(P.page_counts(conversation_pages(spark, d)), log)[0].select("doc_id", F.array_join(F.transform("pages", lambda x: x.cast("string")), ",").alias("pages"))
 
 
 @query("""WITH RECURSIVE op AS (SELECT user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS s, event_id AS state, CASE event_type WHEN 'view' THEN 'undo' WHEN 'error' THEN 'redo' ELSE 'edit' END AS kind FROM events),

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
 
-from leafmill.operators.folds import fold_by_key
+from leafmill.streaming.admission import LIMIT, WINDOW_S, rate_admission  # noqa: F401  the batch form
+from leafmill.streaming.store import stored_sessions, upsert_stream  # noqa: F401
 
-LIMIT, WINDOW_S = 100, 60
 TTL_HOURS = 24
 
 
@@ -32,85 +30,6 @@ def session_upsert(changes: DataFrame) -> DataFrame:
     return last.where("not s.deleted").select("session_id", *[F.col(f"s.{c}").alias(c) for c in rest], "created_at", "last_modified")
 
 
-#: Micro-batches after which the changes are merged into one table.
-MERGE_EVERY = 20
-
-
-def upsert_stream(changes: DataFrame, path: str, checkpoint: str, merge_every: int = MERGE_EVERY):
-    """The same kept by a stream: each micro-batch adds a table of its newest states; every so many of them become one table, and the merged ones go.
-
-    A retried micro-batch writes its own table anew and changes nothing else. stored_sessions()
-    reads the states; deleted sessions go for good when tables are merged.
-    """
-    Path = changes.sparkSession._jvm.org.apache.hadoop.fs.Path
-    conf = changes.sparkSession._jsc.hadoopConfiguration()
-
-    def newest(df: DataFrame) -> DataFrame:
-        rest = [c for c in changes.columns if c != "session_id"]
-        return df.groupBy("session_id").agg(F.max_by(F.struct(*rest), "ts").alias("s")).select("session_id", "s.*").select(*changes.columns)
-
-    def merge(batch: DataFrame, epoch: int) -> None:
-        newest(batch).write.mode("overwrite").parquet(f"{path}/epoch={epoch:010d}")
-        if (epoch + 1) % merge_every == 0:
-            spark = batch.sparkSession
-            tables = [f"{path}/epoch={e:010d}" for e in range(max(0, epoch + 1 - merge_every), epoch + 1)]
-            before = f"{path}/merged={epoch - merge_every:010d}"
-            system = Path(path).getFileSystem(conf)
-            tables += [before] if system.exists(Path(before)) else []
-            newest(spark.read.schema(batch.schema).parquet(*tables)).where("not deleted").write.mode("overwrite").parquet(f"{path}/merged={epoch:010d}")
-            for t in tables:
-                system.delete(Path(t), True)
-
-    return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-
-
-def stored_sessions(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Latest states that upsert_stream has stored, without deleted ones."""
-    df = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
-    rest = [f.name for f in schema if f.name != "session_id"]
-    return df.groupBy("session_id").agg(F.max_by(F.struct(*rest), "ts").alias("s")).select("session_id", "s.*").where("not deleted")
-
-
-def rate_admission(requests: DataFrame, limit: int = LIMIT, window_s: int = WINDOW_S) -> DataFrame:
-    """Admits a request (client, ts, id) unless limit admitted ones lie in the window before it; rejected ones don't count.
-
-    Returns client, id, ts, admitted and remaining. After a pause as long as the window
-    nothing that came before matters, so a client's requests are cut there, and each part is
-    gone through in order of time by itself, with only the last limit admitted stamps kept.
-    The pauses are found day by day, with the last stamps of earlier days carried over: no
-    client's requests are ever in one window or one task, but for parts without a pause.
-    Stamps of exactly window_s before are out.
-    """
-    span = window_s * 1_000_000
-    t = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = requests.select("client", "id", "ts", t.alias("t"), F.floor(t / 86_400_000_000).alias("day"))
-    in_day, days = W.partitionBy("client", "day").orderBy("t", "id"), W.partitionBy("client").orderBy("day")
-    ends = rows.groupBy("client", "day").agg(F.max("t").alias("end")).select("client", "day", F.lag("end").over(days).alias("before"))
-    gap = F.col("t") - F.coalesce(F.lag("t").over(in_day), F.col("before"))
-    rows = _with(rows, ends, ["client", "day"])
-    rows = rows.withColumn("start", F.when(F.coalesce(gap >= span, F.lit(True)), F.col("t"))).drop("before")
-    firsts = rows.groupBy("client", "day").agg(F.max("start").alias("last")).select("client", "day", F.last("last", True).over(days.rowsBetween(W.unboundedPreceding, -1)).alias("carried"))
-    rows = _with(rows, firsts, ["client", "day"]).withColumn("part", F.coalesce(F.last("start", True).over(in_day), F.col("carried")))
-
-    def step(held: deque, row) -> tuple:
-        while held and held[0] <= row.t - span:
-            held.popleft()
-        ok = len(held) < limit
-        if ok:
-            held.append(row.t)
-        return row.client, row.id, row.ts, ok, limit - len(held)
-
-    kind, stamp = (rows.schema[c].dataType.simpleString() for c in ("client", "ts"))
-    return fold_by_key(rows.select("client", "part", "t", "id", "ts"), ["client", "part"], ["t", "id"], lambda _: deque(), step, None, f"client {kind}, id long, ts {stamp}, admitted boolean, remaining long")
-
-
-def _with(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with the columns of a table that has each key once; null keys are equal."""
-    named = table.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in table.columns if c not in keys])
-    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    return rows.join(named, same).drop(*[f"__{k}" for k in keys])
-
-
 def rate_admission_stream(requests: DataFrame, limit: int = LIMIT, window_s: int = WINDOW_S, late: str = "10 minutes") -> DataFrame:
     """The same over a stream (client, ts, id): state is at most limit stamps for each client, and goes when the watermark has passed them.
 
@@ -149,6 +68,20 @@ def rate_trailing(requests: DataFrame, window_s: int = WINDOW_S) -> DataFrame:
     return requests.withColumn("__t", t).withColumn("n_window", F.count(F.lit(1)).over(w)).drop("__t")
 
 
+def rate_windows(requests: DataFrame, window_s: int = WINDOW_S, every_s: int | None = None, late: str = "10 minutes") -> DataFrame:
+    """Trailing counts at fixed times: client, at and n, the requests in the window_s before at (every every_s, default a tenth of it), where there are any.
+
+    Sliding windows of event time, the same over a table and a stream. On a stream a count
+    comes once the watermark has passed its time, and later rows are dropped (LateRows
+    counts them); state is a number for each client and open window. Windows end at whole
+    multiples of every_s since 1970; a request of exactly at is not in it.
+    """
+    every = every_s or max(1, window_s // 10)
+    rows = requests.withWatermark("ts", late) if requests.isStreaming else requests
+    counts = rows.groupBy("client", F.window("ts", f"{window_s} seconds", f"{every} seconds").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("client", F.col("w.end").alias("at"), "n")
+
+
 def request_metrics(requests: DataFrame, every: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Count, mean and largest duration by path and status; every: by tumbling windows too. On a stream, rows later than the watermark are dropped."""
     keys = ["path", "status"]
@@ -200,6 +133,36 @@ def recent_files_stream(opened: DataFrame, keep: int = 10, late: str = "1 hour",
     return opened.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(newest, f"user_id {kind}, names array<string>", "names array<string>, stamps array<long>", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows that a running or stopped stream has dropped because they came after the watermark, over the progress it remembers."""
-    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+class LateRows(StreamingQueryListener):
+    """Rows that each stream of a session has dropped because they came behind the watermark.
+
+    A side metric over the whole life of a query: every progress is added up, by the query's
+    id, so restarts of a query go on counting while the listener lives. Rows are counted as
+    the stateful operator meets them, that is after an aggregation's partial sums.
+    """
+
+    def __init__(self):
+        self.rows: dict[str, int] = {}
+
+    @staticmethod
+    def watch(spark: SparkSession) -> LateRows:
+        """A listener that has been added to the session."""
+        listener = LateRows()
+        spark.streams.addListener(listener)
+        return listener
+
+    def of(self, query: StreamingQuery) -> int:
+        return self.rows.get(str(query.id), 0)
+
+    def onQueryStarted(self, event) -> None:
+        self.rows.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        key = str(event.progress.id)
+        self.rows[key] = self.rows.get(key, 0) + sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass

@@ -302,10 +302,11 @@ def test_late_rows_are_counted(spark, tmp_path):
     for k, m in enumerate([0, 5, 300, 301, 1, 2, 400]):
         spark.createDataFrame([(base + dt.timedelta(minutes=m), "/a", 200, 1.0)], "ts timestamp, path string, status int, duration double").coalesce(1).write.parquet(str(tmp_path / "late" / f"b{k}"))
     stream = spark.readStream.schema("ts timestamp, path string, status int, duration double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).option("latestFirst", False).parquet(str(tmp_path / "late"))
+    seen = Z.LateRows.watch(spark)
     q = Z.request_metrics(stream, "1 hour").writeStream.outputMode("append").format("noop").option("checkpointLocation", str(tmp_path / "late-c")).start()
     q.processAllAvailable()
     q.stop()
-    assert Z.late_rows(q) == 2
+    assert seen.of(q) == 2
 
 
 def test_recent_files_state_goes(spark, tmp_path):
@@ -347,7 +348,7 @@ def test_replays_of_long_logs(spark):
     assert P.replay_history(log.limit(0)).count() == 0
     ops = spark.createDataFrame([(1, 0, "delete", 5), (1, 1, "duplicate", 1), (1, 2, "to_front", 3), (2, 0, "delete", 0), (2, 1, "other", 0)], "doc_id long, seq long, kind string, arg long")
     counts = spark.createDataFrame([(1, 4), (2, 1), (3, 9)], "doc_id long, n_pages long")
-    assert {r.doc_id: r.pages for r in P.replay_page_ops(counts, ops).collect()} == {1: [3, 0, 2, 2], 2: [0]}
+    assert {r.doc_id: r.pages for r in P.replay_page_ops(counts, ops)[0].collect()} == {1: [3, 0, 2, 2], 2: [0]}
 
 
 def test_corpus_numbers_of_sparse_ids(spark):
