@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.arrays import let, running
 from leafmill.functions.scalars import decode_flags, heading_level
+from leafmill.operators.search import search_context  # noqa: F401  beside search_text
 
 SPAN_KEY = ("doc_id", "page_no", "block", "line", "span")
 # Fonts that every reader has, and what stands for others, in the order they are tried.
@@ -75,30 +76,6 @@ def search_text(spans: DataFrame, query: str, ignore_case: bool = False) -> Data
     return out.withColumn("corners", F.array(corner("hx0", "hy0"), corner("hx1", "hy0"), corner("hx0", "hy1"), corner("hx1", "hy1")))
 
 
-def search_context(pages: DataFrame, queries: DataFrame, context: int = 50) -> DataFrame:
-    """Hits of each query (query_id, query) in page texts, overlaps included, with what stands around.
-
-    Any number of queries: they stay a table. A term is joined with the pages that hold its
-    first 8 characters (4, 2 or 1 of shorter terms), without their texts; the pages found
-    are then read again and verified. Equal terms are searched for once. Rows that repeat
-    give repeated hits.
-    """
-    asked = queries.where("query <> ''").select("query_id", "query")
-    size = F.when(F.length("query") >= 8, 8).when(F.length("query") >= 4, 4).when(F.length("query") >= 2, 2).otherwise(1)
-    terms = asked.select("query").distinct().withColumn("gram", F.col("query").substr(F.lit(1), size))
-    sizes = [r.n for r in asked.select(size.alias("n")).distinct().collect()] or [1]  # at most four
-    key = ["doc_id", "page_no", "text_hash"]
-    read = pages.select("doc_id", "page_no", "text", F.xxhash64("text").alias("text_hash"))
-    grams = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sorted(sizes)])))
-    found = read.select(*key, F.explode(grams).alias("gram")).join(terms, "gram").select(*[F.col(c).alias(f"on_{c}") for c in key], "query").distinct()
-    same = [F.col(c).eqNullSafe(F.col(f"on_{c}")) for c in key]
-    hit = read.join(found, same).select("doc_id", "page_no", "text", "query", F.explode(places(F.col("text"), F.col("query"))).alias("at")).join(asked, "query")
-    n = F.length("query")
-    before = F.substring(F.col("text"), F.greatest(F.col("at") - context, F.lit(0)) + 1, F.least(F.col("at"), F.lit(context)))
-    after = F.substring(F.col("text"), F.col("at") + n + 1, F.lit(context))
-    return hit.select("doc_id", "page_no", "query_id", "at", before.alias("before"), F.col("query").alias("match"), after.alias("after"))
-
-
 def replace_text(spans: DataFrame, search: str, new: str) -> tuple[DataFrame, DataFrame]:
     """Spans with every hit replaced, font kept; and hits per page (0 where there are none)."""
     if not search:

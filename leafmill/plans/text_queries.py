@@ -35,6 +35,7 @@ def search_text(spark, d):
     return T.search_text(_spans(spark, d), " ere ").drop("corners")
 
 
+#: Terms: the first word of each benchmark item, and in whole documents the items themselves and their first five words.
 @query(f"""WITH {PG}, q AS (SELECT item_id AS query_id, split_part(text, ' ', 1) AS query FROM benchmark),
 h AS (SELECT doc_id, page_no, query_id, query, text, unnest(list_filter(range(length(text)), lambda p: substring(text, p + 1, length(query)) = query)) AS pos FROM pg JOIN q ON contains(text, query))
 SELECT doc_id, page_no, query_id, CAST(pos AS INTEGER) AS "at", substring(text, greatest(pos - 50, 0) + 1, least(pos, 50)) AS before, query AS match, substring(text, pos + length(query) + 1, 50) AS after FROM h""")
@@ -43,6 +44,16 @@ def search_context(spark, d):
     return T.search_context(conversation_pages(spark, d), queries)
 
 
+@query("""WITH q AS (SELECT item_id AS query_id, text AS query FROM benchmark UNION ALL SELECT item_id, array_to_string(string_split(text, ' ')[1:5], ' ') FROM benchmark),
+h AS (SELECT doc_id, query_id, query, text, position(query IN text) AS first FROM documents JOIN q ON contains(text, query)),
+p AS (SELECT *, unnest(list_filter(range(first - 1, length(text)), lambda p: substring(text, p + 1, length(query)) = query)) AS pos FROM h)
+SELECT doc_id, CAST(0 AS INTEGER) AS page_no, query_id, CAST(pos AS INTEGER) AS "at", substring(text, greatest(pos - 50, 0) + 1, least(pos, 50)) AS before, query AS match, substring(text, pos + length(query) + 1, 50) AS after FROM p""")
+def search_context_items(spark, d):
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    starts = items.withColumn("query", F.array_join(F.slice(F.split("query", " "), 1, 5), " "))
+    return T.search_context(table(spark, d, "documents").select("doc_id", F.lit(0).alias("page_no"), "text"), items.unionByName(starts))
+
+
 @query(f"""WITH {SP} SELECT doc_id, page_no, block, replace(text, 'the', 'THE!') AS text, font, 50 + length(replace(text, 'the', 'THE!')) * size * 0.5 AS x1 FROM sp""")
 def replace_text(spark, d):
     return T.replace_text(_spans(spark, d), "the", "THE!")[0].select("doc_id", "page_no", "block", "text", "font", "x1")

@@ -138,9 +138,20 @@ def test_search_context_of_many_queries(spark):
     want = [(d, k, i, at, t[max(at - 4, 0) : at], w, t[at + len(w) : at + len(w) + 4]) for d, k, t in rows if t for i, w in asked if w for at in range(len(t)) if t.startswith(w, at)]
     got = [tuple(r) for r in T.search_context(df, q, 4).collect()]
     assert len(want) > 20 and sorted(got, key=str) == sorted(want, key=str)
+    blocks = [tuple(r) for r in T.search_context(df, q, 4, term_chars=20_000).collect()]  # three automata
+    assert sorted(blocks, key=str) == sorted(want, key=str)
     assert T.search_context(df, q.limit(0)).count() == 0
 
 
+def test_a_hundred_thousand_terms(spark):
+    """Rows that leave the scan are the hits, however many terms there are."""
+    q = spark.range(100_000).select(F.col("id").alias("query_id"), F.concat(F.lit("term"), F.col("id"), F.lit(";")).alias("query"))
+    df = spark.range(2_000).select(F.col("id").alias("doc_id"), F.lit(0).alias("page_no"), F.concat(F.repeat(F.lit("term"), 50), F.lit("term"), F.col("id") * 100, F.lit("; and so on")).alias("text"))
+    got = T.search_context(df, q, 3)
+    assert {(r.doc_id, r.query_id, r["at"], r.after) for r in got.collect()} == {(i, i * 100, 200, " an") for i in range(1000)}
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_fonts(spark):
     points = spark.createDataFrame([(1, 1, 0, 55.0, 100.0), (2, 1, 0, 5.0, 5.0)], "point_id long, doc_id long, page_no int, x double, y double")
     assert {r.point_id: r["size"] for r in T.font_at_points(spans(spark), points).collect()} == {1: 24.0, 2: None}

