@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from leafmill.sources.kept import Kept
 from leafmill.functions.scalars import cell_text
 
 WIDTH, LINES, MARGIN, STEP, SIZE = 80, 54, 50, 14, 11
@@ -159,15 +160,31 @@ def html_spans(pages: DataFrame) -> DataFrame:
     return styled_spans(scan_html(pages))
 
 
+def numbered_rows(rows: DataFrame, table: list[str], order: list[str], name: str) -> DataFrame:
+    """rows with their number in their table, from 0, as a column: a table may have any number of rows.
+
+    Rows are sorted by range over all tasks and numbered within the parts that come of it;
+    what the parts before hold of a table is a sum over a row for each part.
+    """
+    kept = Kept(rows.sparkSession, "numbers")
+    parts = kept.keep(rows.repartitionByRange(*table, *order).withColumn("__part", F.spark_partition_id()))
+    here = parts.withColumn("__k", F.row_number().over(W.partitionBy("__part", *table).orderBy(*order)) - 1)
+    sums = parts.groupBy("__part", *table).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy(*table).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select(F.col("__part").alias("__p"), *[F.col(c).alias(f"__{c}") for c in table], before.alias("__start"))
+    same = [F.col("__part") == F.col("__p"), *[F.col(c).eqNullSafe(F.col(f"__{c}")) for c in table]]
+    return here.join(starts, same).select(*rows.columns, (F.col("__start") + F.col("__k")).alias(name))
+
+
 def paginate_table(rows: DataFrame, table: list[str], order: list[str], cells: list[str], first: int = 28, later: int = 28) -> DataFrame:
     """Page and row on the page of each table row; cell texts over 20 characters are cut.
 
-    table: columns that name a table; order: a total order of its rows.
+    table: columns that name a table; order: a total order of its rows. One table may hold
+    most of all rows.
     """
-    n = F.row_number().over(W.partitionBy(*table).orderBy(*order)) - 1
-    page = F.when(F.col("__n") < first, F.lit(0)).otherwise(1 + F.floor((F.col("__n") - first) / later)).cast("int")
-    on_page = F.when(F.col("__n") < first, F.col("__n")).otherwise(F.pmod(F.col("__n") - first, F.lit(later)))
-    return rows.withColumn("__n", n).select(*table, page.alias("page_no"), on_page.cast("int").alias("row_no"), *[cell_text(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in cells])
+    page = F.when(F.col("__row") < first, F.lit(0)).otherwise(1 + F.floor((F.col("__row") - first) / later)).cast("int")
+    on_page = F.when(F.col("__row") < first, F.col("__row")).otherwise(F.pmod(F.col("__row") - first, F.lit(later)))
+    return numbered_rows(rows, table, order, "__row").select(*table, page.alias("page_no"), on_page.cast("int").alias("row_no"), *[cell_text(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in cells])
 
 
 def text_table(pages: DataFrame, strict_reference: bool = False) -> DataFrame:

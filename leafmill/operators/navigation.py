@@ -83,6 +83,13 @@ def edit_links(links: DataFrame, add: DataFrame, remove: DataFrame, pages: DataF
     return out, bad
 
 
+def links_left(links: DataFrame, removed: DataFrame) -> DataFrame:
+    """How many links remain (n_left) on each page of removed (doc_id, page_no, idx) after these are gone; indices that name none take none away."""
+    gone = removed.select("doc_id", "page_no", "idx").distinct()
+    left = links.join(gone, ["doc_id", "page_no", "idx"], "left_anti").groupBy("doc_id", "page_no").agg(F.count(F.lit(1)).alias("n"))
+    return gone.select("doc_id", "page_no").distinct().join(left, ["doc_id", "page_no"], "left").select("doc_id", "page_no", F.coalesce("n", F.lit(0)).alias("n_left"))
+
+
 def broken_links(links: DataFrame, pages: DataFrame) -> DataFrame:
     """Internal links (dest_page from 0) to pages that their document lacks."""
     there = pages.select("doc_id", F.col("page_no").alias("dest_page"))

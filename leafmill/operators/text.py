@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.arrays import let, running
 from leafmill.functions.scalars import decode_flags, heading_level
+from leafmill.operators.grid import boxes_at_points, overlapping
 from leafmill.operators.search import search_context  # noqa: F401  beside search_text
 
 SPAN_KEY = ("doc_id", "page_no", "block", "line", "span")
@@ -77,7 +78,7 @@ def search_text(spans: DataFrame, query: str, ignore_case: bool = False) -> Data
 
 
 def replace_text(spans: DataFrame, search: str, new: str) -> tuple[DataFrame, DataFrame]:
-    """Spans with every hit replaced, font kept; and hits per page (0 where there are none)."""
+    """Spans with every hit replaced, font kept; and hits per page (0 where there are none). replaced_areas() has where they were."""
     if not search:
         raise ValueError("empty search text")
     hits = ((F.length("text") - F.length(F.replace("text", F.lit(search), F.lit("")))) / len(search)).cast("long")
@@ -85,6 +86,25 @@ def replace_text(spans: DataFrame, search: str, new: str) -> tuple[DataFrame, Da
     return out.drop("n_hits"), out.groupBy("doc_id", "page_no").agg(F.sum("n_hits").alias("n_hits"))
 
 
+def replaced_areas(spans: DataFrame, search: str) -> DataFrame:
+    """Where replace_text() replaces: doc_id, page_no, idx (of the hit on its page), hx0, hy0, hx1, hy1, and the font and size of what is put there.
+
+    The hits are those that don't overlap, from the left. The font is that of the first span
+    whose box holds the middle of the hit, Helvetica and 12 where none does.
+    """
+    if not search:
+        raise ValueError("empty search text")
+    parts = F.split("text", F.concat(F.lit(r"\Q"), F.lit(search), F.lit(r"\E")), -1)
+    hit = spans.where(F.col("text").contains(search)).select(*SPAN_KEY, "size", "x0", "y0", "y1", F.posexplode(running(F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda x: F.length(x)), lambda x, y: x + y)).alias("k", "before"))
+    left = F.col("x0") + (F.col("before") + F.col("k") * len(search)) * F.col("size") * 0.5
+    hit = hit.withColumns({"hx0": left, "hx1": left + len(search) * F.col("size") * 0.5}).withColumnsRenamed({"y0": "hy0", "y1": "hy1"})
+    index = F.row_number().over(W.partitionBy("doc_id", "page_no").orderBy("block", "line", "span", "k")) - 1
+    hit = hit.select("doc_id", "page_no", index.alias("idx"), "hx0", "hy0", "hx1", "hy1")
+    middle = hit.select(F.struct("doc_id", "page_no", "idx").alias("point_id"), "doc_id", "page_no", ((F.col("hx0") + F.col("hx1")) / 2).alias("x"), ((F.col("hy0") + F.col("hy1")) / 2).alias("y"))
+    found = font_at_points(spans, middle).select("point_id.*", "font", "size")
+    return hit.join(found, ["doc_id", "page_no", "idx"], "left").withColumns({"font": F.coalesce("font", F.lit("Helvetica")), "size": F.coalesce("size", F.lit(12.0))})
+
+
 def font_usage(spans: DataFrame) -> DataFrame:
     """Characters by font and size on each page, with style, first span's flags and share of the page (2 decimals)."""
     first = F.min_by("flags", F.struct("block", "line", "span"))
@@ -111,9 +131,11 @@ def match_font(names: DataFrame, font: str = "font") -> DataFrame:
 
 
 def font_at_points(spans: DataFrame, points: DataFrame) -> DataFrame:
-    """First span (in order) whose box holds each point (point_id, doc_id, page_no, x, y), edges included; null fonts where none does."""
-    s = spans.select("doc_id", "page_no", "block", "line", "span", "font", "size", "x0", "y0", "x1", "y1")
-    hit = points.join(s, ["doc_id", "page_no"]).where("x between x0 and x1 and y between y0 and y1")
+    """First span (in order) whose box holds each point (point_id, doc_id, page_no, x, y), edges included; null fonts where none does.
+
+    Points meet spans by cells of grids, so a crowded page costs what lies at its points.
+    """
+    hit = boxes_at_points(spans, points, ["block", "line", "span", "font", "size"])
     best = hit.groupBy("point_id").agg(F.min_by(F.struct("font", "size"), F.struct("block", "line", "span")).alias("b"))
     return points.join(best, "point_id", "left").select("point_id", "doc_id", "page_no", "b.font", "b.size")
 
@@ -131,10 +153,11 @@ def auto_toc(spans: DataFrame, thresholds: tuple[float, float, float] = (18, 14,
 
 
 def redact_regions(spans: DataFrame, regions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Spans outside all regions (doc_id, page_no, rx0, ry0, rx1, ry1), and the ones taken out."""
-    r = regions.select(F.col("doc_id").alias("rd"), F.col("page_no").alias("rp"), "rx0", "ry0", "rx1", "ry1")
-    over = (F.col("doc_id") == F.col("rd")) & (F.col("page_no") == F.col("rp")) & (F.col("x0") < F.col("rx1")) & (F.col("x1") > F.col("rx0")) & (F.col("y0") < F.col("ry1")) & (F.col("y1") > F.col("ry0"))
-    return spans.join(r, over, "left_anti"), spans.join(r, over, "left_semi")
+    """Spans outside all regions (doc_id, page_no, rx0, ry0, rx1, ry1), and the ones taken out. Spans without a full box are outside."""
+    key = [*SPAN_KEY, "x0", "y0", "x1", "y1"]
+    gone = overlapping(spans, regions, key).select(*[F.col(c).alias(f"__{c}") for c in key])
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key]
+    return spans.join(gone, same, "left_anti"), spans.join(gone, same, "left_semi")
 
 
 def strip_html(text: Column) -> Column:

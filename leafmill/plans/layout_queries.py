@@ -11,6 +11,7 @@ from leafmill.operators import layout as L
 from leafmill.plans.base import FF, HP, PG, PT, SP, WL, conversation_pages, form_fields, query, table
 from leafmill.sources import exports as X
 from leafmill.sources import scans as C
+from leafmill.sources.kept import file_system, shared_folder
 
 
 @query()
@@ -24,23 +25,30 @@ def scan_text(spark, d):
     return C.scan_text(table(spark, d, "documents"))
 
 
-@query("SELECT o_orderkey AS doc_id, CAST(0 AS INTEGER) AS row_no, CAST(c AS INTEGER) AS col_no, ['key', 'status', 'note'][c + 1] AS name, [CAST(o_orderkey AS VARCHAR), o_orderstatus, 'a, b: ' || o_orderpriority][c + 1] AS cell FROM orders, range(3) t(c)")
+def _as_csv(spark, df):
+    """A table written as CSV files with a header and quoted cells to the shared folder; the path."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    df.write.option("header", True).option("escape", '"').csv(path)
+    system, at = file_system(spark, path)
+    system.deleteOnExit(at)
+    return path
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, typeof(1) = 'INTEGER' AS key_is_int, o_totalprice, true AS price_is_double, 'a, \"b\": ' || o_orderpriority AS note FROM orders")
 def scan_csv(spark, d):
-    o = table(spark, d, "orders")
-    text = F.concat(F.lit("key,status,note\n"), F.col("o_orderkey").cast("string"), F.lit(","), F.col("o_orderstatus"), F.lit(',"a, b: '), F.col("o_orderpriority"), F.lit('"\n'))
-    return C.csv_rows(o.select(F.col("o_orderkey").alias("doc_id"), text.alias("text")))
+    """Orders as CSV files, read back with the types that are found in them."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.concat(F.lit('a, "b": '), "o_orderpriority").alias("note"))
+    back = C.scan_csv(spark, _as_csv(spark, o))
+    kinds = dict(back.dtypes)
+    whole, real = F.lit(kinds["o_orderkey"] in ("int", "bigint")), F.lit(kinds["o_totalprice"] == "double")
+    return back.select(F.col("o_orderkey").cast("string").alias("o_orderkey"), whole.alias("key_is_int"), "o_totalprice", real.alias("price_is_double"), "note")
 
 
 @query("SELECT o_orderkey, o_orderstatus, 'a, \"b\": ' || o_orderpriority AS note FROM orders")
 def scan_csv_files(spark, d):
-    """Orders written as CSV files with a header and quoted cells to the shared folder, and read back."""
+    """Orders as CSV files, read back with a schema."""
     o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.concat(F.lit('a, "b": '), "o_orderpriority").alias("note"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/csv-{uuid.uuid4().hex}"
-    o.write.option("header", True).option("escape", '"').csv(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return C.scan_csv(spark, path, o.schema)
+    return C.scan_csv(spark, _as_csv(spark, o), o.schema)
 
 
 @query("""SELECT event_id AS doc_id, 0 AS row_no, 'k' AS key, json_extract_string(props, '$.k') AS value FROM events
@@ -147,11 +155,27 @@ def run_batch(spark, d):
     from leafmill.operators.text import sanitize_text, strip_html
 
     registry = {"strip_html": lambda x: x.withColumn("text", strip_html(F.concat(F.lit("<p>"), "text"))), "sanitize": lambda x, limit: x.withColumn("text", sanitize_text(F.col("text"), limit)), "trim": lambda x: x.withColumn("text", F.trim("text"))}
-    out, failed = C.run_batch({"documents.parquet": table(spark, d, "documents").select("doc_id", "text")}, [("strip_html", {}), ("sanitize", {"limit": 1000}), ("trim", {})], registry)
-    assert not failed
+    out, _ = C.run_batch({"documents.parquet": table(spark, d, "documents").select("doc_id", "text")}, [("strip_html", {}), ("sanitize", {"limit": 1000}), ("trim", {})], registry)
     return out["documents_processed"].select("doc_id", F.length("text").cast("long").alias("n_chars"), "text")
 
 
+@query("""SELECT 'conversations' AS input, 'conversations_converted' AS output, true AS ok, count(*) AS n_rows, NULL AS step FROM conversations UNION ALL SELECT 'documents', 'documents_converted', true, count(*), NULL FROM documents
+UNION ALL SELECT 'orders', 'orders_converted', false, NULL, 'run' UNION ALL SELECT 'pages', 'pages_converted', false, NULL, 'words'""")
+def run_batch_report(spark, d):
+    """Inputs that go through, one that fails at its rows (texts that are no numbers), one that fails when its plan is made (no such column)."""
+    inputs = {name: table(spark, d, name) for name in ("conversations", "documents", "pages")}
+    inputs["orders"] = table(spark, d, "orders").select(F.col("o_orderpriority").cast("int").alias("text"))
+    registry = {"words": lambda x: x.select(F.size(F.split(F.col("text").cast("string"), " ")).alias("n"))}
+    return C.run_batch(inputs, [("words", {})], registry)[1].select("input", "output", "ok", "n_rows", "step")
+
+
+@query(r"""SELECT CAST(count(*) FILTER (doc_id % 3 <> 0) AS BIGINT) AS n_inputs, CAST(count(*) FILTER (doc_id % 4 <> 0) AS BIGINT) AS n_outputs, CAST(coalesce(sum(strlen(text)) FILTER (doc_id % 3 <> 0), 0) AS BIGINT) AS input_bytes,
+CAST(coalesce(sum(strlen(trim(regexp_replace(text, '\s+', ' ', 'g')))) FILTER (doc_id % 4 <> 0), 0) AS BIGINT) AS output_bytes FROM documents""".replace("\\\\", "\\"))
+def batch_totals(spark, d):
+    t = table(spark, d, "documents").select("doc_id", "text")
+    return C.batch_totals(t.where("doc_id % 3 <> 0").select(F.octet_length("text").alias("bytes")), t.where("doc_id % 4 <> 0").select(F.octet_length(F.trim(F.regexp_replace("text", r"\s+", " "))).alias("bytes")))
+
+
 ROMAN_SQL = "CASE WHEN n > 0 THEN repeat('M', n // 1000) || ['', 'C', 'CC', 'CCC', 'CD', 'D', 'DC', 'DCC', 'DCCC', 'CM'][(n % 1000) // 100 + 1] || ['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'][(n % 100) // 10 + 1] || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][n % 10 + 1] ELSE '' END"
 
 

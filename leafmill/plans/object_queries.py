@@ -82,6 +82,13 @@ def optimize_report(spark, d):
     return O.optimize_report(conversation_pages(spark, d))
 
 
+@query(f"""WITH {PG}, z AS (SELECT strlen(text) AS before, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'))), lambda x: x <> '') AS l FROM pg),
+y AS (SELECT count(*) AS n_pages, sum(before) AS before, sum(strlen(array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), chr(10)))) AS after FROM z)
+SELECT CAST(n_pages AS BIGINT) AS n_pages, CAST(before AS BIGINT) AS before, CAST(after AS BIGINT) AS after, CAST(before - after AS BIGINT) AS reduction, floor((before - after) * 10000.0::DOUBLE / before + 0.5) / 100 AS percent FROM y""")
+def optimize_total(spark, d):
+    return O.optimize_total(O.optimize_report(conversation_pages(spark, d)))
+
+
 VALUES = "va AS (SELECT CAST(n_nationkey AS BIGINT) AS doc_id, 'f' || n_nationkey AS name, n_name AS value FROM nation)"
 
 

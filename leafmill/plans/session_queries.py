@@ -26,6 +26,21 @@ def rate_trailing(spark, d):
     return S.rate_trailing(requests(spark, d), 86_400).select("client", "id", "n_window")
 
 
+@query("""WITH e AS (SELECT CASE WHEN user_id % 5 > 0 THEN user_id END AS client, event_id AS id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY CASE WHEN user_id % 5 > 0 THEN user_id END ORDER BY ts, event_id) AS s FROM events),
+f AS (SELECT client, list_reduce(list([CAST(t AS BIGINT), CAST(id AS BIGINT)] ORDER BY s), lambda acc, x: CASE WHEN len(list_filter(acc, lambda h: h > x[1] - 86400000000)) < 3 THEN acc || [x[1]] ELSE acc END) AS admitted FROM (SELECT client, s, t, id FROM e UNION ALL SELECT DISTINCT client, 0, -1000000000000000, 0 FROM e) GROUP BY 1)
+SELECT e.client, e.id, list_contains(admitted, t) AS admitted FROM e JOIN f ON e.client IS NOT DISTINCT FROM f.client""")
+def rate_admission_nulls(spark, d):
+    """A fifth of the clients without a name: they are one client."""
+    r = requests(spark, d).select(F.when(F.col("client") % 5 > 0, F.col("client")).alias("client"), "ts", "id")
+    return S.rate_admission(r, 3, 86_400).select("client", "id", "admitted")
+
+
+@query("""WITH e AS (SELECT user_id AS client, epoch_us(ts) AS t FROM events), w AS (SELECT client, unnest(range(t // 21600000000 * 21600000000 + 21600000000, t // 21600000000 * 21600000000 + 86400000001, 21600000000)) AS u FROM e)
+SELECT client, make_timestamp(u) AS "at", CAST(count(*) AS BIGINT) AS n FROM w GROUP BY 1, 2""")
+def rate_windows(spark, d):
+    return S.rate_windows(requests(spark, d).select("client", "ts"), 86_400, 21_600)
+
+
 @query(f"WITH {RQ} SELECT path, status, time_bucket(INTERVAL 1 DAY, ts) AS window_start, CAST(count(*) AS BIGINT) AS n, round(avg(duration), 6) AS avg_ms, max(duration) AS max_ms FROM rq GROUP BY 1, 2, 3")
 def request_metrics(spark, d):
     return S.request_metrics(requests(spark, d), "1 day").withColumn("avg_ms", F.round("avg_ms", 6))

@@ -59,6 +59,15 @@ def replace_text(spark, d):
     return T.replace_text(_spans(spark, d), "the", "THE!")[0].select("doc_id", "page_no", "block", "text", "font", "x1")
 
 
+@query(f"""WITH {SP}, h AS (SELECT doc_id, page_no, block, size, x0, y0, y1, string_split(text, 'the') AS l FROM sp WHERE contains(text, 'the')),
+k AS (SELECT *, unnest(range(1, len(l))) AS n FROM h), b AS (SELECT *, list_sum(list_transform(l[1:n], lambda x: length(x))) + 3 * (n - 1) AS off FROM k),
+r AS (SELECT doc_id, page_no, CAST(row_number() OVER (PARTITION BY doc_id, page_no ORDER BY block, n) - 1 AS INTEGER) AS idx, x0 + off * size * 0.5 AS hx0, y0 AS hy0, x0 + off * size * 0.5 + 3 * size * 0.5 AS hx1, y1 AS hy1 FROM b),
+f AS (SELECT r.doc_id, r.page_no, r.idx, arg_min(font, block) AS font, arg_min(size, block) AS size FROM r JOIN sp ON sp.doc_id = r.doc_id AND sp.page_no = r.page_no AND (hx0 + hx1) / 2 BETWEEN x0 AND x1 AND (hy0 + hy1) / 2 BETWEEN y0 AND y1 GROUP BY 1, 2, 3)
+SELECT r.*, coalesce(font, 'Helvetica') AS font, coalesce(size, 12) AS size FROM r LEFT JOIN f USING (doc_id, page_no, idx)""")
+def replaced_areas(spark, d):
+    return T.replaced_areas(_spans(spark, d), "the")
+
+
 @query(f"""WITH {SP}, g AS (SELECT doc_id, page_no, font, size, CAST(sum(length(text)) AS BIGINT) AS char_count, arg_min(flags, block) AS flags FROM sp GROUP BY 1, 2, 3, 4), t AS (SELECT *, CAST(sum(char_count) OVER (PARTITION BY doc_id, page_no) AS BIGINT) AS page_chars FROM g)
 SELECT doc_id, page_no, font, size, char_count, flags & 16 > 0 AS is_bold, flags & 64 > 0 AS is_italic, page_chars, floor(char_count * 10000.0::DOUBLE / page_chars + 0.5) / 100 AS percentage FROM t""")
 def font_usage(spark, d):
@@ -202,6 +211,12 @@ def edit_links(spark, d):
     return N.edit_links(links, add, remove, conversation_pages(spark, d))[0].select("doc_id", "page_no", "type", "uri", F.col("dest_page").cast("long").alias("dest_page"), "x0", "y0", "x1", "y1", "idx")
 
 
+@query(f"WITH {PG}, {LINKS} SELECT doc_id, page_no, CAST(count(*) FILTER (idx > 1) AS BIGINT) AS n_left FROM ln GROUP BY 1, 2 HAVING count(*) FILTER (idx <= 1) > 0")
+def links_left(spark, d):
+    links = _links(spark, d)
+    return N.links_left(links, links.where("idx <= 1"))
+
+
 @query(f"WITH {PG}, {LINKS} SELECT ln.doc_id, ln.page_no, ln.idx, ln.dest_page FROM ln WHERE type = 'internal' AND NOT EXISTS (SELECT 1 FROM pg WHERE pg.doc_id = ln.doc_id AND pg.page_no = ln.dest_page)")
 def broken_links(spark, d):
     return N.broken_links(_links(spark, d), conversation_pages(spark, d)).select("doc_id", "page_no", "idx", "dest_page")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from leafmill.sources.kept import file_system, shared_folder
+
 LIMIT = 50 << 20
 
 
@@ -34,17 +38,6 @@ def scan_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 
-def csv_rows(texts: DataFrame) -> DataFrame:
-    """row_no, col_no, name and cell of texts that hold a header line and comma-separated lines (quotes allowed)."""
-    lines = texts.select("doc_id", F.filter(F.split("text", r"\r?\n"), lambda x: x != "").alias("l"))
-    head = F.split(F.get("l", F.lit(0)), ",")
-    body = lines.select("doc_id", head.alias("head"), F.posexplode(F.slice("l", F.lit(2), F.greatest(F.size("l") - 1, F.lit(0)))).alias("row_no", "line"))
-    cell = F.regexp_extract_all("line", F.lit(r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
-    cells = body.select("doc_id", "row_no", "head", F.posexplode(cell).alias("col_no", "cell"))
-    plain = F.when(F.col("cell").startswith('"'), F.replace(F.regexp_replace("cell", '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(F.col("cell"))
-    return cells.select("doc_id", "row_no", "col_no", F.get("head", F.col("col_no")).alias("name"), plain.alias("cell"))
-
-
 def scan_json(payloads: DataFrame) -> DataFrame:
     """row_no, key, value of JSON texts (doc_id, payload).
 
@@ -60,7 +53,7 @@ def scan_json(payloads: DataFrame) -> DataFrame:
     maps = rows.select("doc_id", "row_no", F.explode("keys").alias("key"), F.from_json(F.when(F.trim("item").startswith("{"), F.col("item")), "map<string,string>").alias("m"))
     table = maps.select("doc_id", "row_no", "key", F.coalesce(F.element_at("m", F.col("key")), F.lit("")).alias("value"))
     single = payloads.where(body.startswith("{")).select("doc_id", F.explode(F.map_entries(F.from_json(body, "map<string,string>"))).alias("e")).select("doc_id", F.lit(0).alias("row_no"), "e.key", F.coalesce("e.value", F.lit("")).alias("value"))
-    scalar = payloads.where(body.rlike(r'^(-?\d+(\.\d+)?([eE][-+]?\d+)?|true|false|null|"([^"\\]|\\.)*")$')).select("doc_id", F.lit(0).alias("row_no"), F.lit("").alias("key"), F.regexp_replace(body, '^"|"$', "").alias("value"))
+    scalar = payloads.where(body.rlike(r'^(-?\d+(\.\d+)?([eE][-+]?\d+)?|true|false|null|"([^"\\]|\\.)*")$')).select("doc_id", F.lit(0).alias("row_no"), F.lit("").alias("key"), F.when(body.startswith('"'), F.get(F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<string>"), F.lit(0))).otherwise(body).alias("value"))
     return table.unionByName(single).unionByName(scalar)
 
 
@@ -81,28 +74,56 @@ def ingest_gate(files: DataFrame, limit: int = LIMIT, allowed: tuple[str, ...] =
     return files.withColumn("reject_reason", reason)
 
 
-def run_batch(inputs: dict[str, DataFrame], steps: list[tuple[str, dict]], registry: dict[str, Callable[..., DataFrame]]) -> tuple[dict[str, DataFrame], list[tuple[str, str]]]:
-    """Runs a chain of named operators over many inputs: outputs by name, and (input, error) of those skipped.
+_REPORT = "input string, output string, ok boolean, n_rows long, step string, error string"
+
+
+def run_batch(inputs: dict[str, DataFrame], steps: list[tuple[str, dict]], registry: dict[str, Callable[..., DataFrame]], folder: str | None = None, at_once: int = 4) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Runs a chain of named operators over many inputs: outputs by name, and a report with a row for each input.
 
     An unknown operator or an empty chain is an error. An output's name is its input's with
-    _processed, or _converted for a single step.
+    _processed, or _converted for a single step. Each input is run by itself, at_once of them
+    side by side in job groups of their own, and written below folder (default: the folder
+    between jobs): first under a name that nobody reads, then renamed. So an input that fails,
+    when its plan is made or at any of its rows, leaves nothing behind and stops no other. The
+    report has input, output, ok, n_rows, and of a failure the step (an operator, or run) and
+    the error. An output that is there already is not replaced: that is a failure too.
     """
     if not steps:
         raise ValueError("no operators given")
     unknown = [name for name, _ in steps if name not in registry]
     if unknown:
         raise ValueError(f"unknown operator: {', '.join(unknown)}")
-    out, failed = {}, []
-    for name, df in inputs.items():
+    spark = next((df.sparkSession for df in inputs.values()), None) or SparkSession.active()
+    group = f"batch-{uuid.uuid4().hex}"
+    folder = (folder or f"{shared_folder(spark)}/{group}").rstrip("/")
+
+    def one(name: str) -> tuple:
         base = name.rpartition(".")[0] or name
+        output, step = base + ("_converted" if len(steps) == 1 else "_processed"), "run"
+        draft = f"{folder}/_{group}/{uuid.uuid4().hex}"
+        system, at = file_system(spark, draft)
         try:
-            for op, parameters in steps:
-                df = df.transform(lambda x, op=op, p=parameters: registry[op](x, **p))
+            spark.sparkContext.setJobGroup(f"{group}-{name}", f"batch input {name}", True)
+            df = inputs[name]
+            for step, parameters in steps:  # noqa: B007  the step that fails is told
+                df = registry[step](df, **parameters)
+            step, watch = "run", Observation()
+            df.observe(watch, F.count(F.lit(1)).alias("n")).write.parquet(draft)
+            _, final = file_system(spark, f"{folder}/{output}")
+            if system.exists(final) or not system.rename(at, final):
+                raise FileExistsError(f"{output} is there already")
+            return name, output, True, watch.get["n"], None, None, df.schema
         except Exception as e:  # noqa: BLE001  one bad input does not stop the others
-            failed.append((name, f"{type(e).__name__}: {e}"))
-            continue
-        out[base + ("_converted" if len(steps) == 1 else "_processed")] = df
-    return out, failed
+            return name, output, False, None, step, f"{type(e).__name__}: {e}", None
+        finally:
+            system.delete(at, True)
+
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        done = list(pool.map(one, inputs))
+    system, drafts = file_system(spark, f"{folder}/_{group}")
+    system.delete(drafts, True)
+    out = {output: spark.read.schema(fields).parquet(f"{folder}/{output}") for _, output, ok, *_, fields in done if ok}
+    return out, spark.createDataFrame([d[:-1] for d in done], _REPORT)
 
 
 def batch_report(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -110,3 +131,10 @@ def batch_report(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     kb = lambda c: F.floor(F.col(c) * 10.0 / 1024 + 0.5) / 10
     both = inputs.select("name", F.col("bytes").alias("a")).join(outputs.select("name", F.col("bytes").alias("b")), "name", "full_outer")
     return both.select("name", kb("a").cast("double").alias("input_kb"), kb("b").cast("double").alias("output_kb"))
+
+
+def batch_totals(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
+    """The head of the report, one row: n_inputs, n_outputs, and the bytes of each."""
+    both = inputs.select(F.lit(1).alias("i"), F.lit(0).alias("o"), F.col("bytes").alias("a"), F.lit(0).cast("long").alias("b")).unionByName(outputs.select(F.lit(0).alias("i"), F.lit(1).alias("o"), F.lit(0).cast("long").alias("a"), F.col("bytes").alias("b")))
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+    return both.agg(total("i", "n_inputs"), total("o", "n_outputs"), total("a", "input_bytes"), total("b", "output_bytes"))

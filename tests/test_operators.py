@@ -213,15 +213,91 @@ def test_sources(spark, tmp_path):
     assert [r.reject_reason for r in C.ingest_gate(files, 50).orderBy(F.col("path") != "a.pdf", "path").collect()] == [None, "wrong extension", "empty file", "too large", "bad signature", "content type not allowed"]
 
 
-def test_run_batch(spark):
+def test_run_batch(spark, tmp_path):
+    """An input whose plan fails, one that fails at a row (an ANSI cast), two with one output's name: the others are there."""
     reg = {"up": lambda df: df.withColumn("text", F.upper("text")), "only": lambda df, n: df.where(F.col("missing") > n)}
-    out, failed = C.run_batch({"a.txt": pages(spark), "b.txt": pages(spark).withColumn("missing", F.lit(1))}, [("up", {}), ("only", {"n": 0})], reg)
-    assert list(out) == ["b_processed"] and failed[0][0] == "a.txt"
+    more = pages(spark).withColumn("missing", F.lit(1))
+    bad = more.withColumn("missing", F.when(F.col("page_no") >= 0, F.lit("x")).cast("int"))
+    out, report = C.run_batch({"a.txt": pages(spark), "b.txt": more, "c.txt": bad, "b.csv": more, "d": more}, [("up", {}), ("only", {"n": 0})], reg, str(tmp_path / "out"), at_once=1)
+    rows = {r.input: r for r in report.collect()}
+    assert sorted(out) == ["b_processed", "d_processed"] and {i for i, r in rows.items() if r.ok} == {"b.txt", "d"}
+    assert (rows["a.txt"].step, rows["c.txt"].step, rows["b.csv"].step) == ("only", "run", "run") and "CAST" in rows["c.txt"].error and rows["d"].n_rows == pages(spark).count()
+    assert sorted(map(str, out["d_processed"].collect())) == sorted(map(str, reg["up"](more).collect()))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")) == ["b_processed", "d_processed"]
+    again, report = C.run_batch({"d": more}, [("up", {}), ("only", {"n": 0})], reg, str(tmp_path / "out"))
+    assert not again and "is there already" in report.first().error
+    out, report = C.run_batch({f"i{k}": more for k in range(6)}, [("up", {})], reg)
+    assert sorted(out) == [f"i{k}_converted" for k in range(6)] and report.where("ok").count() == 6
     for steps in ([], [("nope", {})]):
         with pytest.raises(ValueError):
             C.run_batch({}, steps, reg)
 
 
+def test_scalars_of_json_and_types_of_csv(spark, tmp_path):
+    js = spark.createDataFrame([(1, r'"a\nb \u00e9"'), (2, "null"), (3, "-1.50"), (4, "true"), (5, '""')], "doc_id long, payload string")
+    assert {r.doc_id: r.value for r in C.scan_json(js).collect()} == {1: "a\nb é", 2: "null", 3: "-1.50", 4: "true", 5: ""}
+    (tmp_path / "t.csv").write_text('"a,b",c,d\n1,"x ""y""",2.5\n2,,3\n')
+    back = C.scan_csv(spark, str(tmp_path / "t.csv"))
+    assert back.dtypes == [("a,b", "int"), ("c", "string"), ("d", "double")] and [tuple(r) for r in back.collect()] == [(1, 'x "y"', 2.5), (2, None, 3.0)]
+
+
+def test_edits_of_one_key(spark):
+    fields = spark.createDataFrame([(1, 0, "f", "old", 0), (1, 1, "f", "old", 0), (1, 0, "g", "old", 0)], "doc_id long, page_no int, name string, value string, flags int")
+    values = spark.createDataFrame([(1, "f", "b", 1), (1, "f", "a", 2), (1, "f", None, 3), (1, "nope", "x", 1), (1, "nope", "y", 2)], "doc_id long, name string, value string, seq int")
+    out, bad = O.fill_forms(fields, values)
+    assert sorted((r.page_no, r.name, r.value) for r in out.collect()) == [(0, "f", "a"), (0, "g", "old"), (1, "f", "a")] and bad.count() == 1
+    assert {r.value for r in O.fill_forms(fields, values.drop("seq"))[0].where("name = 'f'").collect()} == {"b"}
+    notes = spark.createDataFrame([(1, 0, 0, "black", "white", 1.0, "S", 1.0)], "doc_id long, page_no int, idx int, stroke string, fill string, border_width double, border_style string, opacity double")
+    edits = spark.createDataFrame([(1, 0, 0, "red", None, 2.0, None, None, 1), (1, 0, 0, "blue", "green", None, 1, None, 2), (1, 0, 0, "no", None, None, 9, None, 3)], "doc_id long, page_no int, idx int, stroke string, fill string, border_width double, style int, opacity double, seq int")
+    out, bad = O.restyle_annotations(notes, edits)
+    assert [tuple(r)[3:] for r in out.collect()] == [("blue", "green", 2.0, "D", 1.0)] and bad.count() == 1
+
+
+def test_grids_equal_all_pairs(spark):
+    """Boxes of all sizes, on edges, below zero, without sides or turned around, against every point and region."""
+    import random
+
+    rng = random.Random(3)
+    side = lambda: rng.choice([0.0, 0.001, 1.0, 2.0, 3.5, 11.0, 64.0, 500.0, 4096.0])
+    at = lambda: rng.choice([-5.0, 0.0, 1.0, 2.0, 64.0, 128.0, rng.uniform(-300, 300)])
+    boxes = []
+    for i in range(150):
+        x, y = at(), at()
+        boxes.append((1, rng.choice([0, 1]), i // 10, i % 10, 0, f"f{i}", 10.0, x, y, x + side(), y + side()))
+    boxes += [(1, 0, 90, 0, 0, "null", 1.0, None, 0.0, 9.0, 9.0), (1, 0, 91, 0, 0, "turned", 1.0, 9.0, 0.0, 1.0, 9.0)]
+    spans_ = spark.createDataFrame(boxes, "doc_id long, page_no int, block int, line int, span int, font string, size double, x0 double, y0 double, x1 double, y1 double")
+    points_ = [(i, 1, rng.choice([0, 1, 2]), at(), at()) for i in range(120)]
+    got = {r.point_id: r.font for r in T.font_at_points(spans_, spark.createDataFrame(points_, "point_id long, doc_id long, page_no int, x double, y double")).collect()}
+    full = [b for b in boxes if b[7] is not None and b[7] <= b[9]]
+    want = {p[0]: min(((b[2:5], b[5]) for b in full if b[1] == p[2] and b[7] <= p[3] <= b[9] and b[8] <= p[4] <= b[10]), default=(None, None))[1] for p in points_}
+    assert got == want and len(set(want.values())) > 5
+    regions_ = [(1, rng.choice([0, 1]), x, y, x + side(), y + side()) for x, y in ((at(), at()) for _ in range(12))]
+    kept, gone = T.redact_regions(spans_, spark.createDataFrame(regions_, "doc_id long, page_no int, rx0 double, ry0 double, rx1 double, ry1 double"))
+    hit = {b[5] for b in full for r in regions_ if b[1] == r[1] and b[7] < r[4] and b[9] > r[2] and b[8] < r[5] and b[10] > r[3]}
+    assert {r.font for r in gone.collect()} == hit and {r.font for r in kept.collect()} == {b[5] for b in boxes} - hit and 5 < len(hit) < 140
+
+
+def test_a_crowded_page(spark):
+    """100,000 spans and 100,000 points on one page: pairs that are looked at stay near the number of points."""
+    n = 100_000
+    spans_ = spark.range(n).select(F.lit(1).alias("doc_id"), F.lit(0).alias("page_no"), F.col("id").alias("block"), F.lit(0).alias("line"), F.lit(0).alias("span"), F.lit("F").alias("font"), (F.col("id") % 7).cast("double").alias("size"), F.lit(50.0).alias("x0"), (F.col("id") * 14.0).alias("y0"), F.lit(500.0).alias("x1"), (F.col("id") * 14.0 + 11).alias("y1"))
+    points_ = spark.range(n).select(F.col("id").alias("point_id"), F.lit(1).alias("doc_id"), F.lit(0).alias("page_no"), (F.col("id") % 600).cast("double").alias("x"), (F.col("id") * 14.0 + 5).alias("y"))
+    found = T.font_at_points(spans_, points_)
+    assert found.where("font is not null").count() == sum(50 <= i % 600 <= 500 for i in range(n))
+    regions_ = spark.range(0, n, 10).select(F.lit(1).alias("doc_id"), F.lit(0).alias("page_no"), F.lit(0.0).alias("rx0"), (F.col("id") * 14.0).alias("ry0"), F.lit(60.0).alias("rx1"), (F.col("id") * 14.0 + 11).alias("ry1"))
+    assert T.redact_regions(spans_, regions_)[1].count() == n // 10
+
+
+def test_pages_of_a_table_of_any_size(spark):
+    rows = spark.range(5_000).select(F.when(F.col("id") % 10 > 0, F.lit("big")).when(F.col("id") % 20 > 0, F.lit("small")).alias("t"), F.col("id"), F.lit("a cell text of more than twenty").alias("c")).repartition(7)
+    got = L.paginate_table(rows, ["t"], ["id"], ["id", "c"], 3, 10).collect()
+    want = {}
+    for t, ids in (("big", [i for i in range(5_000) if i % 10]), ("small", [i for i in range(5_000) if i % 20 == 10]), (None, list(range(0, 5_000, 20)))):
+        for n, i in enumerate(ids):
+            want[i] = (t, 0, n) if n < 3 else (t, 1 + (n - 3) // 10, (n - 3) % 10)
+    assert {int(r.id): (r.t, r.page_no, r.row_no) for r in got} == want
+
+
 def test_tables(spark):
     df = spark.createDataFrame([(1, 0, "Col1 Col2\n\nVal1   Val2 x"), (1, 1, None)], "doc_id long, page_no int, text string")
     assert [(r.row, r.col, r.cell) for r in L.text_table(df).orderBy("row", "col").collect()] == [(0, 0, "Col1"), (0, 1, "Col2"), (1, 0, "Val1"), (1, 1, "Val2"), (1, 2, "x")]
