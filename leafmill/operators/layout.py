@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leafmill.sources.kept import Kept
 from leafmill.functions.scalars import cell_text
+from leafmill.sources.kept import Kept
 
+#: Geometry of a page of text (fixed values).
 WIDTH, LINES, MARGIN, STEP, SIZE = 80, 54, 50, 14, 11
 PAGE_W, PAGE_H = 595.0, 842.0
 
-#: Tags that part a text: those that style what follows, and every closing one.
-PARTING = r"(?i)<(/[^>]*|(?:h[1-6]|p|pre|code|li|ul|ol|b)(?:\s[^>]*)?)>"
+#: Tags that part a text (fixed values): those that style what follows, and every closing one.
+PARTING = r"(?i)<(/[^>]*|(?:h[1-6]|p|pre|code|li|ul|ol)(?:\s[^>]*)?)>"
 #: What is no text.
 UNSEEN = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->"
 
@@ -150,8 +151,8 @@ def styled_spans(pieces: DataFrame, lines_per_page: int = LINES) -> DataFrame:
     tag = F.col("tag")
     head, mono = tag.isin("h1", "h2", "h3", "h4", "h5", "h6"), tag.isin("code", "pre")
     size = F.when(tag == "h1", 18.0).when(tag == "h2", 14.0).when(tag == "h3", 12.0).when(mono, 9.0).otherwise(11.0)
-    font = F.when(mono, F.lit("Courier")).when(head | (tag == "b"), F.lit("Helvetica-Bold")).otherwise(F.lit("Helvetica"))
-    flags = F.when(mono, 8).when(head | (tag == "b"), 16).otherwise(0)
+    font = F.when(mono, F.lit("Courier")).when(head, F.lit("Helvetica-Bold")).otherwise(F.lit("Helvetica"))
+    flags = F.when(mono, 8).when(head, 16).otherwise(0)
     out = pieces.where("text <> ''").select("doc_id", F.floor(F.col("i") / lines_per_page).cast("int").alias("page_no"), F.pmod("i", F.lit(lines_per_page)).alias("block"), F.lit(0).alias("line"), F.lit(0).alias("span"), "text", font.alias("font"), size.alias("size"), flags.alias("flags"))
     return _boxed(out, F.col("block"), F.col("size"))
 

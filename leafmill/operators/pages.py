@@ -148,18 +148,22 @@ def page_labels(pages: DataFrame, style: str = "arabic", prefix: str = "", suffi
 
 
 def page_templates(pages: DataFrame, header: str = "", footer: str = "", numbers: bool = True) -> DataFrame:
-    """header and footer of each page; with numbers, {page} and {total} are filled in."""
+    """header and footer of each page; with numbers, {page} and {total} are filled in. A null doc_id is a document."""
     if not header and not footer:
         raise ValueError("header and footer are both empty")
-    total = F.count(F.lit(1)).over(W.partitionBy("doc_id"))
+    if numbers and "{total}" in header + footer:
+        # counts are joined: a window would bring a document's pages together
+        total = page_counts(pages).select(F.col("doc_id").alias("__d"), F.col("n_pages").alias("__total"))
+        pages = pages.join(total, F.col("doc_id").eqNullSafe(F.col("__d"))).drop("__d")
 
     def filled(text: str) -> Column:
         out = F.lit(text)
         if numbers:
-            out = F.replace(F.replace(out, F.lit("{page}"), (F.col("page_no") + 1).cast("string")), F.lit("{total}"), total.cast("string"))
+            out = F.replace(out, F.lit("{page}"), (F.col("page_no") + 1).cast("string"))
+            out = F.replace(out, F.lit("{total}"), F.col("__total").cast("string")) if "{total}" in text else out
         return out
 
-    return pages.withColumn("header", filled(header)).withColumn("footer", filled(footer))
+    return pages.withColumn("header", filled(header)).withColumn("footer", filled(footer)).drop("__total")
 
 
 def corpus_numbers(pages: DataFrame, parts: int = 256) -> DataFrame:

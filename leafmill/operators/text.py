@@ -23,10 +23,10 @@ def ordered(value: str, order: list[str], sep: str = "") -> Column:
 
 
 def extract_text(spans: DataFrame, max_pages: int | None = None) -> DataFrame:
-    """Text of each document: a space after each span, a line feed after each block."""
+    """Text of each document: a space after each span, a line feed after each block. Spans are shuffled once, by document."""
     if max_pages is not None:
         spans = spans.where(F.col("page_no") < max_pages)
-    blocks = spans.groupBy("doc_id", "page_no", "block").agg(F.concat(ordered("text", ["line", "span"], " "), F.lit(" \n")).alias("t"))
+    blocks = spans.repartition("doc_id").groupBy("doc_id", "page_no", "block").agg(F.concat(ordered("text", ["line", "span"], " "), F.lit(" \n")).alias("t"))
     return blocks.groupBy("doc_id").agg(ordered("t", ["page_no", "block"]).alias("text"))
 
 

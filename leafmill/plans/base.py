@@ -74,12 +74,12 @@ WL = r"""wl AS (SELECT doc_id, flatten(list_transform(list_filter(string_split(c
   lambda l: string_split(list_reduce(list_filter(string_split_regex(l, '\s+'), lambda w: w <> ''), lambda a, x: CASE WHEN length(string_split(a, chr(10))[-1]) + 1 + length(x) <= 80 THEN a || ' ' || x ELSE a || chr(10) || x END), chr(10)))) AS lines FROM documents)"""
 PT = WL + ", pt0 AS (SELECT doc_id, unnest(lines) AS text, unnest(range(len(lines))) AS i FROM wl UNION ALL SELECT doc_id, NULL, 0 FROM wl WHERE len(lines) = 0), pt AS (SELECT doc_id, CAST(i // 54 AS INTEGER) AS page_no, CAST(i % 54 AS INTEGER) AS line_on_page, CAST(50 + 14 * (i % 54) AS DOUBLE) AS y, text FROM pt0)"
 # each parting tag becomes a mark, the tag and another mark; what stands before the first has no tag
-HP = r"""hp0 AS (SELECT page_id AS doc_id, string_split(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->', '', 'g'), '(?i)<(/[^>]*|(?:h[1-6]|p|pre|code|li|ul|ol|b)(?:\s[^>]*)?)>', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS parts FROM pages),
+HP = r"""hp0 AS (SELECT page_id AS doc_id, string_split(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->', '', 'g'), '(?i)<(/[^>]*|(?:h[1-6]|p|pre|code|li|ul|ol)(?:\s[^>]*)?)>', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS parts FROM pages),
 hp1 AS (SELECT doc_id, n, CASE WHEN n = 0 THEN '' ELSE lower(regexp_extract(part, '^[A-Za-z0-9]*')) END AS tag, CASE WHEN n = 0 THEN part ELSE split_part(part, chr(2), 2) END AS raw FROM (SELECT doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS n FROM hp0)),
 hp2 AS (SELECT doc_id, n, CASE WHEN tag IN ('', 'ul', 'ol') THEN 'p' ELSE tag END AS tag, trim(replace(replace(replace(regexp_replace(regexp_replace(raw, '(?i)<br\s*/?>', ' ', 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS text FROM hp1),
 hp AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INTEGER) AS i, tag, text FROM hp2 WHERE text <> '')"""
 SP = HP + """, sp0 AS (SELECT doc_id, CAST(i // 54 AS INTEGER) AS page_no, CAST(i % 54 AS INTEGER) AS block, 0 AS line, 0 AS span, text,
-  CASE WHEN tag IN ('code', 'pre') THEN 'Courier' WHEN tag LIKE 'h_' OR tag = 'b' THEN 'Helvetica-Bold' ELSE 'Helvetica' END AS font,
+  CASE WHEN tag IN ('code', 'pre') THEN 'Courier' WHEN tag LIKE 'h_' THEN 'Helvetica-Bold' ELSE 'Helvetica' END AS font,
   CAST(CASE tag WHEN 'h1' THEN 18 WHEN 'h2' THEN 14 WHEN 'h3' THEN 12 WHEN 'code' THEN 9 WHEN 'pre' THEN 9 ELSE 11 END AS DOUBLE) AS size,
-  CAST(CASE WHEN tag IN ('code', 'pre') THEN 8 WHEN tag LIKE 'h_' OR tag = 'b' THEN 16 ELSE 0 END AS INTEGER) AS flags FROM hp WHERE text <> ''),
+  CAST(CASE WHEN tag IN ('code', 'pre') THEN 8 WHEN tag LIKE 'h_' THEN 16 ELSE 0 END AS INTEGER) AS flags FROM hp WHERE text <> ''),
 sp AS (SELECT *, CAST(50 AS DOUBLE) AS x0, 50 + 14 * block - size AS y0, 50 + length(text) * size * 0.5 AS x1, CAST(50 + 14 * block AS DOUBLE) AS y1 FROM sp0)"""

@@ -16,8 +16,8 @@ def export_text(pages: DataFrame) -> DataFrame:
 
 
 def export_markdown(spans: DataFrame) -> DataFrame:
-    """A line for each line with text, marked by its largest size; each page ends with a rule."""
-    lines = spans.groupBy("doc_id", "page_no", "block", "line").agg(F.max("size").alias("s"), F.trim(ordered("text", ["span"])).alias("t")).where("t <> ''")
+    """A line for each line with text, marked by its largest size; each page ends with a rule. Spans are shuffled once, by document."""
+    lines = spans.repartition("doc_id").groupBy("doc_id", "page_no", "block", "line").agg(F.max("size").alias("s"), F.trim(ordered("text", ["span"])).alias("t")).where("t <> ''")
     lines = lines.withColumn("md", F.concat(markdown_mark(F.col("s")), F.col("t"), F.lit("\n")))
     pages = lines.groupBy("doc_id", "page_no").agg(F.concat(ordered("md", ["block", "line"]), F.lit("\n---\n\n")).alias("md"))
     return pages.groupBy("doc_id").agg(ordered("md", ["page_no"]).alias("markdown"))

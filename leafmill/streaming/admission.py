@@ -77,7 +77,10 @@ def _stretches(judged: DataFrame, limit: int, span: int, slice_rows: int, kept:
     near = near.where((F.col("t") > F.col("stretch") - span) & ((F.col("t") < F.col("stretch")) | (F.col("t") == F.col("stretch")) & (F.col("id") < F.col("first"))))
     near = near.select("client", "stretch", "slice", "t", F.lit(False).alias("asked"), "id", "ts")
     held = F.lit(None).cast("array<long>").alias("held")
-    todo = kept.keep(busy.drop("starts").unionByName(near).select("slice", "client", "stretch", "t", "asked", "id", "ts", held), by=["slice"])
+    todo = busy.drop("starts").unionByName(near).select("slice", "client", "stretch", "t", "asked", "id", "ts", held)
+    rounds = (spans.agg(F.max("slice")).first()[0] or 0) + 1
+    if rounds > 1:
+        todo = kept.keep(todo, by=["slice"])
 
     def step(now: deque, row) -> tuple | None:
         if row.held is not None:  # what the slice before has handed on
@@ -101,10 +104,9 @@ def _stretches(judged: DataFrame, limit: int, span: int, slice_rows: int, kept:
         end = (lambda now: (*now[0], None, None, None, None, list(now[1]))) if hands_on else None
         return fold_by_key(rows.select(*columns), ["client", "stretch"], ["t", "asked", "id"], lambda row: ((row.client, row.stretch), deque()), lambda now, row: step(now[1], row), end, fields)
 
-    rounds = (todo.agg(F.max("slice")).first()[0] or 0) + 1
     results, handed = [], None
     for k in range(rounds):
-        part = todo.where(F.col("slice") == k).drop("slice")
+        part = (todo.where(F.col("slice") == k) if rounds > 1 else todo).drop("slice")
         if handed is not None:
             part = part.unionByName(null_safe(handed, part.select("client", "stretch").distinct(), ["client", "stretch"]))
         done = folded(part, k + 1 < rounds)

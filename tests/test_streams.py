@@ -245,3 +245,13 @@ def test_a_stream_stopped_and_started_again_goes_on(spark, tmp_path):
     assert stored(spark, tmp_path / "kept") == WANT
     want = {r.session_id: r.filename for r in Z.session_upsert(spark.createDataFrame([r for e in EPOCHS for r in e], STATE)).select("session_id", F.col("filename")).collect()}
     assert want == WANT
+
+
+def test_streamed_admission_of_null_clients(spark, tmp_path):
+    rows = [(None, at(i), i) for i in range(6)] + [(2**60 + 1, at(i), 10 + i) for i in range(6)]
+    schema = "client long, ts timestamp, id long"
+    q = Z.rate_admission_stream(source(spark, tmp_path, "nulls", schema, [rows[k::3] for k in range(3)]), 3, 3600).writeStream.outputMode("append").format("memory").queryName("nulls").option("checkpointLocation", str(tmp_path / "nulls-c")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = spark.table("nulls").where("admitted").groupBy("client").count().collect()
+    assert {r.client: r["count"] for r in got} == {None: 3, 2**60 + 1: 3}
