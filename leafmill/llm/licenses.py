@@ -1,7 +1,7 @@
 """License scans by ordered signature rules, in DataFrame functions only.
 
-A rule is a regular expression over the words of a text, gated by a keyword that the text
-must hold, with a label, a priority and a weight. Texts without any keyword run no rule.
+A rule is a regular expression over the words of a text, gated by keywords that the text
+must all hold, with a label, a priority and a weight. Texts without any keyword run no rule.
 Detections that lie inside one of a higher priority, or inside a longer one of the same (of
 two of the same place and priority the second by label), are suppressed. The base phrases
 are never suppressed.
@@ -354,19 +354,19 @@ def compiled(signature: str) -> str:
     return "".join(f"(?:{''.join(map(word, p[1:-1].split()))})?" if p[0] == "[" else word(p) for p in parts)
 
 
-def key_of(signature: str) -> str:
-    """The longest word that every match of a signature holds."""
-    need = [w for w in re.sub(r"\[[^\]]+\]", " ", signature).split() if "|" not in w]
-    return max(need, key=len, default="")
+def keys_of(signature: str) -> list[str]:
+    """The words that every match of a signature holds, the longest first, as they stand in the spaced form."""
+    need = {w for w in re.sub(r"\[[^\]]+\]", " ", signature).split() if "|" not in w}
+    return [f" {w} " for w in sorted(need, key=lambda w: (-len(w), w))]
 
 
-def rules() -> list[tuple[str, str, str, int, float]]:
-    """(keyword, regular expression, label, priority, weight) of every signature, by falling priority."""
+def rules() -> list[tuple[list[str], str, str, int, float]]:
+    """(keywords, regular expression, label, priority, weight) of every signature, by falling priority."""
     found = []
     for line in SIGNATURES.strip().splitlines():
         head, signature = line.split(": ")
         label, priority = head.rsplit(" ", 1)
-        found.append((f" {key_of(signature)} ".replace("  ", " "), compiled(signature), label, int(priority), 0.2 if label == "rights-reserved" else WEIGHTS[int(priority)]))
+        found.append((keys_of(signature), compiled(signature), label, int(priority), 0.2 if label == "rights-reserved" else WEIGHTS[int(priority)]))
     return sorted(found, key=lambda r: -r[3])
 
 
@@ -421,9 +421,9 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     out = out.withColumn("__base", F.when(w.isNotNull(), F.concat(*[base_places(*x) for x in BASE])))
 
-    rule = "array<struct<key:string,pattern:string,label:string,priority:int,weight:double>>"
-    literal = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(p).alias("pattern"), F.lit(lab).alias("label"), F.lit(pr).alias("priority"), F.lit(x).alias("weight")) for k, p, lab, pr, x in rules()]).cast(rule)
-    out = out.withColumn("__rules", F.when(w.isNotNull(), F.filter(literal, lambda r: w.contains(r["key"]) & F.rlike(w, r["pattern"]))))
+    rule = "array<struct<keys:array<string>,pattern:string,label:string,priority:int,weight:double>>"
+    literal = F.array(*[F.struct(F.array(*map(F.lit, k)).cast("array<string>").alias("keys"), F.lit(p).alias("pattern"), F.lit(lab).alias("label"), F.lit(pr).alias("priority"), F.lit(x).alias("weight")) for k, p, lab, pr, x in rules()]).cast(rule)
+    out = out.withColumn("__rules", F.when(w.isNotNull(), F.filter(literal, lambda r: F.forall(r["keys"], w.contains) & F.rlike(w, r["pattern"]))))
 
     def places(r: Column) -> Column:
         return F.transform(_hits(w, r["pattern"], _n_words), lambda x: F.struct(r["label"].alias("label"), r["priority"].alias("priority"), r["weight"].alias("weight"), x["start"].alias("start"), x["end"].alias("end")))
