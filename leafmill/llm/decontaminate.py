@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.schemas import schema
+from leafmill.llm.scratch import Scratch
 from leafmill.llm.wordhash import NON_ALNUM, ranges, second, words
 from leafmill.llm.worker import release, text_of
 
 WINDOW = 13
 #: Bytes of benchmark text whose windows one broadcast may hold; more are scanned for in blocks.
 BLOCK_BYTES = 8 << 20
+#: Blocks that are scanned for in one job.
+CHAIN = 4
 #: Bytes of a segment of a long item: it is the unit that is dealt to blocks.
 SEGMENT_BYTES = 1 << 18
 FILTER_BITS = 22
@@ -128,7 +131,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
 
     The windows of the items are a broadcast hash set of about block_bytes of text; a
     larger benchmark is split by a hash, long items in segments, and scanned for block by
-    block, each scan adding to what the one before has found. Each hash match is checked word
+    block, each scan adding to what the one before has found; after four blocks what is found
+    is written and their sets go. Each hash match is checked word
     by word. Null and empty texts and items have no words and no hits; texts and items of any
     length are read whole; repeated items count by their id, repeated rows give repeated
     rows, and null item ids are left out; empty tables give no hits or no rows.
@@ -140,9 +144,18 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     blocks = max(1, -(-int(total) // block_bytes))
     out = docs.select(F.struct(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(f"`{c}`").alias(c) for c in carry if c not in ("doc_id", "text")]).alias("row"))
     fields = schema(out.schema["row"], _FOUND)
+    scratch, live, before = Scratch(spark, "decontaminate"), [], None
     for block in range(blocks):
+        if len(live) == CHAIN:  # the driver and a task hold no more sets than this, however large the benchmark is
+            kept = scratch.keep(out, "found")
+            for old in live:
+                old.destroy()
+            if before is not None:
+                scratch.drop(before)
+            out, live, before = kept, [], kept
         mine = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block) if blocks > 1 else bench
         shared = spark.sparkContext.broadcast(WindowSet([(r.item, r.text) for r in mine.toLocalIterator()], window))
+        live.append(shared)
         out = out.mapInArrow(_scan(shared), fields)
     return out
 
