@@ -5,14 +5,16 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from leafmill.sources.kept import file_system
 
-#: Micro-batches after which the changes are merged into one table.
+#: Tables of a version at most, but for large ones: with one more, those that are not are merged.
 MERGE_EVERY = 20
+#: A table is large beside the ones after it if it has so many times their rows.
+LARGE = 2
 
 
 def newest(changes: DataFrame) -> DataFrame:
@@ -25,8 +27,10 @@ class SessionStore:
     """Versions of a table of sessions under a folder.
 
     data/ holds Parquet tables with names of their own; versions/ holds a file for each
-    committed epoch, which lists the tables that make up the version: first what has been
-    merged, then the changes of each epoch since. A version comes to be by renaming its
+    committed epoch, which lists the tables that make up the version, with their rows: first
+    what has been merged, then the changes of each epoch since. Merges leave out tables that
+    are large beside what comes after them, so a row is written again a number of times that
+    grows with the logarithm of the table only. A version comes to be by renaming its
     finished file into place: before that it is not seen, after it all of it is. Tables that
     neither the last version nor the one before it lists are deleted after a commit, those
     of attempts that died among them; a reader that has begun on a version can so finish
@@ -44,7 +48,8 @@ class SessionStore:
         """Committed epochs whose versions are still there."""
         return [int(n[:-5]) for n in self._names("versions") if n.endswith(".json")]
 
-    def tables(self, epoch: int) -> list[str]:
+    def tables(self, epoch: int) -> list[list]:
+        """Name and number of rows of each table of a version, the oldest first."""
         system, at = file_system(self.spark, f"{self.path}/versions/{epoch:019d}.json")
         stream = system.open(at)
         try:
@@ -52,15 +57,15 @@ class SessionStore:
         finally:
             stream.close()
 
-    def write(self, df: DataFrame, epoch: int) -> str:
-        name = f"{epoch:019d}-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/data/{name}")
-        return name
+    def write(self, df: DataFrame, epoch: int) -> list:
+        name, watch = f"{epoch:019d}-{uuid.uuid4().hex}", Observation()
+        df.observe(watch, F.count(F.lit(1)).alias("n")).write.parquet(f"{self.path}/data/{name}")
+        return [name, watch.get["n"]]
 
-    def read(self, tables: list[str], schema: StructType) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/data/{t}" for t in tables])
+    def read(self, tables: list[list], schema: StructType) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/data/{name}" for name, _ in tables])
 
-    def commit(self, tables: list[str], epoch: int) -> None:
+    def commit(self, tables: list[list], epoch: int) -> None:
         system, draft = file_system(self.spark, f"{self.path}/versions/_{epoch:019d}-{uuid.uuid4().hex}")
         out = system.create(draft, True)
         out.write(bytearray(json.dumps(tables).encode()))
@@ -72,7 +77,7 @@ class SessionStore:
     def clean(self) -> None:
         """Delete what the last two versions don't list."""
         last = self.epochs()[-2:]
-        listed = {t for e in last for t in self.tables(e)}
+        listed = {name for e in last for name, _ in self.tables(e)}
         gone = [f"data/{n}" for n in self._names("data") if n not in listed]
         gone += [f"versions/{n}" for n in self._names("versions") if n not in {f"{e:019d}.json" for e in last}]
         for name in gone:
@@ -87,7 +92,12 @@ class SessionStore:
         tables = self.tables(done[-1]) if done else []
         tables.append(self.write(newest(changes), epoch))
         if len(tables) > self.merge_every:
-            tables = [self.write(newest(self.read(tables, changes.schema)).where("not deleted"), epoch)]
+            k = 0
+            while k < len(tables) - 2 and tables[k][1] >= LARGE * sum(n for _, n in tables[k + 1 :]):
+                k += 1
+            merged = newest(self.read(tables[k:], changes.schema))
+            # a deletion is forgotten only where nothing older is left that it hides
+            tables[k:] = [self.write(merged if k else merged.where("not deleted"), epoch)]
         self.commit(tables, epoch)
         self.clean()
 
@@ -103,8 +113,8 @@ class SessionStore:
 def upsert_stream(changes: DataFrame, path: str, checkpoint: str, merge_every: int = MERGE_EVERY):
     """session_upsert kept by a stream of changes (session_id, ts, deleted and the state's columns).
 
-    Each micro-batch commits a version: its newest states beside what was there, and every so
-    many micro-batches all of it merged to one table, from which deleted sessions are gone.
+    Each micro-batch commits a version: its newest states beside what was there, with the
+    smaller tables merged every so many micro-batches.
     A micro-batch that is tried again after a fault at any point adds nothing twice and loses
     nothing. A change that comes, merges later, with an older ts than the state it meets is
     passed over; after a merge has forgotten a deletion, it would bring the session back.
