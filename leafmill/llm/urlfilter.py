@@ -72,12 +72,12 @@ def address(url: Column) -> Column:
 def declared_links(pages: DataFrame) -> DataFrame:
     """src and dst (absolute urls) of the canonical link and the refresh that a page declares in its html.
 
-    Comments, scripts and styles declare nothing. Relative targets are resolved against the
+    Comments, scripts and styles declare nothing; a tag ends at its first >. Relative targets are resolved against the
     page's url; what is no http url then is left out. Only pages with either go to Python.
     """
     low = F.lower("html")
     html = F.regexp_replace("html", r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", " ")
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"), F.lit(0))
+    tags = F.regexp_extract_all(html, F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0))
     some = pages.where((low.contains("canonical") | low.contains("refresh")) & F.col("url").isNotNull()).select("url", F.explode(tags).alias("tag"))
     value = lambda name: F.coalesce(*[F.nullif(F.regexp_extract("tag", rf"(?is)\s{name}\s*=\s*{q}", 1), F.lit("")) for q in ('"([^"]*)"', "'([^']*)'", r"([^\s\"'>]+)")])
     canonical = F.when(F.lower(value("rel")).rlike(r"(^|\s)canonical(\s|$)"), value("href"))

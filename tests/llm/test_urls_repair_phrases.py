@@ -47,11 +47,12 @@ def test_blocks_reach_aliases_and_allow_takes_precedence(spark):
         (14, "https://a.org/x", None),
         (15, "https://f.org", None),
         (16, "https://g.org/1?x#y", None),
+        (17, "https://h.org/", head("<link " + "a'b\"c" * 50_000 + '><link x="' + "y" * 300_000 + '" rel="canonical" href="//a.org/x">')),
     ]
     df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, rule string")
     redirects = spark.createDataFrame([("https://f.org/", "https://g.org/1?x"), ("https://g.org/1?x", "http://sub.spam.net/fr/0")], "src string, dst string")
     got = {r.page_id: r for r in urlfilter.filter_urls(df, redirects=redirects).collect()}
-    assert {i for i, r in got.items() if r.by_alias} == {2, 3, 7, 14, 15, 16}
+    assert {i for i, r in got.items() if r.by_alias} == {2, 3, 7, 14, 15, 16, 17}
     for i, url, _ in pages:
         host, path, rule, verdict = rule_of(url)
         assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule)
