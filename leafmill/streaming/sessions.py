@@ -62,10 +62,16 @@ def rate_admission_stream(requests: DataFrame, limit: int = LIMIT, window_s: int
 
 
 def rate_trailing(requests: DataFrame, window_s: int = WINDOW_S) -> DataFrame:
-    """Requests of the same client in the window up to each one, itself included."""
-    t = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = W.partitionBy("client").orderBy("__t").rangeBetween(-window_s * 1_000_000 + 1, 0)
-    return requests.withColumn("__t", t).withColumn("n_window", F.count(F.lit(1)).over(w)).drop("__t")
+    """Requests of the same client in the window up to each one, itself included; null where a request has no stamp.
+
+    Counted in windows of (client, span of window_s), to each of which the span before is
+    brought: none grows with a client's rows.
+    """
+    span, t = window_s * 1_000_000, F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = requests.withColumn("__t", t).withColumn("__back", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("__span", F.floor(F.col("__t") / span) + F.col("__back"))
+    w = W.partitionBy("client", "__span").orderBy("__t").rangeBetween(-span + 1, 0)
+    counted = rows.withColumn("n_window", F.when(F.col("__t").isNotNull(), F.count(F.lit(1)).over(w)))
+    return counted.where("__back = 0").drop("__t", "__back", "__span")
 
 
 def rate_windows(requests: DataFrame, window_s: int = WINDOW_S, every_s: int | None = None, late: str = "10 minutes") -> DataFrame:

@@ -89,6 +89,14 @@ def test_null_clients_are_limited(spark):
     assert {r.client: r["count"] for r in got} == {None: 3, 1: 3}
 
 
+def test_trailing_counts_over_the_ends_of_spans(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", None]), at(rng.choice([rng.randrange(300), 60, 120, 119])), i) for i in range(200)] + [("a", None, 900)]
+    got = {r.id: r.n_window for r in Z.rate_trailing(spark.createDataFrame(rows, "client string, ts timestamp_ntz, id long"), 60).collect()}
+    want = {i: None if ts is None else sum(c == d and u is not None and ts - dt.timedelta(seconds=60) < u <= ts for d, u, _ in rows) for c, ts, i in rows}
+    assert got == want
+
+
 def test_trailing_counts_of_a_stream_equal_those_of_the_table(spark, tmp_path):
     rng = random.Random(5)
     rows = [(rng.choice(["a", "b", None]), at(i * 7 + rng.randrange(60)), i) for i in range(200)]
