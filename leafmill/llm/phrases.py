@@ -122,11 +122,11 @@ class Packing:
         cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(high)) if len(high) else np.zeros(1, np.int64)
         rows = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            q = min(below, int(b - a).bit_length())
+            q = min(below, max(0, int(b - a).bit_length() - 1))
             left = below - q
             runs = np.bincount(((high[a:b] >> np.uint64(left)) & self._mask(q)).astype(np.int64), minlength=1 << q)
             runs = runs.astype(np.uint8 if runs.max() < 256 else np.uint32)
-            rest = np.concatenate([_bytes(high[a:b] & self._mask(left), left), _bytes(low[a:b], self.low)], axis=1)
+            rest = self._packed(high[a:b] & self._mask(left), low[a:b], left)
             n = counts[a:b]
             rows.append((int(bucket[a]), q, runs.tobytes(), rest.tobytes(), np.minimum(n, 255).astype(np.uint8).tobytes(), n[n >= 255].astype(np.int64).tobytes()))
         kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 4)
@@ -140,10 +140,21 @@ class Packing:
         quotients = np.repeat(np.arange(1 << q, dtype=np.uint64), lengths)
         n = np.frombuffer(counts, np.uint8).astype(np.int64)
         n[n == 255] = np.frombuffer(large, np.int64)
+        end, low = self._unpacked(np.frombuffer(rest, np.uint8).reshape(len(n), -1), left)
+        return (np.uint64(bucket) << np.uint64(below)) | (quotients << np.uint64(left)) | end, low, n
+
+    def _packed(self, end: np.ndarray, low: np.ndarray, left: int) -> np.ndarray:
+        """Remainders as rows of bytes: what is left of the high half, then the low one, in one number if it has the room."""
+        if left + self.low <= 64:
+            return _bytes((end << np.uint64(self.low)) | low, left + self.low)
+        return np.concatenate([_bytes(end, left), _bytes(low, self.low)], axis=1)
+
+    def _unpacked(self, raw: np.ndarray, left: int) -> tuple[np.ndarray, np.ndarray]:
+        if left + self.low <= 64:
+            both = _number(raw)
+            return both >> np.uint64(self.low), both & self._mask(self.low)
         width = -(-left // 8)
-        raw = np.frombuffer(rest, np.uint8).reshape(len(n), width + -(-self.low // 8))
-        high = (np.uint64(bucket) << np.uint64(below)) | (quotients << np.uint64(left)) | _number(raw[:, :width])
-        return high, _number(raw[:, width:]), n
+        return _number(raw[:, :width]), _number(raw[:, width:])
 
 
 def _bytes(x: np.ndarray, bits: int) -> np.ndarray:
@@ -274,10 +285,12 @@ def mine_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     """
     scratch = Scratch(df.sparkSession, "phrases")
     docs = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text")).where("text <> ''")
-    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    shards = max(1, -(-total // shard_bytes))
-    dealt = docs.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
-    dealt = scratch.keep(dealt.repartition(min(shards, 100_000), "shard"), "dealt")
+    total = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
+    shards = max(1, -(-(total.bytes or 0) // shard_bytes))
+    # texts stay where they are: neighbours, an eighth of a shard, go to one shard by a hash
+    run = max(1, total.rows * shard_bytes // (8 * max(1, total.bytes or 0)))
+    dealt = docs.withColumn("shard", F.pmod(F.xxhash64(F.floor(F.monotonically_increasing_id() / run)), F.lit(shards)))
+    dealt = scratch.keep(dealt, "dealt")
     pairs = scratch.keep(dealt.mapInArrow(_words_of, "shard long, lang string, word string, n long"), "pairs")
 
     counted = scratch.keep(pairs.groupBy("lang", "word").agg(F.sum("n").alias("n")), "counted")
