@@ -109,6 +109,10 @@ def test_trailing_counts_of_a_stream_equal_those_of_the_table(spark, tmp_path):
     q.stop()
     want = {(r.client, r.at): r.n for r in Z.rate_windows(spark.createDataFrame(rows, schema), 60, 20).collect()}
     got = {(r.client, r.at): r.n for r in spark.table("trail").collect() if r.client != "end"}
+    for _ in range(600):
+        if seen.of(q) >= 2:
+            break
+        time.sleep(0.1)
     assert got == want and seen.of(q) >= 2
     for (client, end), n in list(want.items())[:50]:
         assert n == sum(c == client and end - dt.timedelta(seconds=60) <= ts < end for c, ts, _ in rows)
@@ -116,17 +120,22 @@ def test_trailing_counts_of_a_stream_equal_those_of_the_table(spark, tmp_path):
 
 def test_late_rows_of_more_batches_than_a_query_remembers(spark, tmp_path):
     schema = "ts timestamp, path string, status int, duration double"
-    batches = [[(at(k), "/", 200, 1.0)] for k in (0, 90_000, 90_001)] + [[(at(k), "/", 200, 1.0)] for k in range(110)]
+    batches = [[(at(k), "/", 200, 1.0)] for k in (0, 90_000, 90_001)] + [[(at(k), "/", 200, 1.0)] for k in range(15)]
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "4")  # of 100, so that fewer batches do
     seen = Z.LateRows.watch(spark)
-    q = Z.request_metrics(source(spark, tmp_path, "many", schema, batches), "1 hour").writeStream.outputMode("append").format("noop").option("checkpointLocation", str(tmp_path / "many-c")).start()
-    q.processAllAvailable()
-    q.stop()
-    for _ in range(100):  # the listener hears of the last batches a little later
-        if seen.of(q) == 110:
-            break
-        time.sleep(0.1)
-    assert seen.of(q) == 110 > len(q.recentProgress)
-    spark.streams.removeListener(seen)
+    try:
+        q = Z.request_metrics(source(spark, tmp_path, "many", schema, batches), "1 hour").writeStream.outputMode("append").format("noop").option("checkpointLocation", str(tmp_path / "many-c")).start()
+        q.processAllAvailable()
+        q.stop()
+        for _ in range(600):  # the listener hears of the last batches a little later
+            if seen.of(q) == 15:
+                break
+            time.sleep(0.1)
+        remembered = sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"])
+        assert seen.of(q) == 15 > remembered
+    finally:
+        spark.streams.removeListener(seen)
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
 
 
 # history
