@@ -21,7 +21,7 @@ SHARD_BYTES = 32 << 20
 #: n-grams of a bucket of quotients: a worker holds one bucket while it merges.
 BUCKET = 1 << 19
 #: Different words, and n-grams, that a worker holds before it sends them on.
-HELD_WORDS, HELD_GRAMS = 200_000, 600_000
+HELD_WORDS, HELD_GRAMS = 300_000, 600_000
 #: Text that is cut to words at a time, in bytes; words that are packed at a time.
 SLICE, STRETCH = 1 << 20, 100_000
 #: Words are numbered in parts of about so many.
@@ -286,10 +286,9 @@ def mine_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     scratch = Scratch(df.sparkSession, "phrases")
     docs = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text")).where("text <> ''")
     total = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
-    shards = max(1, -(-(total.bytes or 0) // shard_bytes))
-    # texts stay where they are: neighbours, an eighth of a shard, go to one shard by a hash
-    run = max(1, total.rows * shard_bytes // (8 * max(1, total.bytes or 0)))
-    dealt = docs.withColumn("shard", F.pmod(F.xxhash64(F.floor(F.monotonically_increasing_id() / run)), F.lit(shards)))
+    # texts stay where they are: a shard is a run of neighbours of about shard_bytes
+    run = max(1, total.rows * shard_bytes // max(1, total.bytes or 0))
+    dealt = docs.withColumn("shard", F.expr(f"monotonically_increasing_id() div {run}"))
     dealt = scratch.keep(dealt, "dealt")
     pairs = scratch.keep(dealt.mapInArrow(_words_of, "shard long, lang string, word string, n long"), "pairs")
 
@@ -300,7 +299,7 @@ def mine_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     words = _numbered(counted.where(F.col("n") >= least), scratch, often)
 
     packing = Packing(max(2, often.bit_length()), max(0, (2 * n_words // bucket).bit_length()))
-    own = pairs.select("shard", "lang", "word").distinct().join(words, ["lang", "word"]).select("shard", F.lit(0).alias("kind"), "lang", F.col("word").alias("text"), "id")
+    own = pairs.select("shard", "lang", "word").join(words, ["lang", "word"]).select("shard", F.lit(0).alias("kind"), "lang", F.col("word").alias("text"), "id")
     rows = own.unionByName(dealt.select("shard", F.lit(1).alias("kind"), "lang", "text", F.lit(0).cast("long").alias("id")))
     filters = rows.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(_counted(packing), _FILTER)
     merged = filters.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merged(packing, least), "x long, y long, z long, a long")
