@@ -9,6 +9,7 @@ are never suppressed.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -422,7 +423,8 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     out = out.withColumn("__base", F.when(w.isNotNull(), F.concat(*[base_places(*x) for x in BASE])))
 
     rule = "array<struct<keys:array<string>,pattern:string,label:string,priority:int,weight:double>>"
-    literal = F.array(*[F.struct(F.array(*map(F.lit, k)).cast("array<string>").alias("keys"), F.lit(p).alias("pattern"), F.lit(lab).alias("label"), F.lit(pr).alias("priority"), F.lit(x).alias("weight")) for k, p, lab, pr, x in rules()]).cast(rule)
+    names = ("keys", "pattern", "label", "priority", "weight")
+    literal = F.from_json(F.lit(json.dumps([dict(zip(names, r, strict=True)) for r in rules()])), rule)  # one constant: the planner has no 303 structs to go through
     out = out.withColumn("__rules", F.when(w.isNotNull(), F.filter(literal, lambda r: F.forall(r["keys"], w.contains) & F.rlike(w, r["pattern"]))))
 
     def places(r: Column) -> Column:
