@@ -15,6 +15,8 @@ PAGE_W, PAGE_H = 595.0, 842.0
 
 #: Tags that part a text (fixed values): those that style what follows, and every closing one.
 PARTING = r"(?i)<(/[^>]*|(?:h[1-6]|p|pre|code|li|ul|ol)(?:\s[^>]*)?)>"
+#: The same with bold text, which a page's own layout shows in a font of its own.
+BOLD_PARTING = PARTING.replace("|ol)", "|ol|b)")
 #: What is no text.
 UNSEEN = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->"
 
@@ -117,19 +119,22 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def scan_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+def scan_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", bold: bool = False) -> DataFrame:
     """doc_id, i, tag, text: the pieces of markup that are not blank, in order, with the tag they stand under.
 
     A piece is what stands between two of the tags that part a text. Its tag is the one
     before it; after a closing tag, a list's start, or nothing, it is p. Other tags are no
     text (a br is a space); scripts, styles and comments are left out, &lt; &gt; &amp;
     resolved.
+
+    bold: a b parts texts too, and is the tag of what follows.
     """
+    parting = BOLD_PARTING if bold else PARTING
     html = F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), UNSEEN, "")
-    tags = F.transform(F.regexp_extract_all(html, F.lit(PARTING), F.lit(1)), lambda t: F.lower(F.regexp_extract(t, "^[A-Za-z0-9]*", 0)))
+    tags = F.transform(F.regexp_extract_all(html, F.lit(parting), F.lit(1)), lambda t: F.lower(F.regexp_extract(t, "^[A-Za-z0-9]*", 0)))
     tags = F.concat(F.array(F.lit("p")), F.transform(tags, lambda t: F.when(t.isin("", "ul", "ol"), F.lit("p")).otherwise(t)))
     seen = lambda x: F.trim(unescape(F.regexp_replace(F.regexp_replace(x, r"(?i)<br\s*/?>", " "), "<[^>]*>", "")))
-    pieces = F.zip_with(tags, F.split(html, PARTING, -1), lambda t, x: F.struct(t.alias("tag"), seen(x).alias("text")))
+    pieces = F.zip_with(tags, F.split(html, parting, -1), lambda t, x: F.struct(t.alias("tag"), seen(x).alias("text")))
     return pages.select(F.col(id_col).alias("doc_id"), F.posexplode(F.filter(pieces, lambda x: x["text"] != "")).alias("i", "z")).select("doc_id", "i", "z.tag", "z.text")
 
 

@@ -78,6 +78,8 @@ HP = r"""hp0 AS (SELECT page_id AS doc_id, string_split(regexp_replace(regexp_re
 hp1 AS (SELECT doc_id, n, CASE WHEN n = 0 THEN '' ELSE lower(regexp_extract(part, '^[A-Za-z0-9]*')) END AS tag, CASE WHEN n = 0 THEN part ELSE split_part(part, chr(2), 2) END AS raw FROM (SELECT doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS n FROM hp0)),
 hp2 AS (SELECT doc_id, n, CASE WHEN tag IN ('', 'ul', 'ol') THEN 'p' ELSE tag END AS tag, trim(replace(replace(replace(regexp_replace(regexp_replace(raw, '(?i)<br\s*/?>', ' ', 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS text FROM hp1),
 hp AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INTEGER) AS i, tag, text FROM hp2 WHERE text <> '')"""
+# the same with a b as a parting tag
+HPB = HP.replace("|ol)", "|ol|b)")
 SP = HP + """, sp0 AS (SELECT doc_id, CAST(i // 54 AS INTEGER) AS page_no, CAST(i % 54 AS INTEGER) AS block, 0 AS line, 0 AS span, text,
   CASE WHEN tag IN ('code', 'pre') THEN 'Courier' WHEN tag LIKE 'h_' THEN 'Helvetica-Bold' ELSE 'Helvetica' END AS font,
   CAST(CASE tag WHEN 'h1' THEN 18 WHEN 'h2' THEN 14 WHEN 'h3' THEN 12 WHEN 'code' THEN 9 WHEN 'pre' THEN 9 ELSE 11 END AS DOUBLE) AS size,

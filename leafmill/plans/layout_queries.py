@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import scalars as S
 from leafmill.operators import layout as L
-from leafmill.plans.base import FF, HP, PG, PT, SP, WL, conversation_pages, form_fields, query, table
+from leafmill.plans.base import FF, HPB, PG, PT, SP, WL, conversation_pages, form_fields, query, table
 from leafmill.sources import exports as X
 from leafmill.sources import scans as C
 from leafmill.sources.kept import file_system, shared_folder
@@ -58,9 +58,9 @@ def scan_json(spark, d):
     return C.scan_json(e.select(F.col("event_id").alias("doc_id"), F.concat(F.lit("["), "props", F.lit(', {"t": "'), "event_type", F.lit('"}]')).alias("payload")))
 
 
-@query(f"WITH {HP} SELECT doc_id, i, tag, text FROM hp")
+@query(f"WITH {HPB} SELECT doc_id, i, tag, text FROM hp")
 def scan_html(spark, d):
-    return L.scan_html(table(spark, d, "pages"))
+    return L.scan_html(table(spark, d, "pages"), bold=True)
 
 
 @query("""WITH l AS (SELECT conv_id * 100 + turn AS doc_id, unnest(string_split('# ' || text, chr(10))) AS raw, unnest(range(len(string_split('# ' || text, chr(10))))) AS i FROM conversations)

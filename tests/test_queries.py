@@ -54,3 +54,20 @@ def test_whole_documents_and_their_limits(spark, tmp_path):
     assert [r.text for r in run("extract_text")] == ["".join(f"block {i} \n" for i in range(54))]
     assert sorted((r.page_no, r.n_blocks) for r in run("object_tree_whole")) == [(0, 54), (1, 6), (2, 0), (3, 0), (4, 0), (5, 0)]
     assert sorted(r.page_no for r in run("object_tree")) == [0, 1, 2, 3]
+
+
+#: Bold text beside plain text of its own block, and on a page without a heading.
+BOLD = [(1, "<h1>Top</h1><p>one <b>two</b> three</p>"), (2, "<p><B class='x'>four<br>five</b></p><p>six</p>"), (3, None)]
+
+
+def bold_pages(spark, tmp_path, name):
+    """Rows of a query on BOLD, checked against its SQL."""
+    spark.createDataFrame(BOLD, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    df = catalog.queries()[name](spark, str(tmp_path))
+    assert spark_rows(df, sorted(df.columns)) == sql_rows(catalog.oracle_sql()[name], str(tmp_path), sorted(df.columns))
+    return df.collect()
+
+
+def test_scan_html_has_bold_pieces(spark, tmp_path):
+    rows = bold_pages(spark, tmp_path, "scan_html")
+    assert sorted((r.doc_id, r.i, r.tag, r.text) for r in rows) == [(1, 0, "h1", "Top"), (1, 1, "p", "one"), (1, 2, "b", "two"), (1, 3, "p", "three"), (2, 0, "b", "four five"), (2, 1, "p", "six")]
