@@ -154,16 +154,17 @@ def scan_markdown(docs: DataFrame) -> DataFrame:
 def styled_spans(pieces: DataFrame, lines_per_page: int = LINES) -> DataFrame:
     """Spans of tagged pieces: font, size and flags by tag, a line each."""
     tag = F.col("tag")
-    head, mono = tag.isin("h1", "h2", "h3", "h4", "h5", "h6"), tag.isin("code", "pre")
+    strong, mono = tag.isin("h1", "h2", "h3", "h4", "h5", "h6", "b"), tag.isin("code", "pre")
     size = F.when(tag == "h1", 18.0).when(tag == "h2", 14.0).when(tag == "h3", 12.0).when(mono, 9.0).otherwise(11.0)
-    font = F.when(mono, F.lit("Courier")).when(head, F.lit("Helvetica-Bold")).otherwise(F.lit("Helvetica"))
-    flags = F.when(mono, 8).when(head, 16).otherwise(0)
+    font = F.when(mono, F.lit("Courier")).when(strong, F.lit("Helvetica-Bold")).otherwise(F.lit("Helvetica"))
+    flags = F.when(mono, 8).when(strong, 16).otherwise(0)
     out = pieces.where("text <> ''").select("doc_id", F.floor(F.col("i") / lines_per_page).cast("int").alias("page_no"), F.pmod("i", F.lit(lines_per_page)).alias("block"), F.lit(0).alias("line"), F.lit(0).alias("span"), "text", font.alias("font"), size.alias("size"), flags.alias("flags"))
     return _boxed(out, F.col("block"), F.col("size"))
 
 
-def html_spans(pages: DataFrame) -> DataFrame:
-    return styled_spans(scan_html(pages))
+def html_spans(pages: DataFrame, bold: bool = False) -> DataFrame:
+    """Spans of pages of markup; bold: bold text has spans of its own."""
+    return styled_spans(scan_html(pages, bold=bold))
 
 
 def numbered_rows(rows: DataFrame, table: list[str], order: list[str], name: str) -> DataFrame:

@@ -85,3 +85,4 @@ SP = HP + """, sp0 AS (SELECT doc_id, CAST(i // 54 AS INTEGER) AS page_no, CAST(
   CAST(CASE tag WHEN 'h1' THEN 18 WHEN 'h2' THEN 14 WHEN 'h3' THEN 12 WHEN 'code' THEN 9 WHEN 'pre' THEN 9 ELSE 11 END AS DOUBLE) AS size,
   CAST(CASE WHEN tag IN ('code', 'pre') THEN 8 WHEN tag LIKE 'h_' THEN 16 ELSE 0 END AS INTEGER) AS flags FROM hp WHERE text <> ''),
 sp AS (SELECT *, CAST(50 AS DOUBLE) AS x0, 50 + 14 * block - size AS y0, 50 + length(text) * size * 0.5 AS x1, CAST(50 + 14 * block AS DOUBLE) AS y1 FROM sp0)"""
+SPB = HPB + SP.removeprefix(HP).replace("tag LIKE 'h_'", "tag LIKE 'h_' OR tag = 'b'")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import scalars as S
 from leafmill.operators import layout as L
-from leafmill.plans.base import FF, HPB, PG, PT, SP, WL, conversation_pages, form_fields, query, table
+from leafmill.plans.base import FF, HPB, PG, PT, SP, SPB, WL, conversation_pages, form_fields, query, table
 from leafmill.sources import exports as X
 from leafmill.sources import scans as C
 from leafmill.sources.kept import file_system, shared_folder
@@ -98,9 +98,9 @@ def layout_spans(spark, d):
     return L.layout_spans(table(spark, d, "documents"))
 
 
-@query(f"WITH {SP} SELECT * FROM sp")
+@query(f"WITH {SPB} SELECT * FROM sp")
 def html_spans(spark, d):
-    return L.html_spans(table(spark, d, "pages"))
+    return L.html_spans(table(spark, d, "pages"), bold=True)
 
 
 @query("""WITH r AS (SELECT o_custkey AS tab, o_orderkey, o_orderpriority || ' / ' || o_orderstatus || ' / ' || strftime(o_orderdate, '%Y-%m-%d') AS note, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n FROM orders)

@@ -71,3 +71,9 @@ def bold_pages(spark, tmp_path, name):
 def test_scan_html_has_bold_pieces(spark, tmp_path):
     rows = bold_pages(spark, tmp_path, "scan_html")
     assert sorted((r.doc_id, r.i, r.tag, r.text) for r in rows) == [(1, 0, "h1", "Top"), (1, 1, "p", "one"), (1, 2, "b", "two"), (1, 3, "p", "three"), (2, 0, "b", "four five"), (2, 1, "p", "six")]
+
+
+def test_html_spans_have_bold_fonts(spark, tmp_path):
+    rows = bold_pages(spark, tmp_path, "html_spans")
+    assert sorted((r.doc_id, r.block, r.font, r.size, r.flags) for r in rows if r.flags == 16) == [(1, 0, "Helvetica-Bold", 18.0, 16), (1, 2, "Helvetica-Bold", 11.0, 16), (2, 0, "Helvetica-Bold", 11.0, 16)]
+    assert len(rows) == 6
