@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 from leafmill.operators import navigation as N
 from leafmill.operators import text as T
 from leafmill.operators.layout import html_spans
-from leafmill.plans.base import CNT, PG, SP, conversation_pages, query, table
+from leafmill.plans.base import CNT, PG, SP, SPB, conversation_pages, query, table
 
 
 def _spans(spark, d):
     return html_spans(table(spark, d, "pages"))
 
 
+def _bold_spans(spark, d):
+    """For queries that tell fonts apart."""
+    return html_spans(table(spark, d, "pages"), bold=True)
+
+
 @query(f"WITH {SP} SELECT doc_id, string_agg(text || ' ' || chr(10), '' ORDER BY page_no, block) AS text FROM sp WHERE page_no < 1 GROUP BY 1")
 def extract_text(spark, d):
     return T.extract_text(_spans(spark, d), 1)
@@ -24,9 +29,9 @@ def extract_text_whole(spark, d):
     return T.extract_text(_spans(spark, d))
 
 
-@query(f"WITH {SP} SELECT doc_id, page_no, block, line, span, text, font, size, flags & 16 > 0 AS is_bold, flags & 64 > 0 AS is_italic, flags & 1 > 0 AS is_serif, flags & 8 > 0 AS is_mono FROM sp")
+@query(f"WITH {SPB} SELECT doc_id, page_no, block, line, span, text, font, size, flags & 16 > 0 AS is_bold, flags & 64 > 0 AS is_italic, flags & 1 > 0 AS is_serif, flags & 8 > 0 AS is_mono FROM sp")
 def text_properties(spark, d):
-    return T.text_properties(_spans(spark, d))
+    return T.text_properties(_bold_spans(spark, d))
 
 
 @query(f"""WITH {SP}, h AS (SELECT doc_id, page_no, block, size, x0, y0, y1, unnest(list_filter(range(len(text)), lambda p: substring(text, p + 1, 3) = 'ere')) AS pos FROM (SELECT * FROM sp WHERE contains(text, 'ere')))

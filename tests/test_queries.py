@@ -77,3 +77,8 @@ def test_html_spans_have_bold_fonts(spark, tmp_path):
     rows = bold_pages(spark, tmp_path, "html_spans")
     assert sorted((r.doc_id, r.block, r.font, r.size, r.flags) for r in rows if r.flags == 16) == [(1, 0, "Helvetica-Bold", 18.0, 16), (1, 2, "Helvetica-Bold", 11.0, 16), (2, 0, "Helvetica-Bold", 11.0, 16)]
     assert len(rows) == 6
+
+
+def test_text_properties_of_bold_text(spark, tmp_path):
+    rows = bold_pages(spark, tmp_path, "text_properties")
+    assert sorted(r.text for r in rows if r.is_bold) == ["Top", "four five", "two"]
