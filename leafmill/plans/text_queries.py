@@ -59,9 +59,9 @@ def search_context_items(spark, d):
     return T.search_context(table(spark, d, "documents").select("doc_id", F.lit(0).alias("page_no"), "text"), items.unionByName(starts))
 
 
-@query(f"""WITH {SP} SELECT doc_id, page_no, block, replace(text, 'the', 'THE!') AS text, font, 50 + length(replace(text, 'the', 'THE!')) * size * 0.5 AS x1 FROM sp""")
+@query(f"""WITH {SPB} SELECT doc_id, page_no, block, replace(text, 'the', 'THE!') AS text, font, 50 + length(replace(text, 'the', 'THE!')) * size * 0.5 AS x1 FROM sp""")
 def replace_text(spark, d):
-    return T.replace_text(_spans(spark, d), "the", "THE!")[0].select("doc_id", "page_no", "block", "text", "font", "x1")
+    return T.replace_text(_bold_spans(spark, d), "the", "THE!")[0].select("doc_id", "page_no", "block", "text", "font", "x1")
 
 
 @query(f"""WITH {SP}, h AS (SELECT doc_id, page_no, block, size, x0, y0, y1, string_split(text, 'the') AS l FROM sp WHERE contains(text, 'the')),

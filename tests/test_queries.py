@@ -82,3 +82,8 @@ def test_html_spans_have_bold_fonts(spark, tmp_path):
 def test_text_properties_of_bold_text(spark, tmp_path):
     rows = bold_pages(spark, tmp_path, "text_properties")
     assert sorted(r.text for r in rows if r.is_bold) == ["Top", "four five", "two"]
+
+
+def test_replaced_text_keeps_bold_fonts(spark, tmp_path):
+    rows = bold_pages(spark, tmp_path, "replace_text")
+    assert sorted((r.text, r.font) for r in rows) == [("Top", "Helvetica-Bold"), ("four five", "Helvetica-Bold"), ("one", "Helvetica"), ("six", "Helvetica"), ("three", "Helvetica"), ("two", "Helvetica-Bold")]
