@@ -73,10 +73,10 @@ def replaced_areas(spark, d):
     return T.replaced_areas(_spans(spark, d), "the")
 
 
-@query(f"""WITH {SP}, g AS (SELECT doc_id, page_no, font, size, CAST(sum(length(text)) AS BIGINT) AS char_count, arg_min(flags, block) AS flags FROM sp GROUP BY 1, 2, 3, 4), t AS (SELECT *, CAST(sum(char_count) OVER (PARTITION BY doc_id, page_no) AS BIGINT) AS page_chars FROM g)
+@query(f"""WITH {SPB}, g AS (SELECT doc_id, page_no, font, size, CAST(sum(length(text)) AS BIGINT) AS char_count, arg_min(flags, block) AS flags FROM sp GROUP BY 1, 2, 3, 4), t AS (SELECT *, CAST(sum(char_count) OVER (PARTITION BY doc_id, page_no) AS BIGINT) AS page_chars FROM g)
 SELECT doc_id, page_no, font, size, char_count, flags & 16 > 0 AS is_bold, flags & 64 > 0 AS is_italic, page_chars, floor(char_count * 10000.0::DOUBLE / page_chars + 0.5) / 100 AS percentage FROM t""")
 def font_usage(spark, d):
-    return T.font_usage(_spans(spark, d))
+    return T.font_usage(_bold_spans(spark, d))
 
 
 @query(f"WITH {SP} SELECT doc_id, font, array_to_string(list_sort(list(DISTINCT page_no)), ',') AS pages FROM sp GROUP BY 1, 2")
