@@ -79,9 +79,9 @@ def font_usage(spark, d):
     return T.font_usage(_bold_spans(spark, d))
 
 
-@query(f"WITH {SP} SELECT doc_id, font, array_to_string(list_sort(list(DISTINCT page_no)), ',') AS pages FROM sp GROUP BY 1, 2")
+@query(f"WITH {SPB} SELECT doc_id, font, array_to_string(list_sort(list(DISTINCT page_no)), ',') AS pages FROM sp GROUP BY 1, 2")
 def document_fonts(spark, d):
-    return T.document_fonts(_spans(spark, d)).withColumn("pages", F.array_join(F.transform("pages", lambda x: x.cast("string")), ","))
+    return T.document_fonts(_bold_spans(spark, d)).withColumn("pages", F.array_join(F.transform("pages", lambda x: x.cast("string")), ","))
 
 
 PART_FONT = "CASE p_partkey % 11 WHEN 0 THEN 'Arial-Bold' WHEN 1 THEN 'Times New Roman ' || p_brand WHEN 2 THEN 'X+Helvetica-Bold' WHEN 3 THEN 'Fira Mono' WHEN 4 THEN p_name || ' Italic' WHEN 5 THEN 'My Bold Oblique' WHEN 6 THEN 'Palatino Linotype' WHEN 7 THEN 'Bookman-Bold Italic' WHEN 8 THEN 'Bold Serif Italic' WHEN 9 THEN 'Noto Serif' ELSE p_name END"

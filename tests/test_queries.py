@@ -92,3 +92,8 @@ def test_replaced_text_keeps_bold_fonts(spark, tmp_path):
 def test_font_usage_of_bold_text(spark, tmp_path):
     rows = bold_pages(spark, tmp_path, "font_usage")
     assert sorted((r.doc_id, r.font, r.size, r.char_count, r.is_bold) for r in rows) == [(1, "Helvetica", 11.0, 8, False), (1, "Helvetica-Bold", 11.0, 3, True), (1, "Helvetica-Bold", 18.0, 3, True), (2, "Helvetica", 11.0, 3, False), (2, "Helvetica-Bold", 11.0, 9, True)]
+
+
+def test_document_fonts_of_bold_text(spark, tmp_path):
+    rows = bold_pages(spark, tmp_path, "document_fonts")
+    assert sorted((r.doc_id, r.font, r.pages) for r in rows) == [(1, "Helvetica", "0"), (1, "Helvetica-Bold", "0"), (2, "Helvetica", "0"), (2, "Helvetica-Bold", "0")]
