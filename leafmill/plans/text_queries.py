@@ -95,12 +95,12 @@ def match_font(spark, d):
     return T.match_font(table(spark, d, "part").select("p_partkey", F.expr(PART_FONT).alias("font")))
 
 
-@query(f"""WITH {SP}, p AS (SELECT event_id AS point_id, event_id % 250 AS doc_id, 0 AS page_no, 50 + value AS x, CAST(45 + 2 * CAST(json_extract(props, '$.k') AS INTEGER) AS DOUBLE) AS y FROM events),
+@query(f"""WITH {SPB}, p AS (SELECT event_id AS point_id, event_id % 250 AS doc_id, 0 AS page_no, 50 + value AS x, CAST(45 + 2 * CAST(json_extract(props, '$.k') AS INTEGER) AS DOUBLE) AS y FROM events),
 b AS (SELECT point_id, arg_min(font, block) AS font, arg_min(size, block) AS size FROM p JOIN sp ON p.doc_id = sp.doc_id AND p.page_no = sp.page_no AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY 1) SELECT p.point_id, p.doc_id, p.page_no, b.font, b.size FROM p LEFT JOIN b USING (point_id)""")
 def font_at_points(spark, d):
     e = table(spark, d, "events")
     points = e.select(F.col("event_id").alias("point_id"), (F.col("event_id") % 250).alias("doc_id"), F.lit(0).alias("page_no"), (50 + F.col("value")).alias("x"), (45 + 2 * F.get_json_object("props", "$.k").cast("int")).cast("double").alias("y"))
-    return T.font_at_points(_spans(spark, d), points)
+    return T.font_at_points(_bold_spans(spark, d), points)
 
 
 TOC = SP + """, toc AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_no, block) - 1 AS INTEGER) AS idx, CAST(CASE WHEN size >= 18 THEN 1 WHEN size >= 14 THEN 2 ELSE 3 END AS INTEGER) AS level, substring(trim(text), 1, 50) AS title, CAST(page_no + 1 AS INTEGER) AS page FROM sp WHERE size >= 11)"""

@@ -97,3 +97,10 @@ def test_font_usage_of_bold_text(spark, tmp_path):
 def test_document_fonts_of_bold_text(spark, tmp_path):
     rows = bold_pages(spark, tmp_path, "document_fonts")
     assert sorted((r.doc_id, r.font, r.pages) for r in rows) == [(1, "Helvetica", "0"), (1, "Helvetica-Bold", "0"), (2, "Helvetica", "0"), (2, "Helvetica-Bold", "0")]
+
+
+def test_font_at_points_of_bold_text(spark, tmp_path):
+    points = [(1, 3.0, '{"k": 14}'), (2, 3.0, '{"k": 1}'), (251, 3.0, '{"k": 8}'), (252, 900.0, '{"k": 1}')]
+    spark.createDataFrame(points, "event_id long, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    rows = bold_pages(spark, tmp_path, "font_at_points")
+    assert {r.point_id: r.font for r in rows} == {1: "Helvetica-Bold", 2: "Helvetica-Bold", 251: "Helvetica", 252: None}
