@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from leafmill.llm.schemas import schema
 from leafmill.llm.scratch import Scratch
 from leafmill.llm.wordhash import NON_ALNUM, ranges, second, words
-from leafmill.llm.worker import release, text_of
+from leafmill.llm.worker import text_of, tidy
 
 WINDOW = 13
 #: Bytes of benchmark text whose windows one broadcast may hold; more are scanned for in blocks.
@@ -166,8 +166,8 @@ SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 def _scan(shared):
     """Adds what one broadcast finds to what earlier ones have found."""
 
+    @tidy
     def run(batches):
-        release()
         held = shared.value
         bits = {n: np.unpackbits(b).astype(bool) for n, (b, *_) in held.by_length.items()}
         for batch in batches:

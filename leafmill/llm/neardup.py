@@ -16,7 +16,7 @@ from leafmill.llm.components import connected_components
 from leafmill.llm.joins import join_by_key, with_likely
 from leafmill.llm.scratch import Scratch
 from leafmill.llm.wordhash import SPACES, mix, ranges, words
-from leafmill.llm.worker import release
+from leafmill.llm.worker import tidy
 
 SHINGLE = 5
 #: Minima in a band, bands. At a similarity of 0.85 a pair misses all bands with probability 3e-6.
@@ -65,8 +65,8 @@ def band_keys(shingles: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> np.
 
 
 def _signed(rows: int, bands: int):
+    @tidy
     def run(batches):
-        release()
         for batch in batches:
             n, digests, keys = [], [], []
             for s in shingle_sets(batch.column("text")):
@@ -81,9 +81,9 @@ def _signed(rows: int, bands: int):
 _PLACE = ("fam", "bi", "bj", "id", "h")
 
 
+@tidy
 def _with_sets(batches):
     """Shingle sets of rows; of equal rows, which the join has put side by side, one for each place."""
-    release()
     text, places = None, set()
     for batch in batches:
         keep = []
@@ -134,6 +134,7 @@ def _forest(ids: np.ndarray, sets: list[np.ndarray], over: int, of: int) -> list
 
 
 def _verified(over: int, of: int):
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, ids, sets, text = None, [], [], None
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.schemas import schema
-from leafmill.llm.worker import hold
+from leafmill.llm.worker import hold, trim
 
 SPACE = "▁"
 #: Bytes of chunks, with what Python adds to each, that a worker keeps encoded; when they are more, those not met since go.
@@ -388,7 +388,7 @@ def _bytes(chunk: str) -> int:
     return 8 * len(chunk) + EACH
 
 
-def _groups(texts: pa.Array, limit: int = 1 << 19):
+def _groups(texts: pa.Array, limit: int = 1 << 18):
     """Runs of texts of about limit bytes: the suffix array of a run's new chunks takes some 200 bytes a character."""
     at = size = 0
     for i, n in enumerate(pc.binary_length(texts).to_pylist()):
@@ -425,6 +425,9 @@ def encode_texts(df: DataFrame, model: str, id_col: str = "doc_id", text_col: st
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
                 same = [encoder.v.decode(np.frombuffer(x, np.int32).tolist()) == t for x, t in zip(raw, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(ends).astype(np.int64)), ids, pa.array(same)], names=["doc_id", "n_tokens", "ids", "decodes"])
+                del texts, raw, ends, flat, ids, same
+            del batch
+            trim()
 
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(run, schema(rows.schema["doc_id"], "n_tokens long, ids array<int>, decodes boolean"))

@@ -13,7 +13,7 @@ from leafmill.llm.joins import join_by_key, with_likely
 from leafmill.llm.schemas import schema
 from leafmill.llm.scratch import Scratch
 from leafmill.llm.wordhash import SPACES, Words, ranges, second, words
-from leafmill.llm.worker import release, text_of
+from leafmill.llm.worker import text_of, tidy
 
 WINDOW, GRAM = 50, 8
 _CUT = "n_words long, n_removed long, kept_sha256 string, kept_text string, removed array<struct<start:int,end:int>>"
@@ -49,8 +49,8 @@ def _anchored(part: Words, window: int, gram: int) -> tuple[np.ndarray, ...]:
 
 
 def _runs(window: int, gram: int):
+    @tidy
     def scan(batches):
-        release()
         for batch in batches:
             ids, tags = batch.column("id"), batch.column("tag")
             for part in words(batch.column("text"), SPACES, False):
@@ -65,8 +65,8 @@ def _runs(window: int, gram: int):
 def _windows(window: int):
     """Hash of each window of the runs listed with a document."""
 
+    @tidy
     def scan(batches):
-        release()
         for batch in batches:
             ids, tags, listed = batch.column("id"), batch.column("tag"), batch.column("runs").to_pylist()
             for part in words(batch.column("text"), SPACES, False):
@@ -86,8 +86,8 @@ def _windows(window: int):
 def _cut(window: int):
     """Counts, digest, text and removed intervals of each document from the runs and windows to remove."""
 
+    @tidy
     def scan(batches):
-        release()
         for batch in batches:
             runs, single, texts = batch.column("whole").to_pylist(), batch.column("starts").to_pylist(), text_of(batch)
             n_words, removed, digests, kept, spans = [], [], [], [], []

@@ -18,7 +18,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from leafmill.llm.scratch import Scratch
 from leafmill.llm.wordhash import BASE, NON_ALNUM, Words, mix, powers, text_buffers
 from leafmill.llm.wordhash import pieces as runs
-from leafmill.llm.worker import release, text_of
+from leafmill.llm.worker import text_of, tidy
 
 #: Labelled rows the trees are fitted on at most, and entries of the learned lexicon at most.
 TRAINING_ROWS, LEXICON = 20_000, 4_000
@@ -68,6 +68,7 @@ def _found(values: np.ndarray, keys: np.ndarray, weights: np.ndarray) -> np.ndar
     return np.where(keys[at] == values, weights[at], 0.0)
 
 
+@tidy
 def _terms(batches):
     """Distinct words and word stems of labelled texts, with whether the text is toxic."""
     for batch in batches:
@@ -148,8 +149,8 @@ def feature_rows(column, lexicon: dict) -> np.ndarray:
 
 
 def _featured(shared):
+    @tidy
     def run(batches):
-        release()
         for batch in batches:
             rows = feature_rows(text_of(batch), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(rows[:, i]) for i in range(len(FEATURES)))], names=["row", *FEATURES])
@@ -211,6 +212,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         return ToxicityModel(lexicon, None, None, float(found or 0.0))
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
+    @tidy
     def run(batches):
         for batch in batches:
             rows = feature_rows(batch.column("text"), shared.value)

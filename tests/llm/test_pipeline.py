@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from leafmill.llm import toxicity
+from leafmill.llm import toxicity, worker
 from tests.llm import brute
 
 
@@ -87,3 +87,8 @@ def test_near_dedup_leaves_carried_columns_alone(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
     kept = corpus_pipeline.near_dedup(spark, docs, "")
     assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
+
+
+def test_tasks_of_a_stage_drop_what_a_worker_holds_of_another():
+    worker.hold("an encoder", object)
+    assert list(toxicity._terms(iter([]))) == [] and not worker._state
