@@ -24,6 +24,8 @@ from leafmill.llm.worker import text_of, tidy
 TRAINING_ROWS, LEXICON = 20_000, 4_000
 #: Texts with a label from which the lexicon is learned at least this often before it counts.
 LEAST_TOXIC = 3
+#: Bytes of texts whose features are made at once: the arrays for it take some 300 bytes for each.
+RUN_BYTES = 1 << 18
 STEMS = (4, 5, 6, 7, 8, 9)
 NEAR = 6
 #: Second person in the languages of the corpus (fixed values).
@@ -74,7 +76,7 @@ def _terms(batches):
     for batch in batches:
         raw, offsets = text_buffers(batch.column("text"))
         toxic = np.array(batch.column("toxic").to_pylist(), np.int64)
-        for a, b in runs(offsets):
+        for a, b in runs(offsets, RUN_BYTES):
             part = Words(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], a, NON_ALNUM, True)
             owner = part.owners().astype(np.uint64)
             for length, h in ((0, part.hashes), *_stems(part, STEMS)):
@@ -110,7 +112,7 @@ def feature_rows(column, lexicon: dict) -> np.ndarray:
     raw, offsets = text_buffers(column)
     rows = np.zeros((len(offsets) - 1, len(FEATURES)))
     none = (np.zeros(0, np.uint64), np.zeros(0))
-    for a, b in runs(offsets):
+    for a, b in runs(offsets, RUN_BYTES):
         body, places = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         part = Words(body, places, a, NON_ALNUM, True)
         n_docs, owner = b - a, part.owners()

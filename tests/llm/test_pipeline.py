@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+import pyarrow as pa
 from leafmill.llm import toxicity, worker
 from tests.llm import brute
 
@@ -92,3 +93,32 @@ def test_near_dedup_leaves_carried_columns_alone(spark):
 def test_tasks_of_a_stage_drop_what_a_worker_holds_of_another():
     worker.hold("an encoder", object)
     assert list(toxicity._terms(iter([]))) == [] and not worker._state
+
+
+def test_tasks_work_on_slices_of_large_batches():
+    """A batch of 10 MB is worked on in slices of which none is larger than it should be; no row is lost, moved or changed."""
+    texts = pa.array([None, "", *(f"w{i} " * 400 for i in range(5_000))])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), texts], names=["id", "text"])
+    sizes = []
+
+    @worker.tidy
+    def run(batches):
+        for b in batches:
+            sizes.append(b.nbytes)
+            yield b
+
+    assert batch.nbytes > 2 * worker.SLICE_BYTES
+    assert pa.Table.from_batches(run(iter([batch]))).equals(pa.Table.from_batches([batch]))
+    assert len(sizes) > 2 and max(sizes) < 1.2 * worker.SLICE_BYTES
+
+
+def test_stages_hand_small_batches_to_python(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    before = spark.conf.get(corpus_pipeline.BATCH)
+    try:
+        for now, then in (("10000", "1000"), ("0", "1000"), ("70", "70")):
+            spark.conf.set(corpus_pipeline.BATCH, now)
+            corpus_pipeline.encoding(spark, docs, "")
+            assert spark.conf.get(corpus_pipeline.BATCH) == then
+    finally:
+        spark.conf.set(corpus_pipeline.BATCH, before)
