@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -46,4 +47,5 @@ def fold_by_key(rows: DataFrame, keys: list[str], order: list[str], begin: Calla
             last = end(state)
             yield made([last] if last is not None else [])
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, fields)
+    # by a hash of the keys: below a map Spark drops a repartition by columns that a join has dealt the rows by already, and then may cut that join's partitions anew
+    return rows.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order).mapInArrow(run, fields)

@@ -49,6 +49,32 @@ def test_page_operations_that_cannot_be_done_are_errors(spark):
     assert {(r.doc_id, r.seq): r.error for r in errors.collect()} == {(1, 1): "no argument", (1, 2): "unknown operation", (1, 3): "unknown operation", (2, 0): "unknown document", (3, 0): "unknown document", (None, 0): "unknown document", (4, 0): "no argument"}
 
 
+def test_replays_stay_whole_when_their_join_is_planned_anew(spark, tmp_path):
+    """A join by shuffles, of which the run makes a broadcast join that reads the shuffled log by its writers, leaves each document's log in one task."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "4k", "spark.sql.files.maxPartitionBytes": "4k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    spark.range(2000).selectExpr("id % 20 as doc_id", "cast(id div 20 as int) as page_no", "repeat(uuid(), 5) as text").write.parquet(str(tmp_path / "pages"))
+    kind = F.when(F.col("id") % 3 == 0, "delete").when(F.col("id") % 3 == 1, "duplicate").otherwise("to_front")
+    spark.range(0, 6000, 1, 8).select((F.col("id") % 20).alias("doc_id"), F.xxhash64("id").alias("seq"), kind.alias("kind"), (F.col("id") % 97).alias("arg")).write.parquet(str(tmp_path / "log"))
+    pages, log = (spark.read.parquet(str(tmp_path / x)) for x in ("pages", "log"))
+    want = {d: list(range(100)) for d in range(20)}
+    for op in sorted(log.collect(), key=lambda op: op.seq):
+        ids = want[op.doc_id]
+        k = op.arg % len(ids)
+        if op.kind == "delete":
+            ids[k : k + 1] = []
+        else:
+            ids.insert(*((k, ids[k]) if op.kind == "duplicate" else (0, ids.pop(k))))
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = P.replay_page_ops(P.page_counts(pages), log)[0].collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sorted((r.doc_id, r.pages) for r in got) == sorted(want.items())
+
+
 def test_history_of_a_null_session(spark):
     log = [(None, i, "edit", 2**60 + i) for i in range(4)] + [(None, 4, "undo", None), (5, 0, "edit", None)]
     got = P.replay_history(spark.createDataFrame(log, "session long, seq long, kind string, state long")).collect()
