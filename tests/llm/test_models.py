@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -97,6 +98,79 @@ def test_language_model_probabilities_sum_to_one():
     assert words == pytest.approx(1, abs=1e-4)
 
 
+def test_words_of_a_class_depend_on_history(spark):
+    """Words of one class, each of them after a word of its own: the right one is likelier than the other, known by rank or by hash."""
+
+    def hashed(names):
+        ((_, tok, bounds),) = lm.tokens(pa.array(names))
+        return {w: int(h) for w, h in zip(names, tok[bounds[:-1]], strict=True)}
+
+    def gain(pairs, asked, copies, head):
+        """What the second word of a pair gains over the other word, in held-out texts."""
+        train, held = ([i for i in range(200_000) if (zlib.crc32(str(i).encode()) % 5 == 1) == part] for part in (False, True))
+        docs = [f"{x} {y}" for x, y in pairs for _ in range(copies)]
+        right, wrong = ([(f"{x} {w[k]}") for x, *w in asked] for k in (0, 1))
+        rows = [*zip(train, docs, strict=False), *zip(held, right + wrong, strict=False)]
+        got = {r.doc_id: r.score for r in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), head_words=head).collect()}
+        n = len(asked)
+        return sum(got[i] for i in held[:n]) / n - sum(got[i] for i in held[n : 2 * n]) / n
+
+    # by rank, of words that occur as often: the end has the first, then they go by their hashes
+    pairs = [(f"x{i}", f"y{i}") for i in range(lm.CLASSES)]
+    hashes = hashed([w for pair in pairs for w in pair])
+    order = sorted(hashes, key=hashes.get)
+    asked = [(f"x{a[1:]}", a, b) for a, b in zip(order, order[lm.CLASSES :], strict=False) if a[0] == b[0] == "y"]
+    assert len(asked) > 100 and gain(pairs, asked, 12, lm.HEAD) > 0.1
+    # by hash: in two leaves of a class, and in two leaves of one of these
+    hashes = hashed([f"y{i}" for i in range(6000)])
+    for modulus in (lm.CLASSES, lm.CLASSES * lm.REST):
+        met = {}
+        a, b = next((met[h % modulus], w) for w, h in hashes.items() if met.setdefault(h % modulus, w) != w and len({h % (lm.CLASSES * lm.REST), hashes[met[h % modulus]] % (lm.CLASSES * lm.REST)}) == (2 if modulus == lm.CLASSES else 1))
+        assert hashes[a] % lm.ENDS != hashes[b] % lm.ENDS
+        assert gain([("c", a), ("d", b)], [("c", a, b), ("d", b, a)], 300, 0) > 0.1
+
+
+def test_language_model_probabilities_of_words_sum_to_one():
+    """Over the words of all leaves, and those never met, with trained weights."""
+    rng = np.random.default_rng(1)
+    counts = np.sort(rng.integers(1, 500, 60_000))[::-1]
+    words = rng.integers(0, 1 << 63, 60_000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    head = lm.Head(words, counts)
+    rank = head.rank(head.keys)
+    cls, (leaf, last) = lm.classes(rank, head.keys), lm.leaves(rank, head.keys)
+    ends, ranked = np.zeros(lm.ENDS), head.counts[: lm.RANKED] + 0.5
+    np.add.at(ends, head.keys[lm.RANKED :].view(np.int64) % lm.ENDS, head.counts[lm.RANKED :] + 0.5)
+    mass = 0.5 + ranked.reshape(-1, lm.CLASSES).sum(0) + ends.reshape(-1, lm.CLASSES).sum(0)
+    model = lm.Model(mass, 1 << 12, ends, ranked.reshape(-1, lm.CLASSES))
+    assert model.leaves.sum() + 0.5 * lm.CLASSES == pytest.approx(mass.sum()) == pytest.approx((counts + 0.5).sum() + 0.5 * lm.CLASSES)
+    for w in model.weights:
+        w += rng.normal(0, 1, w.shape).astype(np.float32)
+    feats = lambda n: tuple(np.full(n, x, np.uint64) for x in (5, 77, 901))
+    p = np.exp(model.step(np.arange(lm.CLASSES), feats(lm.CLASSES)))
+    q = np.exp(model.within(cls, leaf, last, feats(len(cls)))) * 10 ** model.known(cls, leaf, last)
+    assert (p[cls] * q * (head.counts + 0.5) / mass[cls]).sum() + (p * 0.5 / mass).sum() == pytest.approx(1, abs=1e-4)
+    assert np.ptp(np.log(q)) > 1
+
+
+def test_weight_tables_grow_without_an_end():
+    """Beyond 65,536 rows as well, all of which are met and learned; row numbers are sorted as by one sort."""
+    sizes = [lm.table_rows(10**k) for k in range(3, 16)]
+    assert sizes == sorted(sizes) and sizes[0] == lm.LEAST_ROWS and sizes[7] > 1 << 16 and len(set(sizes[6:])) == len(sizes[6:])
+    rng = np.random.default_rng(2)
+    for rows, kind in ((1 << 16, np.uint16), (1 << 20, np.uint32)):
+        i = rng.integers(0, rows, 5000).astype(kind)
+        assert (lm._sorted(i) == np.argsort(i, kind="stable")).all()
+    model = lm.Model(np.full(lm.CLASSES, 1.5), 1 << 18)
+    seen = [np.zeros(len(w), np.float32) for w in model.weights]
+    for _ in range(40):
+        feats = tuple(rng.integers(0, 1 << 63, lm.BATCH, dtype=np.uint64) for _ in range(3))
+        model.step(rng.integers(0, lm.CLASSES, lm.BATCH), feats, lm.RATE, seen)
+    for level in (0, 1):
+        assert seen[level].sum() == 3 * 40 * lm.BATCH
+        quarters = seen[level].reshape(4, -1).sum(1)
+        assert (quarters > 0.9 * quarters.mean()).all() and ((np.abs(model.weights[level]).sum(1) > 0) == (seen[level] > 0)).all()
+
+
 def test_language_model_scores_do_not_depend_on_partitions(spark, monkeypatch):
     """The same texts in 1 and in 7 partitions, in other orders and batches, with several shards, have the same scores."""
     rng = random.Random(5)
